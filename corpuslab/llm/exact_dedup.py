@@ -21,10 +21,11 @@ def frequent_digests(keyed: DataFrame) -> DataFrame:
     """Every digest that holds more than ``SUPPORT`` of the rows, and perhaps some that hold less.
 
     Misra-Gries summaries of a fixed size, made map-side, merged in two rounds so that no task reads more than
-    its share of them. One row with at most ``TRACKED`` items leaves the last round.
+    its share of them. One row with at most ``TRACKED`` items leaves the last round. It is grouped by a constant: without
+    a group, partitions that got no summary would give an empty one, which can't be merged.
     """
     parts = keyed.groupBy((F.spark_partition_id() % FAN_IN).alias("part")).agg(F.expr(f"approx_top_k_accumulate(text_sha256, {TRACKED})").alias("s"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
+    whole = parts.groupBy((F.col("part") % 1).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
     items = whole.select(F.explode(F.expr(f"approx_top_k_estimate(s, {round(1 / SUPPORT)})")).alias("x"))
     return items.select(F.col("x.item").alias("text_sha256")).where("text_sha256 is not null")
 
