@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -19,8 +21,9 @@ from corpuslab.llm.common import batch, id_and_text, map_batches, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 #: A Python worker remembers ids of so many chunks and words that it met lately, and of as many from before.
 REMEMBERED = 200_000
+SHIFT = 32
 #: Texts encoded together, by count and by characters.
-TEXTS, CHARS = 512, 4_000_000
+TEXTS, CHARS = 1024, 4_000_000
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -57,7 +60,7 @@ class PairIndexBPE:
     """Encodes words of a vocabulary file of the tokenizers library (BPE, byte letters, word ends).
 
     ``encode_words`` works on all its words at once. Their symbols lie in one array with links to the neighbours in
-    the same word; an index maps each pair that has a rank to all its positions. Active ranks are taken in ascending
+    the same word; an index maps each pair that has a rank (by that rank) to all its positions. Active ranks are taken in ascending
     order; each is merged at all its positions from left to right, and only the pairs beside them change lists. A merge
     makes pairs of higher ranks only (checked when the file is read), so this order gives each word what merging its
     lowest pair first gives.
@@ -75,84 +78,90 @@ class PairIndexBPE:
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         made: dict[int, int] = {}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        rank: dict[tuple[int, int], tuple[int, int]] = {}
         for r, (a, b) in enumerate(pairs):
             left, right, both = self.ids[a], self.ids[b], self.ids[a + b]
             if made.get(left, -1) >= r or made.get(right, -1) >= r:
                 raise ValueError("a merge makes a pair of a lower rank")
             made[both] = r
-            self.rank.setdefault((left, right), (r, both))
-        for (left, right), (r, _) in self.rank.items():
+            rank.setdefault((left, right), (r, both))
+        for (left, right), (r, _) in rank.items():
             if max(made.get(left, -1), made.get(right, -1)) >= r:
                 raise ValueError("a merge makes a pair of a lower rank")
+        # A pair is left << SHIFT | right. Ranks and what they make by pair, and pairs by rank.
+        self.rank = {left << SHIFT | right: r for (left, right), (r, _) in rank.items()}
+        self.by_rank = {r: (left, right, both) for (left, right), (r, both) in rank.items()}
+        self.pairs = np.array(sorted(self.rank), np.int64)
+        self.ranks = np.array([self.rank[p] for p in self.pairs.tolist()], np.int64)
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern.replace("\\s", WHITE) if "[^\\s" in pattern else pattern, regex.V0)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.blank = regex.compile(f"[{WHITE}]+")
         self.odd = regex.compile("[\x1c-\x1fΣ]")
         letters = byte_letters()
-        self.first = [self.ids[c] for c in letters]
-        self.last = [self.ids[c + self.suffix] for c in letters]
-        self.ids_of, self.said_of, self.word_ids = Recent(), Recent(), Recent()
+        self.first = np.array([self.ids[c] for c in letters], np.int64)
+        self.last = np.array([self.ids[c + self.suffix] for c in letters], np.int64)
+        self.ids_of, self.said_of, self.word_ids, self.word_said = Recent(), Recent(), Recent(), Recent()
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (a match of the pattern), all words together."""
-        rank, first, last = self.rank, self.first, self.last
-        sym: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            raw = w.encode()
-            sym.extend(map(first.__getitem__, raw[:-1]))
-            sym.append(last[raw[-1]])
-            ends.append(len(sym))
-        n = len(sym)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        start = 0
-        for e in ends:
-            after[e - 1] = -1
-            before[start] = -1
-            start = e
-        index: dict[tuple[int, int], list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                pair = (sym[i], sym[j])
-                if pair in index:
-                    index[pair].append(i)
-                elif pair in rank:
-                    index[pair] = [i]
-        active = [(rank[p][0], p) for p in index]
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(r) for r in raw])
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        symbols = self.first[flat]
+        symbols[ends - 1] = self.last[flat[ends - 1]]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[np.concatenate([[0], ends[:-1]])] = -1
+        # The index: for each active rank all positions of its pair.
+        left = np.flatnonzero(after >= 0)
+        pair = symbols[left] << SHIFT | symbols[left + 1]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        left, at = left[self.pairs[at] == pair], at[self.pairs[at] == pair]
+        met = self.ranks[at]
+        order = np.argsort(met, kind="stable")
+        met, left = met[order], left[order]
+        starts = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]])) if len(met) else np.zeros(0, np.int64)
+        index = {r: p.tolist() for r, p in zip(met[starts].tolist(), np.split(left, starts[1:]), strict=True)} if len(met) else {}
+        sym, after, before = symbols.tolist(), after.tolist(), before.tolist()
+        rank, by_rank = self.rank.get, self.by_rank
+        active = list(index)
         heapify(active)
         while active:
-            _, pair = heappop(active)
-            a, b = pair
-            both = rank[pair][1]
-            at = index.pop(pair)
-            at.sort()
-            for i in at:
+            r = heappop(active)
+            a, b, both = by_rank[r]
+            positions = index.pop(r)
+            positions.sort()
+            front = both << SHIFT
+            for i in positions:
                 j = after[i]
                 if j < 0 or sym[i] != a or sym[j] != b:
                     continue  # one of the two has gone into another merge
                 k = after[j]
                 sym[i], sym[j], after[i], after[j] = both, -1, k, -1
-                h = before[i]
                 if k >= 0:
                     before[k] = i
-                    new = (both, sym[k])
-                    if new in index:
-                        index[new].append(i)
-                    elif new in rank:
-                        index[new] = [i]
-                        heappush(active, (rank[new][0], new))
+                    new = rank(front | sym[k])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heappush(active, new)
+                h = before[i]
                 if h >= 0:
-                    new = (sym[h], both)
-                    if new in index:
-                        index[new].append(h)
-                    elif new in rank:
-                        index[new] = [h]
-                        heappush(active, (rank[new][0], new))
+                    new = rank(sym[h] << SHIFT | both)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(h)
+                        else:
+                            index[new] = [h]
+                            heappush(active, new)
         out, start = [], 0
-        for e in ends:
+        for e in ends.tolist():
             out.append([s for s in sym[start:e] if s >= 0])
             start = e
         return out
@@ -168,15 +177,21 @@ class PairIndexBPE:
         return [x for x in self.blank.split(text) if x] if self.odd.search(text) else text.split()
 
     def learn(self, chunks: list[str]) -> None:
-        """Remembers ids and tokens of chunks."""
-        parts = [self.words.findall(c) for c in chunks]
-        fresh = self.word_ids.lacking(set().union(*parts))
-        self.word_ids.update(zip(fresh, self.encode_words(fresh), strict=True))
-        tokens, word_ids = self.tokens, self.word_ids
+        """Remembers ids and tokens of chunks, which are made of those of their words."""
+        parts = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".,;" and c[:-1].isalpha() else self.words.findall(c) for c in chunks]
+        words = set().union(*parts)
+        fresh = self.word_ids.lacking(words)
+        self.word_said.lacking(words)
+        ids_of, said_of, tokens = self.word_ids, self.word_said, self.tokens
+        for w, ids in zip(fresh, self.encode_words(fresh), strict=True):
+            ids_of[w] = array("I", ids).tobytes()
+            said_of[w] = tokens[ids[0]] if len(ids) == 1 else " ".join([tokens[i] for i in ids])
+        get_ids, get_said = ids_of.__getitem__, said_of.__getitem__
         for c, ws in zip(chunks, parts, strict=True):
-            ids = word_ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in word_ids[w]]
-            self.ids_of[c] = array("I", ids).tobytes()
-            self.said_of[c] = " ".join([tokens[i] for i in ids])
+            if len(ws) == 1:
+                self.ids_of[c], self.said_of[c] = ids_of[c], said_of[c]
+            else:
+                self.ids_of[c], self.said_of[c] = b"".join(map(get_ids, ws)), " ".join(map(get_said, ws))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and what they decode to."""
@@ -222,8 +237,9 @@ def _groups(texts: list[str]):
         i = j
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: bool = False) -> DataFrame:
-    """One row for each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` ids and decoded too.
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256; also what ``keep`` names of
+    ids and decoded.
 
     Special strings inside texts become their ids, as is the library's default. A null or empty text has no ids and
     decodes to an empty text. Ids of rows may be null or repeat; an empty table gives no rows. There is no shuffle.
@@ -236,18 +252,22 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = b.column("text").to_pylist()
             n, ids_sha, text_sha, all_ids, all_texts = [], [], [], [], []
             for i, j in _groups(texts):
-                for ids, decoded in bpe.encode(texts[i:j]):
+                gc.disable()  # nothing here makes cycles, and the memories are costly to walk
+                encoded = bpe.encode(texts[i:j])
+                gc.enable()
+                for ids, decoded in encoded:
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep:
+                    if "ids" in keep:
                         all_ids.append(np.frombuffer(ids, "<u4").astype("i4"))
+                    if "decoded" in keep:
                         all_texts.append(decoded)
-            more = {"ids": (all_ids, pa.list_(pa.int32())), "decoded": (all_texts, pa.string())} if keep else {}
+            more = {k: v for k, v in (("ids", (all_ids, pa.list_(pa.int32()))), ("decoded", (all_texts, pa.string()))) if k in keep}
             return batch(doc_id=(b.column("doc_id"), None), n_tokens=(n, pa.int64()), ids_sha256=(ids_sha, pa.string()), decoded_sha256=(text_sha, pa.string()), **more)
 
         return run
 
     rows = id_and_text(df, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(rows, schema + ", ids array<int>, decoded string" * keep, make)
+    return map_batches(rows, schema + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep), make)
