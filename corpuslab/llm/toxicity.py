@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, held_out, id_and_text, map_batches
+from corpuslab.llm.common import batch, cut, held_out, id_and_text, map_batches
 
 #: Lengths of n-grams in bytes, and bits of their hashes.
 LENGTHS = (4, 5, 6)
@@ -18,6 +20,8 @@ HASH_BITS = 20
 TEXTS_EACH = 1500
 #: A feature counts if so many training texts have it and its log-count ratio is as far from 0.
 LEAST_TEXTS, LEAST_RATIO = 3, 1.5
+#: Tasks that count the features of the training texts.
+TASKS = 4
 ROUNDS, RATE, PENALTY = 300, 0.5, 1e-4
 THRESHOLD = 0.7
 #: Bytes of a text that are hashed at a time.
@@ -59,23 +63,21 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> ToxicityModel:
-    """Naive Bayes ratios ``r`` of presence counts, then a logistic regression over ``x * r``; full batches, so the
-    same rows in the same order give the same model. With one class only, its share is all that is learnt."""
+def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that count, and their log-count ratios, from the numbers of texts of each class that have them."""
+    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+    hashes = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
+    return hashes, ratio[hashes]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], hashes: np.ndarray, r: np.ndarray) -> ToxicityModel:
+    """A logistic regression over presence times ratio; full batches, so the same rows in the same order give the same
+    model. With one class only, its share is all that is learnt."""
     y = np.array([k for _, k in rows], np.float32)
     if not len(rows) or y.min() == y.max():
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -3.0 if not len(rows) or y[0] == 0 else 3.0)
-    size = 1 << HASH_BITS
-    pos, neg = np.zeros(size), np.zeros(size)
-    for x, k in rows:
-        (pos if k else neg)[x] += 1
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
-    hashes = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
-    at = np.full(size, -1, np.int64)
-    at[hashes] = np.arange(len(hashes))
-    cols = [at[x][at[x] >= 0] for x, _ in rows]
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-    r = ratio[hashes]
+    col = np.searchsorted(hashes, np.concatenate([x for x, _ in rows]))
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
     w, bias = np.zeros(len(hashes)), 0.0
     length = np.sqrt(np.bincount(row, r[col] ** 2, len(rows))).mean() + 1e-9  # keeps the steps of a fit size
     for _ in range(ROUNDS):
@@ -86,27 +88,49 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> ToxicityModel:
     return ToxicityModel(hashes, w * r, bias)
 
 
+def presence_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For each feature the texts of either class that have it. TASKS tasks count; each sends two arrays of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros((2, 1 << HASH_BITS), np.uint16), [0, 0]
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("_y").to_pylist(), strict=True):
+                counts[y][present(text)] += 1
+                n[y] += 1
+        yield batch(c=([zlib.compress(counts.tobytes(), 1)], pa.binary()), pos=([n[1]], pa.int64()), neg=([n[0]], pa.int64()))
+
+    total, n_pos, n_neg = np.zeros((2, 1 << HASH_BITS), np.int64), 0, 0
+    for r in rows.repartition(TASKS).mapInArrow(run, "c binary, pos long, neg long").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(r["c"]), np.uint16).reshape(2, -1)
+        n_pos, n_neg = n_pos + r["pos"], n_neg + r["neg"]
+    return total[1], total[0], n_pos, n_neg
+
+
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on labelled texts of ``df``, ids of the held-out third left out: of each class about TEXTS_EACH at most,
-    those with the smallest hashes of their ids. Their feature sets go to the driver, not their texts. Labels that are
-    null or contradict each other for one id aren't used."""
+    those with the smallest hashes of their ids. Neither texts nor their n-grams go to the driver: counts of a fixed size
+    do, and then for each text which of the chosen features it has. Labels that are null or contradict each other for
+    one id aren't used."""
     mark = labels.where(labels[label_col].isNotNull() & ~held_out(labels[id_col])).groupBy(labels[id_col].alias("_id")).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi")).where("_lo = _hi")
     mark = mark.select("_id", (F.col("_lo") > 0).cast("int").alias("_y"), F.pmod(F.xxhash64("_id"), F.lit(1 << 30)).alias("_h"))
     sizes = {r["_y"]: r["count"] for r in mark.groupBy("_y").count().collect()}
     upto = lambda k: int((1 << 30) * min(1.0, TEXTS_EACH / max(1, sizes.get(k, 0))))
     mark = mark.where(F.col("_h") < F.when(F.col("_y") == 1, upto(1)).otherwise(upto(0)))
-    rows = id_and_text(df, id_col, text_col).join(F.broadcast(mark), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    rows = cut(id_and_text(df, id_col, text_col).join(F.broadcast(mark), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y"))
+    hashes, ratio = select(*presence_counts(rows))
+    table = np.zeros(1 << HASH_BITS, bool)
+    table[hashes] = True
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = [present(t).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            x = [present(t, table).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             return batch(id=(b.column("doc_id"), None), x=(x, pa.binary()), y=(b.column("_y"), None))
 
         return run
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = sorted(((r["id"], r["x"], r["y"]) for r in map_batches(rows, f"id {kind}, x binary, y int", make).collect()))
-    return fit([(np.frombuffer(x, "<u4"), y) for _, x, y in got])
+    return fit([(np.frombuffer(x, "<u4"), y) for _, x, y in got], hashes, ratio)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
