@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, held_out, id_and_text, map_batches
+from corpuslab.llm.common import batch, held_out, id_and_text, keep_rows, map_batches
 
 #: Buckets of hashed byte n-grams, n = 1, 2, 3.
 BUCKETS = 8192
@@ -133,3 +133,16 @@ def identify(df: DataFrame, model: LanguageCode, id_col: str = "doc_id", text_co
     rows = id_and_text(df, id_col, text_col)
     out = map_batches(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean", make)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def keep_identified(df: DataFrame, model: LanguageCode, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language: neither ``und`` nor ambiguous."""
+
+    def make():
+        def one(texts: list[str]) -> list[bool]:
+            langs, scores = model.predict(texts)
+            return [a != "und" and s >= AMBIGUOUS for a, s in zip(langs, scores, strict=True)]
+
+        return one
+
+    return keep_rows(df, text_col, make)

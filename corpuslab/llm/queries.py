@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, exact_dedup, language_id, pii, secret_scan, token_counts, toxicity, url_filter
+from corpuslab.llm import bpe, decontamination, exact_dedup, language_id, ngram_join, pii, secret_scan, token_counts, toxicity, url_filter
 from corpuslab.llm.common import as_table
 
 #: Rules of the URL query: host, path, verdict.
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(as_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contained(as_table(spark, sf_dir, "documents"), as_table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(as_table(spark, sf_dir, "documents")))
 
@@ -45,12 +49,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(as_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(as_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES, LISTED_URLS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_counts, op4_pii, op5_exact_dedup, op6_bpe, op7_toxicity, op8_language, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_counts, op3_decontamination, op4_pii, op5_exact_dedup, op6_bpe, op7_toxicity, op8_language, op9_ngram_join, op10_url_filter)}
 
 
 OP5_SQL = r"""
