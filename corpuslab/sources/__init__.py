@@ -1,0 +1,8 @@
+"""Readers and writers."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A standard table; column pruning and filters reach the Parquet scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
