@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from corpuslab.functions import presets as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row: inside the functions of arrays a plain expression would be
+    computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def chars(text: Column) -> Column:
     """Code points as an array; an empty text has none."""
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -195,8 +201,13 @@ def prefix_tokens(tokens: Column, context_length: int, longest: Column, bos: int
 
 def char_windows(text: Column, width: int = P.WINDOW) -> Column:
     """All windows of ``width`` characters; none in a shorter text. Split once, then sliced."""
-    c = chars(text)
-    return F.when(F.size(c) >= width, F.transform(F.sequence(F.lit(1), F.size(c) - width + 1), lambda i: F.array_join(F.slice(c, i, width), ""))).otherwise(F.array().cast("array<string>"))
+    return let(chars(text), lambda c: windows(c, width, ""))
+
+
+def windows(items: Column, width: int, sep: str) -> Column:
+    """All runs of ``width`` items of an array, joined."""
+    some = F.transform(F.sequence(F.lit(1), F.size(items) - width + 1), lambda i: F.array_join(F.slice(items, i, width), sep))
+    return F.when(F.size(items) >= width, some).otherwise(F.array().cast("array<string>"))
 
 
 def prefixes(text: Column) -> Column:

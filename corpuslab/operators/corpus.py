@@ -74,7 +74,7 @@ def vocabulary(texts: DataFrame, text: str, size: int, token: Column | None = No
 
 def ngrams(rows: DataFrame, tokens: Column, n: int) -> DataFrame:
     """n-grams of token arrays with their counts; a group never crosses a row."""
-    grams = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    grams = X.let(tokens, lambda t: X.windows(t, n, " "))
     return rows.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 

@@ -21,9 +21,7 @@ b8 AS (SELECT item_id, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY
 
 
 def _grams8(df, key):
-    w = F.split("text", "[ \\n]")
-    g = F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, 8), " ")))
-    return df.select(key, F.explode(g).alias("g"))
+    return df.select(key, F.explode(X.let(F.split("text", "[ \\n]"), lambda w: X.windows(w, 8, " "))).alias("g"))
 
 
 def _lines(spark, sf, name, key):

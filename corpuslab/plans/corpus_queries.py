@@ -59,7 +59,7 @@ def _words(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: w != "").alias("w"))
 
 
-WORDS = r"w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), x -> x <> '') AS w FROM conversations)"
+WORDS = r"w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM conversations)"
 
 
 @query(f"""WITH {WORDS}, f AS (SELECT conv_id, turn, unnest(w) AS a, unnest(range(len(w))) AS k FROM w),
@@ -229,7 +229,7 @@ def snk03_escaped_context(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", (F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\n"))).alias("broken"), X.escape_newlines(t).alias("escaped"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ''), x -> x <> ''), ' ') AS spaced FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ''), lambda x: x <> ''), ' ') AS spaced FROM conversations")
 def snk06_spaced_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.spaced(F.col("text")).alias("spaced"))
 

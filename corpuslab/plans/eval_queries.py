@@ -122,7 +122,7 @@ def a12_power_summary(spark, sf):
     return q.groupBy("subset").agg(F.round(F.median("disc"), 6).alias("median"), F.round(F.min("disc"), 6).alias("least"), F.round(F.max("disc"), 6).alias("most"))
 
 
-@query(LONG + """, u AS (SELECT unnest(list_filter(['all', 'status/' || status, 'priority/' || priority, CASE WHEN status = 'F' AND priority LIKE '1%' THEN 'urgent/F' END], x -> x IS NOT NULL)) AS subset, scorer, hit FROM t)
+@query(LONG + """, u AS (SELECT unnest(list_filter(['all', 'status/' || status, 'priority/' || priority, CASE WHEN status = 'F' AND priority LIKE '1%' THEN 'urgent/F' END], lambda x: x IS NOT NULL)) AS subset, scorer, hit FROM t)
 SELECT subset, scorer, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM u GROUP BY 1, 2""")
 def a13_overlapping_subsets(spark, sf):
     keys = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("status/"), "status"), F.concat(F.lit("priority/"), "priority"), F.when((F.col("status") == "F") & F.col("priority").startswith("1"), "urgent/F")))
@@ -223,7 +223,7 @@ def a26_page_loss(spark, sf):
     return p.select("id", F.round(total(lambda t: F.exp(t["lx"]) * (t["lx"] - t["ly"])), 6).alias("kl"), F.round(total(lambda t: -F.exp(t["lx"]) * t["ly"]), 6).alias("ce"))
 
 
-@query("""SELECT label, count(*) AS n, round(avg(z), 6) AS mean, round(stddev(z), 6) AS sd FROM (SELECT label, ln(list_sum(list_transform(embedding, x -> exp(x::DOUBLE)))) AS z FROM embeddings) GROUP BY label""")
+@query("""SELECT label, count(*) AS n, round(avg(z), 6) AS mean, round(stddev(z), 6) AS sd FROM (SELECT label, ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))) AS z FROM embeddings) GROUP BY label""")
 def a27_normalizer_statistics(spark, sf):
     from corpuslab.functions import tensor as M
 
@@ -266,7 +266,7 @@ def w14_shared_prefix(spark, sf):
 
 FACTS = CANDS + """, a AS (SELECT id, list(struct_pack(idx := idx, text := text, source := source, answers := coalesce(answers, length(CAST(text AS VARCHAR)) = length(CAST(lt AS VARCHAR))), trusted := coalesce(trusted, source IN (0, 1))) ORDER BY idx) AS f
  FROM (SELECT *, first_value(text) OVER (PARTITION BY id ORDER BY idx) AS lt FROM c) GROUP BY id),
-k AS (SELECT id, f, list_filter(f, x -> x.answers)[1:9] AS same FROM a)"""
+k AS (SELECT id, f, list_filter(f, lambda x: x.answers)[1:9] AS same FROM a)"""
 OPEN = "NOT f[1].trusted AND f[1].answers AND len(same) >= 2"
 
 
@@ -275,7 +275,7 @@ def _facts(spark, sf):
     return _cands(spark, sf).select("id", c.alias("c"))
 
 
-@query("WITH " + FACTS + " SELECT id, array_to_string(list_transform(same, x -> CAST(x.text AS VARCHAR)), ',') AS first_nine FROM k")
+@query("WITH " + FACTS + " SELECT id, array_to_string(list_transform(same, lambda x: CAST(x.text AS VARCHAR)), ',') AS first_nine FROM k")
 def t01_first_nine(spark, sf):
     f = _facts(spark, sf)
     same = F.slice(F.filter(F.transform("c", lambda x: D.with_facts(x, F.col("c")[0])), lambda x: x["answers"]), 1, 9)
@@ -294,16 +294,17 @@ def d04_gate(spark, sf):
     return _facts(spark, sf).select("id", F.size(D.comparable(F.col("c"))).cast("bigint").alias("compared"))
 
 
-@query("WITH " + FACTS + " SELECT count(*) AS cases, CAST(sum(len(list_filter(f, x -> x.answers))) AS BIGINT) AS answering, CAST(sum(len(list_filter(f, x -> x.trusted))) AS BIGINT) AS trusted FROM k")
+@query("WITH " + FACTS + " SELECT count(*) AS cases, CAST(sum(len(list_filter(f, lambda x: x.answers))) AS BIGINT) AS answering, CAST(sum(len(list_filter(f, lambda x: x.trusted))) AS BIGINT) AS trusted FROM k")
 def d05_fallback_facts(spark, sf):
     f = _facts(spark, sf).select(F.transform("c", lambda x: D.with_facts(x, F.col("c")[0])).alias("f"))
     count = lambda k: F.sum(F.size(F.filter("f", lambda x: x[k])))
     return f.agg(F.count("*").alias("cases"), count("answers").alias("answering"), count("trusted").alias("trusted"))
 
 
-@query("WITH " + CASES + " SELECT id, nullif(gold, 0) AS best FROM g")
+@query("WITH " + CASES + " SELECT id, coalesce(nullif(gold, 0), -1) AS best FROM g")
 def d06_best_where(spark, sf):
-    return _cases(spark, sf).select("id", F.nullif(F.col("gold"), F.lit(0)).alias("best"))
+    """-1 where the leader wins, so nothing changes."""
+    return _cases(spark, sf).select("id", F.coalesce(F.nullif(F.col("gold"), F.lit(0)), F.lit(-1)).alias("best"))
 
 
 @query("WITH " + CANDS + ", m AS (SELECT id, arg_min(price, idx) AS lead_price, max(price) AS top, arg_min(idx, struct_pack(a := -price, b := idx)) AS best FROM c GROUP BY id) SELECT id, CASE WHEN top - lead_price > 5000 THEN best ELSE 0 END AS pick FROM m")

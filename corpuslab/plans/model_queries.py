@@ -16,7 +16,7 @@ from corpuslab.plans.text_functions import SYLLABLES
 from corpuslab.registry import query
 from corpuslab.sources import table
 
-E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS a FROM embeddings)\n"
+E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings)\n"
 
 
 def _emb(spark, sf):
@@ -31,8 +31,8 @@ def _flat(df, name, digits=5):
 LONG = "SELECT vec_id, unnest(range(len(b))) AS pos, round(unnest(b), 5) AS v FROM b"
 
 
-@query(E + """, m AS (SELECT vec_id, a, list_sum(a) / len(a) AS mu FROM e), s AS (SELECT vec_id, a, mu, list_sum(list_transform(a, x -> (x - mu) * (x - mu))) / len(a) AS var FROM m),
-b AS (SELECT vec_id, list_transform(a, x -> (x - mu) / sqrt(var + 1e-5)) AS b FROM s) """ + LONG)
+@query(E + """, m AS (SELECT vec_id, a, list_sum(a) / len(a) AS mu FROM e), s AS (SELECT vec_id, a, mu, list_sum(list_transform(a, lambda x: (x - mu) * (x - mu))) / len(a) AS var FROM m),
+b AS (SELECT vec_id, list_transform(a, lambda x: (x - mu) / sqrt(var + 1e-5)) AS b FROM s) """ + LONG)
 def m02_layer_norm(spark, sf):
     return _flat(_emb(spark, sf).select("vec_id", M.layer_norm(F.col("embedding")).alias("b")), "b")
 
@@ -40,18 +40,18 @@ def m02_layer_norm(spark, sf):
 GELU = "0.5 * x * (1 + (CASE WHEN x < 0 THEN -1 ELSE 1 END) * (1 - (1 / (1 + 0.3275911 * abs(x * 0.7071067811865476))) * (0.2548296 + (1 / (1 + 0.3275911 * abs(x * 0.7071067811865476))) * (-0.28449674 + (1 / (1 + 0.3275911 * abs(x * 0.7071067811865476))) * (1.4214137 + (1 / (1 + 0.3275911 * abs(x * 0.7071067811865476))) * (-1.453152 + (1 / (1 + 0.3275911 * abs(x * 0.7071067811865476))) * 1.0614054)))) * exp(-(x * 0.7071067811865476) * (x * 0.7071067811865476))))"
 
 
-@query(E + f", b AS (SELECT vec_id, list_transform(a, x -> {GELU}) AS b FROM e) " + LONG)
+@query(E + f", b AS (SELECT vec_id, list_transform(a, lambda x: {GELU}) AS b FROM e) " + LONG)
 def m03_gelu(spark, sf):
     return _flat(_emb(spark, sf).select("vec_id", F.transform("embedding", lambda x: M.gelu(x)).alias("b")), "b")
 
 
-@query(E + "SELECT vec_id, round(list_sum(list_transform(a, x -> x * x)), 5) AS norm2, round(list_dot_product(a, list_reverse(a)), 5) AS turned FROM e")
+@query(E + "SELECT vec_id, round(list_sum(list_transform(a, lambda x: x * x)), 5) AS norm2, round(list_dot_product(a, list_reverse(a)), 5) AS turned FROM e")
 def m04_dot(spark, sf):
     e = F.col("embedding")
     return _emb(spark, sf).select("vec_id", F.round(M.dot(e, e), 5).alias("norm2"), F.round(M.dot(e, F.reverse(e)), 5).alias("turned"))
 
 
-@query(E + """, s AS (SELECT vec_id, a, greatest(list_max(list_transform(a, x -> abs(x))), 1e-8) / 127.0 AS scale FROM e)
+@query(E + """, s AS (SELECT vec_id, a, greatest(list_max(list_transform(a, lambda x: abs(x))), 1e-8) / 127.0 AS scale FROM e)
 SELECT vec_id, unnest(range(len(a))) AS pos, CAST(greatest(-127, least(127, round_even(unnest(a) / scale, 0))) AS BIGINT) AS q, round(scale, 8) AS scale FROM s""")
 def m05_quantize(spark, sf):
     q = _emb(spark, sf).select("vec_id", M.quantize_int8(F.col("embedding")).alias("q"))
@@ -67,7 +67,7 @@ def m07_prefix_tree(spark, sf):
     return every.groupBy("page").agg(F.count("*").alias("all_positions"), F.countDistinct("prefix").alias("distinct_prefixes"))
 
 
-@query(E + """, n AS (SELECT vec_id, a, lead(a) OVER (PARTITION BY label ORDER BY vec_id) AS c FROM e), b AS (SELECT vec_id, list_transform(list_zip(a, c), x -> x[1] + 0.25 * (x[2] - x[1])) AS b FROM n WHERE c IS NOT NULL) """ + LONG)
+@query(E + """, n AS (SELECT vec_id, a, lead(a) OVER (PARTITION BY label ORDER BY vec_id) AS c FROM e), b AS (SELECT vec_id, list_transform(list_zip(a, c), lambda x: x[1] + 0.25 * (x[2] - x[1])) AS b FROM n WHERE c IS NOT NULL) """ + LONG)
 def m08_interpolate(spark, sf):
     from pyspark.sql import Window
 
@@ -86,7 +86,7 @@ def m10_parameters(spark, sf):
     return shapes.select("name", A.transformer_parameters(F.col("v"), F.col("c"), F.col("l"), F.col("w")).alias("parameters"))
 
 
-@query(E + "SELECT vec_id, round(list_max(a) + ln(list_sum(list_transform(a, x -> exp(x - list_max(a))))), 6) AS z FROM e")
+@query(E + "SELECT vec_id, round(list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a))))), 6) AS z FROM e")
 def a25_log_sum_exp(spark, sf):
     return _emb(spark, sf).select("vec_id", F.round(M.log_normalizer(F.col("embedding")), 6).alias("z"))
 
@@ -158,7 +158,7 @@ def _bigram(prev: str | None, c: str) -> float:
     return -math.log1p(abs(ord(c) - ord(prev or "M"))) - ord(c) * 1e-6
 
 
-@query(f"""WITH RECURSIVE s AS ({LAYERS}), p AS (SELECT seg, i, chr(CASE WHEN ascii(substr(seg, i, 1)) + k > 90 THEN ascii(substr(seg, i, 1)) + k - 26 ELSE ascii(substr(seg, i, 1)) + k END) AS c FROM s, range(1, 40) t(i), range(3) u(k) WHERE i <= length(seg)),
+@query(f"""WITH RECURSIVE s AS ({LAYERS}), p AS (SELECT seg, i, chr(CAST(CASE WHEN ascii(substr(seg, i, 1)) + k > 90 THEN ascii(substr(seg, i, 1)) + k - 26 ELSE ascii(substr(seg, i, 1)) + k END AS INTEGER)) AS c FROM s, range(1, 40) t(i), range(3) u(k) WHERE i <= length(seg)),
 v AS (SELECT seg, 1 AS i, c, c AS path, -ln(1 + abs(ascii(c) - 77)) - ascii(c) * 1e-6 AS score FROM p WHERE i = 1
  UNION ALL SELECT seg, i, c, path, score FROM (SELECT v.seg, p.i, p.c, v.path || p.c AS path, v.score - ln(1 + abs(ascii(p.c) - ascii(v.c))) - ascii(p.c) * 1e-6 AS score,
   row_number() OVER (PARTITION BY v.seg, p.i, p.c ORDER BY v.score - ln(1 + abs(ascii(p.c) - ascii(v.c))) DESC) AS r FROM v JOIN p ON p.seg = v.seg AND p.i = v.i + 1) WHERE r = 1)

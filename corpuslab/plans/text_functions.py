@@ -31,7 +31,7 @@ def f02_clip_runs(spark, sf):
     return flat.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("k").cast("bigint").alias("piece_no"), F.substring("line", F.col("k") * 96 + 1, F.lit(96)).alias("piece")).where(F.length("piece") >= 4)
 
 
-@query(r"""SELECT doc_id, len(w) AS n_runs, array_to_string(w, ' ') AS runs FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^\p{L}]', ' ', 'g'), ' +'), x -> x <> '') AS w FROM documents)""")
+@query(r"""SELECT doc_id, len(w) AS n_runs, array_to_string(w, ' ') AS runs FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^\p{L}]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM documents)""")
 def f03_connected_runs(spark, sf):
     w = X.connected_runs(F.col("text"), "\\p{L}")
     return table(spark, sf, "documents").select("doc_id", F.size(w).cast("bigint").alias("n_runs"), F.array_join(w, " ").alias("runs"))
@@ -122,7 +122,7 @@ def f36_char_tail(spark, sf):
 READINGS = "string_split_regex(lower(text), '[ \\n]')"
 
 
-@query(f"SELECT doc_id, len(list_filter({READINGS}, x -> NOT (regexp_full_match(x, '[A-Za-z]+') AND x NOT IN ('n', 'ng', 'm', 'hm', 'hng')))) = 0 AS valid FROM documents")
+@query(f"SELECT doc_id, len(list_filter({READINGS}, lambda x: NOT (regexp_full_match(x, '[A-Za-z]+') AND x NOT IN ('n', 'ng', 'm', 'hm', 'hng')))) = 0 AS valid FROM documents")
 def f15_valid_readings(spark, sf):
     r = F.split(F.lower("text"), "[ \\n]")
     return table(spark, sf, "documents").select("doc_id", X.valid_readings(r).alias("valid"))
@@ -151,7 +151,7 @@ def f17_word_windows(spark, sf):
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, {READINGS} AS a FROM conversations)
-SELECT conv_id, turn, array_to_string(a, '') AS full_key, array_to_string(list_transform(a, x -> substr(x, 1, 1)), '') AS initials FROM r""")
+SELECT conv_id, turn, array_to_string(a, '') AS full_key, array_to_string(list_transform(a, lambda x: substr(x, 1, 1)), '') AS initials FROM r""")
 def f18_typed_keys(spark, sf):
     r = F.split(F.lower("text"), "[ \\n]")
     return table(spark, sf, "conversations").select("conv_id", "turn", X.typed_key(r, "full").alias("full_key"), X.typed_key(r, "initials").alias("initials"))
@@ -177,8 +177,8 @@ def f19_double_key(spark, sf):
     return s.select("syllable", X.double_key(F.col("syllable")).alias("keys"))
 
 
-@query("""WITH c AS (SELECT page_id, list_filter(string_split(lower(url), ''), x -> x <> '') AS a FROM pages)
-SELECT page_id, array_to_string(list_transform(a, x -> CAST(instr('abcdefghijklmnopqrstuvwxyz''', x) AS VARCHAR)), ' ') AS ids FROM c""")
+@query("""WITH c AS (SELECT page_id, list_filter(string_split(lower(url), ''), lambda x: x <> '') AS a FROM pages)
+SELECT page_id, array_to_string(list_transform(a, lambda x: CAST(instr('abcdefghijklmnopqrstuvwxyz''', x) AS VARCHAR)), ' ') AS ids FROM c""")
 def f20_letter_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(X.letter_ids(F.col("url")).cast("array<string>"), " ").alias("ids"))
 
@@ -214,7 +214,7 @@ def f25_rerank_context(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.rerank_context(F.col("text"), 64, F.col("turn").cast("int") + 8).alias("context"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, list_transform(list_filter(string_split(text, ''), x -> x <> ''), x -> CAST(unicode(x) AS INTEGER)) AS a FROM conversations)
+@query("""WITH c AS (SELECT conv_id, turn, list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: CAST(unicode(x) AS INTEGER)) AS a FROM conversations)
 SELECT conv_id, turn, '2 ' || array_to_string(a[greatest(1, len(a) - 31 + 1):], ' ') AS tokens FROM c WHERE len(a) > 0""")
 def f26_prefix_tokens(spark, sf):
     a = F.transform(X.chars(F.col("text")), lambda c: F.ascii(c))
