@@ -1,14 +1,48 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components: by union and find where the links are few, else by alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import cut
 
 
+#: Links that one task can hold (some 100 bytes each); beyond, no task holds them all.
+AT_HAND = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = root[i]
+        return i
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], ["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``links`` (columns a, b): comp is the smallest node that can be reached. Up to
+    AT_HAND links go to one task; more are handled by :func:`star_components`."""
+    links = links.select("a", "b").where("a <> b")
+    if links.limit(AT_HAND + 1).count() <= AT_HAND:
+        return links.coalesce(1).mapInArrow(_joined, "node long, comp long")
+    return star_components(links)
+
+
+def star_components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (columns a, b): comp is the smallest node that can be reached.
 
     Each round turns every node's neighbours towards its smallest one; the number of rounds grows with the logarithm of

@@ -1,8 +1,8 @@
 """Jaccard self-join of documents on word 5-grams by token-combination prefixes.
 
-Shingles ("tokens") are put into one global order: rare ones first by hash, then frequent ones by how frequent they
-are. A document that loses at most ``slack = n - ceil(0.75 n)`` tokens to a partner indexes a prefix of its tokens.
-Rare tokens are indexed alone. Frequent ones belong to one of ``g`` classes and are indexed as pairs within a class,
+Shingles ("tokens") are put into one global order: those of one document first, then rare ones by hash, then frequent
+ones by how frequent they are. A document that loses at most ``slack = n - ceil(0.75 n)`` tokens to a partner indexes a
+prefix of its tokens. Rare tokens are indexed alone; those of one document needn't be. Frequent ones belong to one of ``g`` classes and are indexed as pairs within a class,
 so a common passage gives no posting that all its documents share unless they share two of its tokens there; the
 prefix is extended until its rare tokens, and its frequent ones less one for each class met, are ``slack + 1``.
 
@@ -15,6 +15,7 @@ a factor of 4/3 apart; linked sizes differ by that at most, and each document in
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +36,16 @@ RARE = 12
 SHORT = 16
 #: Postings of one signature that a map task sends on as they are; of more it sends one, and links the others to it.
 HOT = 64
+#: In postings, numbers of documents have above this bit what share of its tokens a document has alone (127: all), and
+#: below it the number: sorted, what stands for others comes first, and that is a document that has least alone.
+OWN = 54
+PLAIN = (1 << OWN) - 1
 #: Tokens that one range of hashes holds, about, and those that a map task packs together.
-RANGE, PACK = 2_000_000, 4_000_000
+RANGE, PACK = 1_000_000, 1_000_000
+#: Members of components that are joined to documents as rows; of more, so many by so many at a time are compared.
+FEW, TILE = 16, 2048
+#: Of a document's lists so many, those of the smallest names, are at hand to tell where a pair has met already.
+SKETCH = 8
 #: Documents whose ids are broadcast to fetch their texts, at most; more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -71,29 +80,50 @@ def unpack_sorted(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(unpack(b, kind), dtype=kind)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap with, for each residue of the hashes, whether an odd number of tokens has it; a bit a token or more."""
+    bits = max(256, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(na: int, nb: int, a: bytes, b: bytes) -> bool:
+    """False where bitmaps rule a link out: each bit that differs is a token that only one of the two has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):  # a larger bitmap folds into a smaller one
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)
+    apart = int(np.bitwise_count(x ^ y).sum())
+    shared = (na + nb - apart) // 2
+    return 100 * shared >= PERCENT * (na + nb - shared)
+
+
 def _texts(z) -> list[str]:
     d = zstandard.ZstdDecompressor()
     return [d.decompress(x).decode() for x in z.to_pylist()]
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, n, fp): a hash of the text, the size of its set, a digest of the set (null where it is empty)."""
+    """(doc_id, th, n, fp, bits): a hash of the text, the size of its set, a digest of the set (null where it is empty),
+    its parity bitmap."""
 
     def make():
         shingler = Shingler()
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts, n, fp = b.column("text").to_pylist(), [], []
+            texts, n, fp, bits = b.column("text").to_pylist(), [], [], []
             for i in range(0, len(texts), 512):
                 for s in shingler.sets(texts[i : i + 512]):
                     n.append(len(s))
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(fp, pa.binary())], ["doc_id", "th", "n", "fp"])
+                    bits.append(parity(s) if len(s) else None)
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "th", "n", "fp", "bits"])
 
         return run
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, f"doc_id {kind}, th long, n long, fp binary", make)
+    return map_batches(rows, f"doc_id {kind}, th long, n long, fp binary, bits binary", make)
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -111,12 +141,12 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """(gid, n, fp, z): one document for each different set; ``gid >> 33`` names the part it lies in."""
-    first = seen.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("n").alias("n"))
-    first = first.select("fp", "n", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th")).hint("shuffle_hash")
+    """(gid, n, fp, bits, z): one document for each different set; ``gid >> 33`` names the part it lies in."""
+    first = seen.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    first = first.select("fp", "n", "bits", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th")).hint("shuffle_hash")
     z = compressed(rows)
     met = z.join(first, z["_id"].eqNullSafe(first["doc_id"]) & (z["_th"] == first["th"]))
-    return cut(met.select(F.monotonically_increasing_id().alias("gid"), "n", "fp", "z"))
+    return cut(met.select(F.monotonically_increasing_id().alias("gid"), "n", "fp", "bits", "z"))
 
 
 # --- how frequent tokens are ------------------------------------------------------------------------------------
@@ -130,76 +160,84 @@ def _ranges(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return r, v, bounds
 
 
-def frequent_tokens(sets: DataFrame, bits: int) -> DataFrame:
-    """(part, r, v, code): for each part its tokens that are in more than RARE documents, packed, with the logarithm
-    of their number. All tokens are counted. A map task counts its own first; a range of hashes then holds RANGE tokens
-    or so, whatever their number in all."""
+def chunked(sizes: list[int], most: int) -> list[int]:
+    """The chunk of each document of a part, in order of numbers: a chunk is full once it has ``most`` tokens. The
+    same at each call, so what is said of a chunk's tokens can come back to it."""
+    out, chunk, held = [], 0, 0
+    for n in sizes:
+        if held >= most:
+            chunk, held = chunk + 1, 0
+        out.append(chunk)
+        held += n
+    return out
 
-    def make_map():
+
+def token_codes(sets: DataFrame, bits: int) -> DataFrame:
+    """(part, chunk, r, codes): for the ascending tokens of each chunk in each range how many documents have them, packed:
+    0 for one, 1 for up to RARE, else the logarithm. All tokens are counted. A map task counts a chunk of its own first;
+    a range of hashes then holds RANGE tokens or so, whatever their number in all. What comes back is a bit or two a
+    token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
 
-        def emit(part: int, held: list[np.ndarray], rows: list[tuple]) -> None:
+        def packed(part: int, chunk: int, held: list[np.ndarray]) -> pa.RecordBatch:
             a, counts = np.unique(np.concatenate(held), return_counts=True)
             _, v, bounds = _ranges(a, bits)
-            for r in np.flatnonzero(np.diff(bounds)).tolist():
-                s = slice(bounds[r], bounds[r + 1])
-                rows.append((r, part, pack_sorted(v[s]), pack(counts[s].astype(np.uint32))))
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            parts = b.column("part").to_pylist()
-            rows: list[tuple] = []
-            held, size, last = [], 0, None
+            some = np.flatnonzero(np.diff(bounds)).tolist()
+            vs = [pack_sorted(v[bounds[r] : bounds[r + 1]]) for r in some]
+            ns = [pack(counts[bounds[r] : bounds[r + 1]].astype(np.uint32)) for r in some]
+            k = len(some)
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * k, pa.int64()), pa.array([chunk] * k, pa.int32()), pa.array(vs, pa.binary()), pa.array(ns, pa.binary())], ["r", "part", "chunk", "v", "n"])
+
+        part, chunk, held, size = None, 0, [], 0
+        for b in batches:
+            parts, z = b.column("part").to_pylist(), b.column("z")
             for i in range(0, len(parts), 256):
-                for part, s in zip(parts[i : i + 256], shingler.sets(_texts(b.column("z").slice(i, 256))), strict=True):
-                    if held and (part != last or size > PACK):
-                        emit(last, held, rows)
-                        held, size = [], 0
+                for now, s in zip(parts[i : i + 256], shingler.sets(_texts(z.slice(i, 256))), strict=True):
+                    if held and (now != part or size >= PACK):
+                        yield packed(part, chunk, held)
+                        chunk, held, size = chunk + 1, [], 0
+                    if now != part:
+                        part, chunk = now, 0
                     held.append(s)
                     size += len(s)
-                    last = part
-            if held:
-                emit(last, held, rows)
-            r, part, v, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(part, pa.int64()), pa.array(v, pa.binary()), pa.array(n, pa.binary())], ["r", "part", "v", "n"])
-
-        return run
-
-    counted = map_batches(sets.select("part", "z"), "r int, part long, v binary, n binary", make_map)
+        if held:
+            yield packed(part, chunk, held)
 
     def total(t: pa.Table) -> pa.Table:
-        r, parts = t.column("r")[0].as_py(), t.column("part").to_pylist()
         values = [unpack_sorted(x, "<u4") for x in t.column("v").to_pylist()]
         counts = [unpack(x, "<u4") for x in t.column("n").to_pylist()]
         flat, n = np.concatenate(values), np.concatenate(counts)
         order = np.argsort(flat, kind="stable")
-        flat, n = flat[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        sums = np.add.reduceat(n.astype(np.int64), start)
-        often = sums > RARE
-        keys, codes = flat[start][often], np.log2(sums[often]).astype(np.uint8)
-        out: list[tuple] = []
-        for part, v in zip(parts, values, strict=True):
-            at = np.minimum(np.searchsorted(keys, v), max(0, len(keys) - 1))
-            hit = keys[at] == v if len(keys) else np.zeros(len(v), bool)
-            if hit.any():
-                out.append((part, r, pack_sorted(v[hit]), pack(codes[at[hit]])))
-        part, r_, v, code = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"part": pa.array(part, pa.int64()), "r": pa.array(r_, pa.int32()), "v": pa.array(v, pa.binary()), "code": pa.array(code, pa.binary())})
-
-    return counted.groupBy("r").applyInArrow(total, "part long, r int, v binary, code binary")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+        sums = np.add.reduceat(n[order].astype(np.int64), start)
+        code = np.where(sums == 1, 0, np.where(sums <= RARE, 1, np.maximum(2, np.log2(sums)))).astype(np.uint8)
+        back = np.empty(len(flat), np.uint8)
+        back[order] = np.repeat(code, np.diff(np.append(start, len(flat))))
+        ends = np.cumsum([len(v) for v in values])
+        codes = [pack(back[e - len(v) : e]) for v, e in zip(values, ends, strict=True)]
+        return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "r": t.column("r"), "codes": pa.array(codes, pa.binary())})
+
+    # Chunks follow the order of numbers, which is the order in which a part was written and is read.
+    counted = sets.select("part", "z").mapInArrow(run, "r int, part long, chunk int, v binary, n binary")
+    return counted.groupBy("r").applyInArrow(total, "part long, chunk int, r int, codes binary")
 
 
 # --- signatures -------------------------------------------------------------------------------------------------
 
 
 def signatures(tokens: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Signatures of a document: ascending token hashes with their codes (0: rare)."""
+    """Signatures of a document: ascending token hashes with their codes. Tokens that no other document has come first in
+    the order and are part of the prefix, but need no index."""
     n = len(tokens)
-    need = slack(n) + 1
-    rare = tokens[codes == 0]
+    need = slack(n) + 1 - int((codes == 0).sum())
+    if need <= 0:
+        return np.zeros(0, np.uint64)
+    rare = tokens[codes == 1]
     if len(rare) >= need:
         return rare[:need]
-    often = np.flatnonzero(codes)
+    often = np.flatnonzero(codes > 1)
     often = tokens[often[np.argsort(codes[often], kind="stable")]]
     levels = _levels()
     level = int(np.searchsorted(levels, n, side="right")) - 1
@@ -227,81 +265,89 @@ def signatures(tokens: np.ndarray, codes: np.ndarray) -> np.ndarray:
 _POSTINGS = "r int, v binary, docs binary, members binary, edges binary"
 
 
-def postings(sets: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+class Poster:
+    """Packs the signatures of a part's documents by ranges of hashes."""
+
+    def __init__(self, bits: int, hot: int, most: int) -> None:
+        self.bits, self.hot, self.most = bits, hot, most
+        self.rows: list[tuple] = []
+        self.sigs: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, gid: int, tokens: np.ndarray, codes: np.ndarray) -> None:
+        s = signatures(tokens, codes)
+        own = 127 * int((codes == 0).sum()) // max(1, len(tokens))
+        self.sigs.append(s)
+        self.ids.append(np.full(len(s), own << OWN | gid, np.int64))
+        self.size += len(s)
+        if self.size > self.most:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.size:
+            return
+        bits, s, d = self.bits, np.concatenate(self.sigs), np.concatenate(self.ids)
+        self.sigs, self.ids, self.size = [], [], 0
+        s = s >> np.uint64(32 - bits)
+        order = np.lexsort((d, s))
+        s, d = s[order], d[order]
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
+        hot = np.diff(np.append(start, len(s)))[of] > self.hot
+        first = np.zeros(len(s), bool)
+        first[start] = True
+        part, pick = (int(d[0]) & PLAIN) >> 33, np.flatnonzero(hot)
+        for q in range(0, len(pick), self.most // 8):
+            p = pick[q : q + self.most // 8]
+            self.rows.append(((part * 31 + q) % (1 << bits), None, None, pack(np.concatenate([s[p].view(np.int64), d[p]])), pack(np.concatenate([d[start[of[p]]], d[p]]) & PLAIN)))
+        keep = ~hot | first
+        s, d, hot = s[keep], d[keep], hot[keep]
+        bounds = np.searchsorted((s >> np.uint64(32)).astype(np.int64), np.arange((1 << bits) + 1))
+        v = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        d = d * 2 + hot  # the lowest bit: stands for others
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            one = slice(bounds[k], bounds[k + 1])
+            self.rows.append((k, pack_sorted(v[one]), pack(d[one]), None, None))
+
+    def table(self) -> pa.Table:
+        self.flush()
+        r, v, d, m, e = zip(*self.rows, strict=True) if self.rows else ((),) * 5
+        return pa.table({"r": pa.array(r, pa.int32()), "v": pa.array(v, pa.binary()), "docs": pa.array(d, pa.binary()), "members": pa.array(m, pa.binary()), "edges": pa.array(e, pa.binary())})
+
+
+def postings(sets: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
     """(r, v, docs, members, edges): packed signatures of a range and their documents. Of signatures that more than HOT
-    documents of a map task share, ``members`` and ``edges`` hold signature, document and the document that stands for
-    them, dealt to other ranges than their own, so that no range gathers them."""
-
-    def run(docs: pa.Table, often: pa.Table) -> pa.Table:
-        keys, codes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-        if often.num_rows:
-            r = often.column("r").to_pylist()
-            vs = [unpack_sorted(x, "<u4").astype(np.uint64) + np.uint64(k << 32) for k, x in zip(r, often.column("v").to_pylist(), strict=True)]
-            keys, codes = np.concatenate(vs), np.concatenate([unpack(x, "<u1") for x in often.column("code").to_pylist()])
-            keys, at = np.unique(keys, return_index=True)
-            codes = codes[at]
-        shingler = Shingler()
-        rows: list[tuple] = []
-        sigs: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal size
-            s, d = np.concatenate(sigs), np.concatenate(ids)
-            s = s >> np.uint64(32 - bits)
-            order = np.lexsort((d, s))
-            s, d = s[order], d[order]
-            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            run_of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
-            hot = np.diff(np.append(start, len(s)))[run_of] > HOT
-            first = np.zeros(len(s), bool)
-            first[start] = True
-            part = int(d[0]) >> 33
-            if hot.any():
-                for q in range(0, int(hot.sum()), PACK // 8):
-                    pick = np.flatnonzero(hot)[q : q + PACK // 8]
-                    rows.append(((part * 31 + q) % (1 << bits), None, None, pack(np.concatenate([s[pick].view(np.int64), d[pick]])), pack(np.concatenate([d[start[run_of[pick]]], d[pick]]))))
-            keep = ~hot | first
-            s, d, hot = s[keep], d[keep], hot[keep]
-            r = (s >> np.uint64(32)).astype(np.int64)
-            bounds = np.searchsorted(r, np.arange((1 << bits) + 1))
-            v = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            d = d * 2 + hot  # the lowest bit: stands for others
-            for k in np.flatnonzero(np.diff(bounds)).tolist():
-                one = slice(bounds[k], bounds[k + 1])
-                rows.append((k, pack_sorted(v[one]), pack(d[one]), None, None))
-            sigs.clear()
-            ids.clear()
-            size = 0
+    documents of a part share, ``members`` and ``edges`` hold signature, document and the document that stands for them,
+    dealt to other ranges than their own, so that no range gathers them. Parts meet the codes of their tokens."""
+
+    hot, most = HOT, PACK
 
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        by_chunk: dict[int, list[tuple[int, bytes]]] = {}
+        for c, r, x in zip(*(known.column(k).to_pylist() for k in ("chunk", "r", "codes")), strict=True):
+            by_chunk.setdefault(c, []).append((r, x))
         gids = docs.column("gid").to_numpy()
         order = np.argsort(gids)
-        z = docs.column("z").combine_chunks()
-        for i in range(0, len(order), 256):
-            some = order[i : i + 256]
-            for gid, tokens in zip(gids[some], shingler.sets(_texts(z.take(pa.array(some)))), strict=True):
-                key = tokens >> np.uint64(32 - bits)
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                code = np.where(keys[at] == key, codes[at], 0).astype(np.uint8) if len(keys) else np.zeros(len(tokens), np.uint8)
-                s = signatures(tokens, code)
-                sigs.append(s)
-                ids.append(np.full(len(s), gid, np.int64))
-                size += len(s)
-                if size > PACK:
-                    flush()
-        if sigs:
-            flush()
-        r, v, d, m, e = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.table({"r": pa.array(r, pa.int32()), "v": pa.array(v, pa.binary()), "docs": pa.array(d, pa.binary()), "members": pa.array(m, pa.binary()), "edges": pa.array(e, pa.binary())})
+        sizes = docs.column("n").to_numpy()[order]
+        chunk_of = np.array(chunked(sizes.tolist(), most))
+        z, shingler, poster = docs.column("z"), Shingler(), Poster(bits, hot, most)
+        for c in range(int(chunk_of.max(initial=-1)) + 1):
+            mine = order[chunk_of == c]
+            tokens = [s for i in range(0, len(mine), 256) for s in shingler.sets(_texts(z.take(pa.array(mine[i : i + 256]))))]
+            every = np.unique(np.concatenate(tokens))
+            code = np.concatenate([unpack(x, "<u1") for _, x in sorted(by_chunk[c])])
+            for gid, t in zip(gids[mine].tolist(), tokens, strict=True):
+                poster.add(gid, t, code[np.searchsorted(every, t)])
+        return poster.table()
 
-    return sets.select("part", "gid", "z").groupBy("part").cogroup(frequent.groupBy("part")).applyInArrow(run, _POSTINGS)
+    return sets.select("part", "gid", "n", "z").groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(run, _POSTINGS)
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """(list, a, b): pairs to verify with a null list, and members a of lists with a null b.
+    """(list, a, b): pairs to verify with a null list, and members a of lists with a null b (members with their share).
 
-    The documents of a signature make a star around its smallest one: pairs (a, b). Where they are three or more, or
+    The documents of a signature make a star around the one with the least of its own: pairs (a, b). Where they are three or more, or
     one stands for others, they are also a list, of which what the stars leave unlinked is looked at again. Lists of
     one range that hold the same documents are one.
     """
@@ -324,7 +370,7 @@ def candidates(packed: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(len(start)), length)
             many = length[of] > 1
             pivot = d[start][of]
-            edges.append(np.unique(np.column_stack([pivot[many], d[many]]), axis=0))
+            edges.append(np.unique(np.column_stack([pivot[many], d[many]]) & PLAIN, axis=0))
             stands = np.add.reduceat(hot, start) > 0 if len(start) else np.zeros(0, bool)
             # a list is named by the sum of its members' hashes, one with hot members by its signature
             name = np.add.reduceat(mix(d.astype(np.uint64)), start).view(np.int64) if len(start) else np.zeros(0, np.int64)
@@ -337,7 +383,7 @@ def candidates(packed: DataFrame) -> DataFrame:
             pick = chosen[of]
             members.append(np.column_stack([name[of][pick], d[pick]]))
         e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        e = e[e[:, 0] != e[:, 1]]
+        e = np.sort(e[e[:, 0] != e[:, 1]], axis=1)
         m = np.concatenate(members) if members else np.zeros((0, 2), np.int64)
         null = lambda n: pa.nulls(n, pa.int64())
         return pa.table({"list": pa.concat_arrays([null(len(e)), pa.array(m[:, 0])]), "a": pa.concat_arrays([pa.array(e[:, 0]), pa.array(m[:, 1])]), "b": pa.concat_arrays([pa.array(e[:, 1]), null(len(m))])})
@@ -345,17 +391,109 @@ def candidates(packed: DataFrame) -> DataFrame:
     return packed.groupBy("r").applyInArrow(run, "list long, a long, b long").distinct()
 
 
+def sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and bitmaps don't rule out; most chance candidates go here, before any text moves."""
+    one = sets.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    two = sets.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            ok = [may_link(*x) for x in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True)]
+            return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return run
+
+    return map_batches(pairs.join(one, "a").join(two, "b").where(size), "a long, b long", make)
+
+
+def _folded(m: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows) of ``size`` bytes from larger ones."""
+    return m if m.shape[1] == size else np.bitwise_xor.reduce(m.reshape(len(m), -1, size), 1)
+
+
+def across(meet: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) that sizes and bitmaps don't rule out, for documents and components that met (x, c), each document with all
+    members. Small components are joined; larger ones are held against their documents in blocks of TILE by TILE, in
+    numpy, so that what is ruled out never becomes a row."""
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
+    met = meet.join(sizes, F.col("c") == F.col("comp"), "left").select("x", "c", F.coalesce("size", F.lit(1)).alias("size"))
+    few = met.where(F.col("size") <= FEW).join(comps, F.col("c") == F.col("comp"), "left").select("x", F.coalesce("node", "c").alias("y"))
+    few = sifted(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+    many = met.where(F.col("size") > FEW)
+    grid = many.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nx"), F.ceil(F.first("size") / TILE).cast("int").alias("ny"))
+    dealt = lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = sets.select(F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    two = sets.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    left = many.select("x", "c").join(grid, "c").select("c", "x", dealt("x", "nx").alias("i"), all_of("ny").alias("j")).join(one, "x")
+    shape = grid.select(F.col("c").alias("rc"), "nx", "ny")
+    right = comps.join(shape, F.col("comp") == F.col("rc")).select("rc", F.col("node").alias("y"), all_of("nx").alias("ri"), dealt("node", "ny").alias("rj")).join(two, "y")
+
+    def block(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        gy, ny, by = ys.column("y").to_numpy(), ys.column("ny").to_numpy(), ys.column("by").to_pylist()
+        lengths = np.array([len(b) for b in by])
+        of = {k: np.flatnonzero(lengths == k) for k in set(lengths.tolist())}
+        maps = {k: np.frombuffer(b"".join([by[i] for i in at]), np.uint8).reshape(-1, k) for k, at in of.items()}
+        folds: dict[tuple[int, int], np.ndarray] = {}
+        a, b = [], []
+        for x, nx, bx in zip(*(xs.column(k).to_pylist() for k in ("x", "nx", "bx")), strict=True):
+            mine = np.frombuffer(bx, np.uint8)[None]
+            for k, at in of.items():
+                size = min(k, len(bx))
+                if (k, size) not in folds:
+                    folds[k, size] = _folded(maps[k], size)
+                apart = np.bitwise_count(folds[k, size] ^ _folded(mine, size)).sum(1, dtype=np.int64)
+                n = ny[at]
+                shared = (nx + n - apart) // 2
+                ok = (100 * shared >= PERCENT * (nx + n - shared)) & (np.minimum(n, nx) * 100 >= PERCENT * np.maximum(n, nx))
+                hit = gy[at[ok]]
+                a.append(np.minimum(hit, x))
+                b.append(np.maximum(hit, x))
+        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": join(a), "b": join(b)})
+
+    return few.unionByName(left.groupBy("c", "i", "j").cogroup(right.groupBy("rc", "ri", "rj")).applyInArrow(block, "a long, b long")).where("a <> b").distinct()
+
+
+def unlinked_lists(member: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(list, a, comp, alone, major, n, s) of lists whose documents are in several components: ``alone`` says that a
+    document has no link, ``major`` is the component with most of the list, ``s`` bounds what a document can share."""
+    member = member.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left")
+    member = member.withColumn("alone", F.col("comp").isNull()).withColumn("comp", F.coalesce("comp", "a"))
+    sizes = member.groupBy("list", "comp").count()
+    mixed = sizes.groupBy("list").agg(F.count("*").alias("k"), F.max_by("comp", "count").alias("major")).where("k > 1").select("list", "major")
+    member = member.join(mixed, "list").join(sets.select(F.col("gid").alias("a"), "n"), "a")
+    return member.select("list", "a", "comp", "alone", "major", "n", (F.col("n") - F.ceil(F.col("own") * F.col("n") / 127)).alias("s"))
+
+
+def meetings(member: DataFrame) -> DataFrame:
+    """(x, c): documents and components to be held against each other, for two components of a list once: a document
+    outside of the list's major component with that, or with one of a smaller number. Left out is what can't link by
+    sizes and by what documents have alone; two lone documents meet in the first only of the lists that their sketches
+    have in common, however many they share."""
+    sketch = member.where("alone").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("list")), 1, SKETCH).alias("sketch"))
+    member = member.join(sketch, "a", "left")
+    x = member.where("comp <> major").select("list", F.col("a").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sketch").alias("kx"))
+    c = member.groupBy("list", F.col("comp").alias("c"), (F.col("comp") == F.col("major")).alias("main")).agg(F.min("n").alias("nc"), F.max("n").alias("xc"), F.max("s").alias("sc"), F.first("sketch").alias("kc"))
+    one = F.col("main") | (F.col("cx") > F.col("c"))
+    fits = (F.col("nx") * 100 >= F.col("nc") * PERCENT) & (F.col("xc") * 100 >= F.col("nx") * PERCENT) & (F.least("sx", "sc") * (100 + PERCENT) >= (F.col("nx") + F.col("nc")) * PERCENT)
+    before = F.arrays_overlap(F.filter("kx", lambda k: k < F.col("list")), F.col("kc"))
+    # What is main in one list may be left to the other document's turn in another, so only lists without main count.
+    first = F.col("main") | ~F.coalesce(before & F.col("kx").isNotNull() & F.col("kc").isNotNull(), F.lit(False))
+    return x.join(c, "list").where((F.col("cx") != F.col("c")) & one & fits & first).select("x", "c").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Only documents that occur in pairs leave their place."""
+    """The pairs (a, b) of sifted ones that link, by their whole sets. Only texts of documents in pairs leave their place."""
     pairs = cut(pairs)
     need = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
     if need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         need = F.broadcast(need)
-    held = cut(sets.select("gid", "n", "z").join(need, "gid", "left_semi"))
-    one = held.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("z").alias("za"))
-    two = held.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("z").alias("zb"))
-    size = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    full = pairs.join(one.drop("za"), "a").join(two.drop("zb"), "b").where(size).select("a", "b").join(two.drop("nb"), "b").join(one.drop("na"), "a")
+    held = cut(sets.select("gid", "z").join(need, "gid", "left_semi"))
+    one = held.select(F.col("gid").alias("a"), F.col("z").alias("za"))
+    two = held.select(F.col("gid").alias("b"), F.col("z").alias("zb"))
+    full = pairs.join(two, "b").join(one, "a")
 
     def make():
         shingler = Shingler()
@@ -398,19 +536,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = distinct_sets(rows, seen).withColumn("part", F.shiftright("gid", 33))
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     bits = max(2, int(max(1, tokens // RANGE)).bit_length())
-    found = cut(candidates(postings(sets, frequent_tokens(sets, bits), bits)))
+    found = cut(candidates(postings(sets, token_codes(sets, bits), bits)))
     stars = found.where("list is null").select("a", "b")
-    links = cut(verified(stars, sets))
+    tested = cut(sifted(stars, sets))
+    links = cut(verified(tested, sets))
     comps = cut(components(links))
-    member = found.where("list is not null").select("list", "a")
-    member = member.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    sizes = member.groupBy("list", "comp").count()
-    mixed = sizes.groupBy("list").agg(F.count("*").alias("k"), F.max_by("comp", "count").alias("major")).where("k > 1").select("list", "major")
-    member = cut(member.join(mixed, "list"))
-    x = member.where("comp <> major").select("list", F.col("a").alias("x"), F.col("comp").alias("cx"))
-    y = member.select("list", F.col("a").alias("y"), F.col("comp").alias("cy"))
-    across = x.join(y, "list").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), sets))
+    member = cut(unlinked_lists(found.where("list is not null").select("list", F.col("a").bitwiseAND(PLAIN).alias("a"), F.shiftright("a", OWN).alias("own")), comps, sets))
+    meet = cut(meetings(member))
+    more = cut(verified(across(meet, comps, sets).join(tested, ["a", "b"], "left_anti"), sets))
     if more.limit(1).count():
         comps = cut(components(links.union(more)))
     smallest = seen.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))

@@ -14,7 +14,7 @@ _LOWER[0x41:0x5B] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at a time; longer texts are hashed alone.
-STRETCH = 1 << 22
+STRETCH = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ class Shingler:
     def word_hashes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words in bytes, and where each begins: the polynomial of a word's bytes, mixed."""
         if len(raw) >= len(self.up):
-            self.up, self.down = _powers(2 * len(raw))
+            self.up, self.down = _powers(len(raw) * 5 // 4 + 1)
         blank = _BLANK[raw]
         inside = ~blank
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))

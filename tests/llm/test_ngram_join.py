@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpuslab.llm import decontamination, ngram_join, shingles
-from corpuslab.llm.components import components
+from corpuslab.llm.components import components, star_components
 from corpuslab.llm.shingles import shingle_strings
 
 
@@ -57,9 +57,12 @@ def result(df):
     return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed,rare,hot", [(1, 12, 64), (2, 2, 3), (3, 1, 2), (4, 0, 2)])
-def test_components_as_brute_force(spark, monkeypatch, seed, rare, hot):
+@pytest.mark.parametrize("seed,rare,hot,hand", [(1, 12, 64, 10**6), (2, 2, 3, 0), (3, 1, 2, 10**6), (4, 0, 2, 0)])
+def test_components_as_brute_force(spark, monkeypatch, seed, rare, hot, hand):
     monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "PACK", 3000 if hand else 2_000_000)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", hand)
+    monkeypatch.setattr(ngram_join, "FEW", 3 if hand else 16)
     monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = [(i * 7 % 1009, t) for i, t in enumerate(made_texts(seed, 240))]
     rows += [(5000, None), (5001, ""), (5002, " \n\t"), (5003, rows[0][1]), (5003, rows[1][1]), (None, rows[2][1]), (5004, "x " * 30000), (5005, "one"), (5006, "One"), (5006, "one"), (5007, None)]
@@ -70,6 +73,8 @@ def test_components_as_brute_force(spark, monkeypatch, seed, rare, hot):
 def test_a_group_of_near_copies_and_one_passage(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "RARE", 3)
     monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
     r = random.Random(5)
     base = ["w%d" % r.randrange(500) for _ in range(200)]
     rows = []
@@ -99,6 +104,22 @@ def test_shingle_hashes_as_tuples():
     assert len(np.intersect1d(one, two)) == 2
 
 
+def test_bitmaps_rule_out_no_link():
+    r = random.Random(4)
+    texts = made_texts(4, 120) + ["q%d " % i * r.randrange(1, 9) for i in range(20)] + [" ".join("v%d" % r.randrange(3000) for _ in range(n)) for n in (900, 950, 1100, 2600)]
+    texts += [t + " and a bit more" for t in texts]
+    sets = [s for s in shingles.Shingler().sets(texts) if len(s)]
+    ruled = linked = 0
+    for a in sets:
+        for b in sets:
+            inter = len(np.intersect1d(a, b))
+            link = 100 * inter >= 75 * (len(a) + len(b) - inter)
+            may = ngram_join.may_link(len(a), len(b), ngram_join.parity(a), ngram_join.parity(b))
+            assert may or not link
+            ruled, linked = ruled + (not may), linked + link
+    assert ruled > len(sets) ** 2 / 2 and linked > len(sets)
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7)]
@@ -112,9 +133,10 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {x["node"]: x["comp"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {n: find(n) for n in {x for a, b in links if a != b for x in (a, b)}}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    for f in (components, star_components):
+        got = {x["node"]: x["comp"] for x in f(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {n: find(n) for n in {x for a, b in links if a != b for x in (a, b)}}
+        assert f(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def brute_contained(docs, items):

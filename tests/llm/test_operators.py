@@ -1,0 +1,245 @@
+"""Secrets, token counts, personal data, exact dedup, BPE, URL filter: against plain Python or the libraries."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslab.llm import bpe, common, exact_dedup, pii, queries, secret_scan, token_counts, url_filter
+
+ODD = [None, "", " ", "\n\t\x0b", "a", "é" * 3000, "x " * 40000, "\x00\x01", "\U0001f600 ok", "<|endoftext|> and <s>", "▁▁ a"]
+
+
+def documents(spark, texts, extra=True):
+    rows = [(i if i % 17 else None, t, "k", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, keep_id string, blob int").repartition(3)
+
+
+# --- secrets
+
+
+def brute_secrets(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def secret_texts():
+    r = random.Random(1)
+    bits = ["token", "Secret", "PASSWD", "api_key", "apikey", " = ", ":", "'", '"', "AKIA", "ABCDEFGH1234567890", "0123456789abcdef0", "deadbeef", " ", "é", "token: password: abcdefghijklmn", "ſecret=abcdefghijklmnop", "-----BEGIN RSA PRIVATE KEY-----", "https://u:longpass@host/", "\n"]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(400)]
+
+
+def test_secrets(spark):
+    texts = secret_texts() + ODD
+    for t in texts:
+        assert [s for s in secret_scan.find_secrets(t or "") if s[1] < 3] == brute_secrets(t)
+    df = documents(spark, texts)
+    got = {}
+    for r in secret_scan.digest_columns(secret_scan.secret_report(df)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(texts)
+    names = ("assign", "access", "hex")
+    for i, t in enumerate(texts):
+        if i % 17 == 0:
+            continue
+        (r,) = got[i]
+        want = brute_secrets(t)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in want) for j in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in want).encode()).hexdigest()
+        assert {f"{names[k]}:{s}:{e}" for s, k, e in want} <= set(r["spans"].split(",")) | {""}
+
+
+def test_ledger_scans_only_what_is_unseen(spark):
+    old = spark.createDataFrame([(1, "token = abcdefghijklmnop"), (2, "clean"), (3, "clean")], "doc_id long, text string")
+    paths, found = secret_scan.scan_blobs(old)
+    ledger = common.cut(found)
+    assert ledger.count() == 2 and paths.count() == 3
+    new = old.unionByName(spark.createDataFrame([(4, "token = abcdefghijklmnop"), (5, "secret: qrstuvwxyzabc"), (5, "secret: qrstuvwxyzabc"), (None, "clean")], old.schema))
+    _, fresh = secret_scan.scan_blobs(new, ledger)
+    assert [r["kinds"] for r in fresh.collect()] == [["assign"]]
+    report = secret_scan.secret_report(new, ledger)
+    assert sorted((r["doc_id"] or 0, len(r["starts"])) for r in report.collect()) == [(0, 0), (1, 1), (2, 0), (3, 0), (4, 1), (5, 1), (5, 1)]
+    other = ledger.withColumn("rules", F.lit("0"))
+    assert secret_scan.scan_blobs(new, other)[1].count() == 3  # of another version of the rules
+    assert secret_scan.secret_report(old.where("false")).collect() == []
+
+
+# --- tokens
+
+
+def random_texts(seed, n, alphabet):
+    r = random.Random(seed)
+    return ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(n)]
+
+
+def test_token_counts_as_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path(token_counts.MODEL))
+    texts = random_texts(2, 500, [*"ab et\n\t▁ .,é́ﬁ中\x00", "the", " and", "<s>", "ing"]) + ODD
+    got = token_counts.count_tokens(documents(spark, texts)).collect()
+    assert sorted(((r["doc_id"] or -1), r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in got) == sorted(
+        (-1 if i % 17 == 0 else i, n := len(sp.encode(t or "")), len((t or "").encode()), n > 4096) for i, t in enumerate(texts)
+    )
+
+
+def test_bpe_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(common.tokenizer_path(bpe.VOCABULARY))
+    texts = random_texts(3, 500, [*"ab et\n'stréΣİß中١²٣\x00\x1c\x85\u3000\u200b", "<|endoftext|>", "<|startoftext|>", "<|", "é", "'ll", "ing"]) + ODD
+    got = bpe.encode_decode(documents(spark, texts), keep=("ids", "decoded")).collect()
+    want = []
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((-1 if i % 17 == 0 else i, ids, lib.decode(ids, skip_special_tokens=False)))
+    assert sorted((r["doc_id"] or -1, r["ids"], r["decoded"]) for r in got) == sorted(want)
+    model = bpe.PairIndexBPE(common.tokenizer_path(bpe.VOCABULARY))
+    for r in got:
+        raw = np.array(r["ids"], "<u4").tobytes()
+        assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(raw).hexdigest() and model.decode(raw) == r["decoded"]
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+
+
+def test_a_memory_that_forgets():
+    model = bpe.PairIndexBPE(common.tokenizer_path(bpe.VOCABULARY), 5)
+    texts = random_texts(4, 60, [*"abc de", "ing "])
+    assert [x for t in texts for x in model.encode([t])] == bpe.PairIndexBPE(common.tokenizer_path(bpe.VOCABULARY)).encode(texts)
+
+
+# --- personal data
+
+
+def brute_personal(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(n):
+        total = 0
+        for i, c in enumerate(reversed(n)):
+            d = int(c) * (2 if i % 2 else 1)
+            total += d if d < 10 else d - 9
+        return total % 10 == 0
+
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def test_personal_data(spark):
+    texts = random_texts(5, 600, [*"ab@.+1 -2(5)é%", "4111111111111111", "10.0.0.255", "a.b@c.org ", "+44 20 7946 0958"]) + ODD + ["call +1 (269) 555-3296 4524132264652876 now"]
+    got = pii.digest_columns(pii.find_personal_data(documents(spark, texts))).collect()
+    assert len(got) == len(texts)
+    of = {r["doc_id"]: r for r in got}
+    for i, t in enumerate(texts):
+        want = brute_personal(t or "")
+        assert pii.base_spans(t or "") == want
+        if i % 17:
+            assert of[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+            assert [of[i][f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == j for w in want) for j in range(4)]
+    last = of[len(texts) - 1]
+    assert last["n_phone"] == 0 and "phone:5:22" in last["spans"] and "card:23:39" in last["spans"]  # the field parts them
+
+
+def test_viterbi_as_brute_force():
+    import itertools
+
+    crf = pii._crf()
+    sequences = [["call", "+12", "345", "6789012", "now"], ["a"], ["10.0.0.1,"], ["x@y.org", "5", "-"]]
+    for seq, path in zip(sequences, crf.viterbi(sequences)):
+        e = crf.emit[crf.indices(seq)].sum(1)
+        score = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(crf.move[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(seq)), key=score)
+        assert score(tuple(path)) == pytest.approx(score(best))
+    table = pii.labelled_table()
+    assert np.mean([(p == np.array(y)).all() for (_, y), p in zip(table, crf.viterbi([t for t, _ in table]))]) > 0.97
+
+
+# --- exact dedup
+
+
+def brute_dedup(rows):
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), d is None, d if d is not None else 0))
+    out = []
+    for d, t in rows:
+        k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best = min(groups[k])
+        out.append((d, None if best[1] else best[2], len(groups[k]), hashlib.sha256(k.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def dedup_rows():
+    r = random.Random(6)
+    texts = random_texts(7, 60, "ab \n")
+    rows = [(i, r.choice(texts)) for i in range(600)] + [(1000 + i, " hot  text" if i % 3 else "hot text") for i in range(400)]
+    return rows + [(2000, None), (2001, ""), (None, "alone"), (None, "hot text"), (2002, "same"), (2002, "same"), (None, "nul"), (None, "nul")]
+
+
+@pytest.mark.parametrize("support", [0.001, 0.3])
+def test_exact_dedup(spark, monkeypatch, support):
+    monkeypatch.setattr(exact_dedup, "SUPPORT", support)
+    rows = dedup_rows()
+    df = spark.createDataFrame([(*x, 5, True) for x in rows], "doc_id long, text string, group_size int, kept boolean").repartition(7)
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == brute_dedup(rows)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len({r["text_sha256"] for r in got}) == len({r["text_sha256"] for r in kept})
+    assert all(r["doc_id"] == r["keep_id"] for r in kept)
+    stay = exact_dedup.keep_first(df)
+    assert stay.columns == df.columns and stay.count() == len(kept)
+    assert exact_dedup.exact_dedup(df.where("false")).collect() == []
+    assert exact_dedup.keep_first(df.where("false")).collect() == []
+
+
+def test_frequent_digests_are_all_found(spark):
+    keyed = spark.range(20000).select(F.when(F.col("id") % 40 < 13, F.concat(F.lit("h"), (F.col("id") % 40).cast("string"))).otherwise(F.col("id").cast("string")).alias("text_sha256")).repartition(16)
+    found = {r[0] for r in exact_dedup.frequent_digests(keyed).collect()}
+    assert {f"h{i}" for i in range(13)} <= found and len(found) <= 1000
+
+
+# --- URLs
+
+
+def brute_judge(url, rules, listed):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        m = re.match(r"[^/?#]*", rest)
+        host = m[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        path = re.match(r"[^?#]*", rest[m.end() :])[0]
+    fit = lambda h, p: (host == h or host.endswith("." + h)) and path.startswith(p)
+    best = max(((len(h + p), len(h), h + p, v) for h, p, v in rules if fit(h, p)), default=None)
+    hit = any(fit(*x.split("/", 1)[:1], "/" + x.split("/", 1)[1]) for x in listed)
+    return host, path, best and best[2], best[3] if best else "block" if hit else "allow", hit
+
+
+def test_urls(spark):
+    r = random.Random(8)
+    parts = ["http", "://", "www.", "Example.", "example.net", "net", "org", "com", "/en/", "/fr/", "/de/", "/", "?q=/en/", "#x", "a.", "cheap-pills.example.org", "..", "é"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randrange(8))) for _ in range(1500)] + [None, "", "://", "http://", "http://net", "http://net/", "http://NET/en/", "x://a://b/", "http://" + "a." * 300 + "net/" + "b/" * 300]
+    df = spark.createDataFrame([(i if i % 11 else None, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(4)
+    rules = url_filter.rule_table(spark, queries.URL_RULES, queries.LISTED_URLS)
+    got = url_filter.judge_urls(df, rules).collect()
+    want = [(i if i % 11 else None, *brute_judge(u, queries.URL_RULES, queries.LISTED_URLS)) for i, u in enumerate(urls)]
+    assert sorted((tuple(x) for x in got), key=str) == sorted(want, key=str)
+    assert url_filter.judge_urls(df.where("false"), rules).collect() == []
+    assert {x["verdict"] for x in url_filter.judge_urls(df, rules.where("false")).collect()} == {"allow"}
+
+
+def test_many_listed_urls(spark):
+    listed = [f"site{i}.example.com/" for i in range(3000)]
+    rules = url_filter.rule_table(spark, [("example.com", "/ok/", "allow")], listed)
+    df = spark.createDataFrame([(i, f"https://www.site{i}.example.com/{'ok/' if i % 2 else ''}p") for i in range(0, 6000, 3)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {i: "allow" if i % 2 or i >= 3000 else "block" for i in range(0, 6000, 3)}
+    with pytest.raises(ValueError):
+        url_filter.rule_table(spark, [("example.com", "/x", "block")])
