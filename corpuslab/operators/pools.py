@@ -24,10 +24,11 @@ def with_facts(c: Column, leader: Column) -> Column:
 def comparable(candidates: Column, most: int = P.COMPARED) -> Column:
     """The first ``most`` candidates that answer the typed key, or none where the gate declines: the leader is a
     trusted dictionary hit, or doesn't answer, or fewer than two compare."""
-    leader = candidates[0]
+    leader = F.get(candidates, F.lit(0))
     facts = F.transform(candidates, lambda c: with_facts(c, leader))
     same = F.slice(F.filter(facts, lambda c: c["answers"]), 1, most)
-    open_ = (F.size(candidates) > 0) & ~facts[0]["trusted"] & facts[0]["answers"] & (F.size(same) >= 2)
+    first = F.get(facts, F.lit(0))
+    open_ = ~first["trusted"] & first["answers"] & (F.size(same) >= 2)
     return F.when(open_, same).otherwise(F.slice(same, 1, 0))
 
 

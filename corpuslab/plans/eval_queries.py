@@ -278,7 +278,7 @@ def _facts(spark, sf):
 @query("WITH " + FACTS + " SELECT id, array_to_string(list_transform(same, lambda x: CAST(x.text AS VARCHAR)), ',') AS first_nine FROM k")
 def t01_first_nine(spark, sf):
     f = _facts(spark, sf)
-    same = F.slice(F.filter(F.transform("c", lambda x: D.with_facts(x, F.col("c")[0])), lambda x: x["answers"]), 1, 9)
+    same = F.slice(F.filter(F.transform("c", lambda x: D.with_facts(x, F.get("c", F.lit(0)))), lambda x: x["answers"]), 1, 9)
     return f.select("id", F.array_join(F.transform(same, lambda x: x["text"]), ",").alias("first_nine"))
 
 
@@ -296,7 +296,7 @@ def d04_gate(spark, sf):
 
 @query("WITH " + FACTS + " SELECT count(*) AS cases, CAST(sum(len(list_filter(f, lambda x: x.answers))) AS BIGINT) AS answering, CAST(sum(len(list_filter(f, lambda x: x.trusted))) AS BIGINT) AS trusted FROM k")
 def d05_fallback_facts(spark, sf):
-    f = _facts(spark, sf).select(F.transform("c", lambda x: D.with_facts(x, F.col("c")[0])).alias("f"))
+    f = _facts(spark, sf).select(F.transform("c", lambda x: D.with_facts(x, F.get("c", F.lit(0)))).alias("f"))
     count = lambda k: F.sum(F.size(F.filter("f", lambda x: x[k])))
     return f.agg(F.count("*").alias("cases"), count("answers").alias("answering"), count("trusted").alias("trusted"))
 

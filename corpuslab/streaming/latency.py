@@ -31,9 +31,9 @@ def keep_first_stream(lines: DataFrame, content: str, time: str, late: str = "1
     return lines.withWatermark(time, late).dropDuplicatesWithinWatermark([content])
 
 
-def shared_prefixes(keys: DataFrame, session: str, order: str, text: str, timeout_ms: int = 60_000) -> DataFrame:
+def shared_prefixes(keys: DataFrame, session: str, order: str, text: str, timeout_ms: int | None = 60_000) -> DataFrame:
     """For each keystroke of a session how many characters of its text the one before had already: what a cache keeps.
-    The state is the last text; it is dropped when a session is idle."""
+    The state is the last text; it is dropped when a session is idle for ``timeout_ms``, with None never."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,8 +47,9 @@ def shared_prefixes(keys: DataFrame, session: str, order: str, text: str, timeou
             out.append((key[0], at, n))
             last = t
         state.update((last,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=[session, order, "shared"])
 
     kinds = {f.name: f.dataType.simpleString() for f in keys.schema}
-    return keys.select(session, order, text).groupBy(session).applyInPandasWithState(update, f"{session} {kinds[session]}, {order} {kinds[order]}, shared int", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keys.select(session, order, text).groupBy(session).applyInPandasWithState(update, f"{session} {kinds[session]}, {order} {kinds[order]}, shared int", "last string", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

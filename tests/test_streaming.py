@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.sources.writers import ProgressFile, write_batch_once
@@ -10,14 +11,16 @@ def events(spark):
 
 
 def stream(spark, path, df, files):
-    df.repartitionByRange(files, "ts").write.parquet(path)
+    """Files are read in the order in which they were written, one a batch."""
+    numbered = df.withColumn("_n", F.ntile(files).over(Window.orderBy("ts")))
+    for i in range(files):
+        numbered.where(F.col("_n") == i + 1).drop("_n").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def run(spark, df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     return spark.table(name)
 
 
@@ -38,7 +41,7 @@ def test_prefixes_of_a_session(spark, tmp_path):
     keys = spark.createDataFrame([("s", 1, "ni"), ("s", 2, "nih"), ("s", 3, "nx"), ("t", 1, "a")], "session string, at int, text string")
     keys.coalesce(1).write.parquet(str(tmp_path / "k"))
     df = spark.readStream.schema(keys.schema).parquet(str(tmp_path / "k"))
-    got = run(spark, latency.shared_prefixes(df, "session", "at", "text"), "p", "append")
+    got = run(spark, latency.shared_prefixes(df, "session", "at", "text", None), "p", "append")
     assert sorted(map(tuple, got.collect())) == [("s", 1, 0), ("s", 2, 2), ("s", 3, 1), ("t", 1, 0)]
 
 
@@ -46,8 +49,7 @@ def test_batches_and_progress(spark, tmp_path):
     e = events(spark)
     listener = ProgressFile(str(tmp_path / "progress.json"))
     spark.streams.addListener(listener)
-    q = stream(spark, str(tmp_path / "e"), e, 2).writeStream.foreachBatch(write_batch_once(str(tmp_path / "out"))).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream(spark, str(tmp_path / "e"), e, 2).writeStream.foreachBatch(write_batch_once(str(tmp_path / "out"))).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     spark.streams.removeListener(listener)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 400
