@@ -45,7 +45,7 @@ def luhn(number: str) -> bool:
 
 def is_ip(s: str) -> bool:
     parts = s.split(".")
-    return len(parts) == 4 and all(p and len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in parts)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -139,9 +139,9 @@ class ShapeCRF:
 
     @staticmethod
     def indices(tokens: list[str]) -> np.ndarray:
-        """Features of each word and of its neighbours (the neighbours' apart from its own)."""
+        """Features of each word and of its neighbours (the neighbours' apart from its own); an empty word is the edge."""
         own = [word_features(w) for w in tokens]
-        none = (0,) * len(word_features(""))
+        none = word_features("")
         return np.array([a + tuple(SHAPES + x for x in p) + tuple(2 * SHAPES + x for x in n) for a, p, n in zip(own, [none, *own[:-1]], [*own[1:], none], strict=True)])
 
     def viterbi(self, sequences: list[list[str]]) -> list[np.ndarray]:

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -46,14 +47,17 @@ def test_codewords_differ():
         assert len({tuple(r) for r in c}) == k
 
 
-def test_toxicity(spark):
-    docs, labels = common.as_table(spark, DATA, "documents"), common.as_table(spark, DATA, "labels")
+@pytest.mark.parametrize("sf,least", [("0.01", 0.95), ("0.1", 0.99)])
+def test_toxicity(spark, sf, least):
+    """The smaller table has 33 toxic texts to learn from, the larger some 300."""
+    data = f"/root/testdata/sf{sf}"
+    docs, labels = common.as_table(spark, data, "documents"), common.as_table(spark, data, "labels")
     model = toxicity.train(docs, labels)
     got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").collect()
     assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     out = [r for r in got if r["held_out"]]
     clean, toxic = [r["score"] for r in out if not r["toxic"]], [r["score"] for r in out if r["toxic"]]
-    assert np.mean([t > c for t in toxic for c in clean]) > 0.97
+    assert np.mean([t > c for t in toxic for c in clean]) > least
     assert np.mean([s >= 0.7 for s in clean]) < 0.02
     long = " ".join(["the and of"] * 30000) + " you pathetic worthless idiot scum " + " ".join(["in on at"] * 30000)
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, long)], "doc_id long, text string")
