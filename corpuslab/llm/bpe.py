@@ -7,19 +7,20 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from corpuslab.llm.common import batch, id_and_text, map_batches, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: A Python worker remembers ids of so many chunks and words that it met lately, and of as many from before.
+#: Chunks and words of which a Python worker remembers ids: so many that it met lately, and as many from before.
 REMEMBERED = 200_000
 SHIFT = 32
 #: Texts encoded together, by count and by characters.
@@ -29,15 +30,16 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 
 class Recent(dict):
-    """A memory of a bounded size: what was met in the present or the last stretch of ``REMEMBERED`` entries stays."""
+    """A memory of a bounded size: what was met in the present or the last stretch of ``most`` entries stays."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
         self.old: dict = {}
+        self.most = most
 
     def lacking(self, keys: set[str]) -> list[str]:
         """Brings back what is remembered of ``keys`` and gives the others."""
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         old, fresh = self.old, []
@@ -66,7 +68,7 @@ class PairIndexBPE:
     lowest pair first gives.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -101,7 +103,7 @@ class PairIndexBPE:
         letters = byte_letters()
         self.first = np.array([self.ids[c] for c in letters], np.int64)
         self.last = np.array([self.ids[c + self.suffix] for c in letters], np.int64)
-        self.ids_of, self.said_of, self.word_ids, self.word_said = Recent(), Recent(), Recent(), Recent()
+        self.ids_of, self.said_of, self.word_ids, self.word_said = (Recent(remembered) for _ in range(4))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (a match of the pattern), all words together."""
@@ -221,50 +223,59 @@ class PairIndexBPE:
 
 
 @lru_cache(1)
-def _bpe(path: str) -> PairIndexBPE:
-    return PairIndexBPE(path)
+def _bpe(path: str, remembered: int) -> PairIndexBPE:
+    return PairIndexBPE(path, remembered)
 
 
-def _groups(texts: list[str]):
+def _groups(lengths: list[int]) -> Iterator[tuple[int, int]]:
     """Bounds of groups of at most TEXTS texts and, but for a single longer one, CHARS characters."""
     i = 0
-    while i < len(texts):
+    while i < len(lengths):
         j, chars = i, 0
-        while j < len(texts) and j - i < TEXTS and (j == i or chars + len(texts[j]) <= CHARS):
-            chars += len(texts[j])
+        while j < len(lengths) and j - i < TEXTS and (j == i or chars + lengths[j] <= CHARS):
+            chars += lengths[j]
             j += 1
         yield i, j
         i = j
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: Sequence[str] = (), remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256; also what ``keep`` names of
     ids and decoded.
 
     Special strings inside texts become their ids, as is the library's default. A null or empty text has no ids and
     decodes to an empty text. Ids of rows may be null or repeat; an empty table gives no rows. There is no shuffle.
+
+    A Python worker keeps what it ``remembered`` for its next tasks; with ``lasting`` off it is dropped with each task,
+    for jobs whose workers do other things besides.
     """
 
     def make():
-        bpe = _bpe(tokenizer_path(VOCABULARY, folder))
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column("text").to_pylist()
-            n, ids_sha, text_sha, all_ids, all_texts = [], [], [], [], []
-            for i, j in _groups(texts):
-                gc.disable()  # nothing here makes cycles, and the memories are costly to walk
-                encoded = bpe.encode(texts[i:j])
-                gc.enable()
-                for ids, decoded in encoded:
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if "ids" in keep:
-                        all_ids.append(np.frombuffer(ids, "<u4").astype("i4"))
-                    if "decoded" in keep:
-                        all_texts.append(decoded)
-            more = {k: v for k, v in (("ids", (all_ids, pa.list_(pa.int32()))), ("decoded", (all_texts, pa.string()))) if k in keep}
-            return batch(doc_id=(b.column("doc_id"), None), n_tokens=(n, pa.int64()), ids_sha256=(ids_sha, pa.string()), decoded_sha256=(text_sha, pa.string()), **more)
+        path = tokenizer_path(VOCABULARY, folder)
+        bpe = _bpe(path, remembered) if lasting else PairIndexBPE(path, remembered)
+
+        def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
+            gc.disable()  # nothing here makes cycles, and the memories are costly to walk
+            pairs = bpe.encode(b.column("text").to_pylist())
+            gc.enable()
+            more = {}
+            if "ids" in keep:
+                ids = pa.array(np.frombuffer(b"".join([x for x, _ in pairs]), "<i4"), pa.int32())
+                more["ids"] = (pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x, _ in pairs)], dtype="i4"), ids), None)
+            if "decoded" in keep:
+                more["decoded"] = ([x for _, x in pairs], pa.string())
+            return batch(
+                doc_id=(b.column("doc_id"), None),
+                n_tokens=([len(x) // 4 for x, _ in pairs], pa.int64()),
+                ids_sha256=([hashlib.sha256(x).hexdigest() for x, _ in pairs], pa.string()),
+                decoded_sha256=([hashlib.sha256(x.encode()).hexdigest() for _, x in pairs], pa.string()),
+                **more,
+            )
+
+        def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            lengths = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
+            for i, j in _groups(lengths):
+                yield encoded(b.slice(i, j - i))
 
         return run
 

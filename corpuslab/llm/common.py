@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -43,16 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` with a function that ``make()`` prepares once for each partition."""
+def release() -> None:
+    """Gives what is freed back to the system: Python workers outlive their tasks, and several wait beside those at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]]) -> DataFrame:
+    """``mapInArrow`` with a function that ``make()`` prepares once for each partition; from a batch it makes one or many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for b in batches:
             if b.num_rows:
-                out = one(b)
-                if out.num_rows:
-                    yield out
+                made = one(b)
+                for out in [made] if isinstance(made, pa.RecordBatch) else made:
+                    if out.num_rows:
+                        yield out
+        del one
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -73,6 +85,8 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 yield part.filter(pa.array(one([t or "" for t in part.column(b.schema.get_field_index(text_col)).to_pylist()]), pa.bool_()))
+        del one
+        release()
 
     return df.mapInArrow(run, df.schema)
 

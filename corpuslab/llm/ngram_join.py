@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import cut, id_and_text, map_batches
+from corpuslab.llm.common import cut, id_and_text, map_batches, release
 from corpuslab.llm.components import components
 from corpuslab.llm.shingles import Shingler, mix
 
@@ -204,6 +204,8 @@ def token_codes(sets: DataFrame, bits: int) -> DataFrame:
                     size += len(s)
         if held:
             yield packed(part, chunk, held)
+        del held
+        release()
 
     def total(t: pa.Table) -> pa.Table:
         values = [unpack_sorted(x, "<u4") for x in t.column("v").to_pylist()]
@@ -217,6 +219,8 @@ def token_codes(sets: DataFrame, bits: int) -> DataFrame:
         back[order] = np.repeat(code, np.diff(np.append(start, len(flat))))
         ends = np.cumsum([len(v) for v in values])
         codes = [pack(back[e - len(v) : e]) for v, e in zip(values, ends, strict=True)]
+        del values, counts, flat, n, order, start, sums, code, back
+        release()
         return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "r": t.column("r"), "codes": pa.array(codes, pa.binary())})
 
     # Chunks follow the order of numbers, which is the order in which a part was written and is read.
@@ -339,7 +343,10 @@ def postings(sets: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
             code = np.concatenate([unpack(x, "<u1") for _, x in sorted(by_chunk[c])])
             for gid, t in zip(gids[mine].tolist(), tokens, strict=True):
                 poster.add(gid, t, code[np.searchsorted(every, t)])
-        return poster.table()
+            del tokens, every, code
+        out = poster.table()
+        release()
+        return out
 
     return sets.select("part", "gid", "n", "z").groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(run, _POSTINGS)
 
