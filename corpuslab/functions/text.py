@@ -94,7 +94,8 @@ def clauses(text: Column, script: P.Script = P.HAN, strict: bool = False, least:
     """(start, clause) of every run with an edge or an end of the text on both sides, of a length typed in one go.
 
     The text is split at edges, so no look-around is needed: a clause is a whole piece. ``strict`` takes neither
-    spaces nor the ends of the text as edges. Starts count code points from 0.
+    spaces nor the ends of the text as edges. Starts count code points from 0. For paragraphs; for long texts see
+    :func:`corpuslab.operators.corpus.clause_rows`.
     """
     edges = script.edges.replace(" ", "") if strict else script.edges
     pieces = F.split(text, class_of(edges))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
-from corpuslab.functions.presets import RESERVED_IDS
+from corpuslab.functions.presets import CLAUSE_MAX, CLAUSE_MIN, RESERVED_IDS, Script
 
 
 def lines_of(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -16,6 +16,19 @@ def lines_of(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
+def clause_rows(docs: DataFrame, key: str, script: Script, strict: bool = False, least: int = CLAUSE_MIN, most: int = CLAUSE_MAX) -> DataFrame:
+    """(key, start, clause), as :func:`corpuslab.functions.text.clauses` gives them, for texts of any length: pieces become
+    rows, and starts are running sums by key, so the cost is that of a text's length and not its square."""
+    edges = script.edges.replace(" ", "") if strict else script.edges
+    pieces = docs.select(key, F.posexplode(F.split("text", X.class_of(edges))).alias("pos", "clause"))
+    of = Window.partitionBy(key)
+    before = of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("clause") + 1).over(before), F.lit(0)))
+    if strict:
+        placed = placed.withColumn("last", F.max("pos").over(of)).where("pos > 0 and pos < last")
+    return placed.where(F.rlike("clause", F.lit(f"^[{script.letters}]{{{least},{most}}}$"))).select(key, "start", "clause")
+
+
 def keep_first(rows: DataFrame, content: str, order: Sequence[str]) -> DataFrame:
     """Of rows with the same content the first by ``order``.
 

@@ -93,14 +93,12 @@ SELECT doc_id, CAST(start AS BIGINT) AS start, clause FROM s WHERE regexp_full_m
 
 @query(CLAUSES.format(edges=r"[,.!?;: \n]", more=""))
 def f11_clauses(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", F.explode(X.clauses(F.col("text"), P.LATIN)).alias("c"))
-    return out.select("doc_id", F.col("c.start").cast("bigint").alias("start"), "c.clause")
+    return C.clause_rows(table(spark, sf, "documents"), "doc_id", P.LATIN)
 
 
 @query(CLAUSES.format(edges=r"[,.!?;:\n]", more="AND k > 0 AND k < n - 1"))
 def f12_strict_clauses(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", F.explode(X.clauses(F.col("text"), P.LATIN, strict=True)).alias("c"))
-    return out.select("doc_id", F.col("c.start").cast("bigint").alias("start"), "c.clause")
+    return C.clause_rows(table(spark, sf, "documents"), "doc_id", P.LATIN, strict=True)
 
 
 @query(LINES + "SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '[,.;:!?]')) AS prose_lines FROM l GROUP BY doc_id")
