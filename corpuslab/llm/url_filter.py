@@ -32,10 +32,11 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]], listed: Sequence[str] = ()) -> DataFrame:
-    """Rules as (host, path, verdict), and canonical URLs ``host/path/`` to block, as one table of keys."""
+    """Rules as (host, path, verdict), and canonical URLs to block, as one table of keys: ``host/path/`` stands for all
+    below it, ``host/path`` for that page alone."""
     rows = [(h, p, v, True) for h, p, v in rules] + [(h, f"/{p}", "block", False) for h, _, p in (x.partition("/") for x in listed)]
-    for h, p, *_ in rows:
-        if not h or not p.startswith("/") or not p.endswith("/"):
+    for h, p, _, is_rule in rows:
+        if not h or not p.startswith("/") or (is_rule and not p.endswith("/")):
             raise ValueError(f"a host and a path from / to / are needed: {h!r} {p!r}")
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
@@ -69,16 +70,16 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     """One row for each row of ``df``: page_id, host, path, rule, verdict, listed.
 
     A key of ``rules`` (columns of ``RULES_SCHEMA``) fits its host and all subdomains where the URL's path starts with
-    the key's. The longest rule decides; at equal length the one with the longer host. Without a rule, a URL that fits
+    the key's; a listed key whose path doesn't end in ``/`` fits just the URL of its host and path. The longest rule decides; at equal length the one with the longer host. Without a rule, a URL that fits
     a listed key is blocked, and ``otherwise`` holds for the rest. A null or odd URL has an empty host and path, to
     which no key fits. Ids may be null or repeat. An empty table gives no rows, an empty rule table only ``otherwise``.
 
     Each URL gives the pairs of its host's suffixes and its path's prefixes that end in ``/``, no more of either than
-    the longest key in the table has. Pairs that pass the blocked Bloom filter go to an exact hash join; with few
+    the longest key in the table has, and where the table has keys of single pages, its host and whole path. Pairs that pass the blocked Bloom filter go to an exact hash join; with few
     listed URLs that is nearly none of the rows.
     """
     rules = rules.dropDuplicates(["host", "path", "is_rule"])
-    shape = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", "\\."))).alias("labels"), F.max(F.size(F.split("path", "/")) - 1).alias("slashes")).first()
+    shape = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", "\\."))).alias("labels"), F.max(F.size(F.split("path", "/")) - 1).alias("slashes"), F.count_if(~F.endswith("path", F.lit("/"))).alias("pages")).first()
     host, path = split_url(df[url_col])
     urls = cut(df.select(df[id_col].alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row_id")))
     if not shape["n"]:
@@ -89,6 +90,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     paths = F.transform(F.sequence(F.lit(2), F.least(F.size(steps), F.lit(shape["slashes"] + 1))), lambda i: F.concat(F.array_join(F.slice(steps, 1, i - 1), "/"), F.lit("/")))
     usable = urls.where("host <> '' and path like '/%'")
     keys = usable.select("row_id", F.explode(hosts).alias("host"), paths.alias("paths")).select("row_id", "host", F.explode("paths").alias("path"))
+    if shape["pages"]:
+        keys = keys.unionByName(usable.where("path not like '%/'").select("row_id", "host", "path"))
     filter_, blocks = bloom_filter(rules, shape["n"])
     filter_ = F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_
     key = _key(F.col("host"), F.col("path"))

@@ -243,3 +243,13 @@ def test_many_listed_urls(spark):
     assert got == {i: "allow" if i % 2 or i >= 3000 else "block" for i in range(0, 6000, 3)}
     with pytest.raises(ValueError):
         url_filter.rule_table(spark, [("example.com", "/x", "block")])
+
+
+def test_listed_pages(spark):
+    """op10: single pages can be listed beside sites; a page's key fits no longer path, no folder and no subdomain."""
+    listed = ["site.org/a/page", "deep.org/1/2/3/4", "spam.org/", *(f"many{i}.org/p{i}" for i in range(2000))]
+    urls = {"http://SITE.org/a/page?q=1": True, "http://site.org/a/page#x": True, "http://site.org/a/page/": False, "http://site.org/a/page2": False, "http://site.org/a/": False, "http://www.site.org/a/page": False}
+    urls |= {"x://deep.org/1/2/3/4": True, "x://deep.org/1/2/3": False, "x://a.spam.org/z": True, "x://spam.org": False, "x://many7.org/p7": True, "x://many7.org/p8": False, "x://site.org/A/page": False}
+    df = spark.createDataFrame(list(urls.items()), "url string, want boolean").withColumn("page_id", F.col("url"))
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in url_filter.judge_urls(df, url_filter.rule_table(spark, [("none.net", "/", "block")], listed)).collect()}
+    assert got == {u: (x, "block" if x else "allow") for u, x in urls.items()}
