@@ -205,6 +205,12 @@ def t05_sorted_lines(spark, sf):
     return lines.select("line", F.row_number().over(Window.orderBy("line")).cast("bigint").alias("k"))
 
 
+@query(LINES + "SELECT line, row_number() OVER (ORDER BY line, doc_id, pos) AS k FROM l")
+def t05_all_sorted_lines(spark, sf):
+    """Every line, repeats included; equal lines by document and position."""
+    return S.numbered(_lines(spark, sf, "documents", "doc_id"), ["line", "doc_id", "pos"], "k").select("line", "k")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('seed' || ':' || doc_id), doc_id LIMIT 100")
 def t06_seeded_shuffle(spark, sf):
     return S.sample(table(spark, sf, "documents").select("doc_id"), 100, "seed", "doc_id")

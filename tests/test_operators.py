@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab import registry
 from corpuslab.operators import corpus as C
 from corpuslab.operators import decoding as D
 from corpuslab.operators import pools
@@ -68,6 +69,24 @@ def test_samples_are_the_same_each_time(spark):
     assert {r["k"] for r in S.quota(df, "k", taken, [], 10, "x", "doc_id").collect()} == {0, 2}
 
 
+def test_all_rows_are_numbered_in_order(spark):
+    rows = [(i, f"w{i * 7919 % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, w string").repartition(7)
+    got = [(r["w"], r["id"], r["k"]) for r in S.numbered(df, ["w", "id"], "k").collect()]
+    assert sorted(got, key=lambda x: x[2]) == [(w, i, k) for k, (w, i) in enumerate(sorted((w, i) for i, w in rows), 1)]
+    assert S.numbered(df.where("false"), ["w", "id"], "k").collect() == []
+
+
+@pytest.mark.parametrize("name", ["t05_all_sorted_lines"])
+def test_nothing_is_left_out(spark, name):
+    """More rows than the shortened query of the same feature gives."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = docs.select(F.explode(F.split("text", "\n"))) if "lines" in name else docs
+    got = registry.queries()[name](spark, data)
+    assert [tuple(x) for x in got.agg(F.count("*"), F.min("k"), F.max("k"), F.countDistinct("k")).collect()] == [(n := want.count(), 1, n, n)]
+
+
 def test_decoders():
     assert D.typed_slots(["zhong", "guo"], "zhg") == ["zh", "g"]
     assert D.typed_slots(["zhong", "guo"], "zhonggu") == ["zhong", "gu"]
