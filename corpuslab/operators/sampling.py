@@ -64,3 +64,15 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataF
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_offset") + 1).drop("_at", "_part", "_offset")
+
+
+def shuffled(rows: DataFrame, seed: str, keys: Sequence[str], name: str) -> DataFrame:
+    """All rows with their number, from 1, in seeded order. Hashes are spread evenly, so their leading digits part the
+    order into even ranges: only the keys are read to count these, and the rows are shuffled once."""
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("_hash", seeded(seed, *keys))
+    keyed = keyed.withColumn("_part", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * parts, 32))
+    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    placed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("_part").orderBy("_hash", *keys)))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_turn") + F.col("_offset")).drop("_hash", "_part", "_turn", "_offset")

@@ -216,6 +216,12 @@ def t06_seeded_shuffle(spark, sf):
     return S.sample(table(spark, sf, "documents").select("doc_id"), 100, "seed", "doc_id")
 
 
+@query("SELECT doc_id, text, row_number() OVER (ORDER BY md5('seed' || ':' || doc_id), doc_id) AS k FROM documents")
+def t06_shuffled_documents(spark, sf):
+    """Every document at its place in the seeded order."""
+    return S.shuffled(table(spark, sf, "documents").select("doc_id", "text"), "seed", ["doc_id"], "k")
+
+
 @query("SELECT doc_id, CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 25 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents")
 def t07_hash_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.split_of(F.col("doc_id").cast("string"), 25).alias("split"))

@@ -77,7 +77,7 @@ def test_all_rows_are_numbered_in_order(spark):
     assert S.numbered(df.where("false"), ["w", "id"], "k").collect() == []
 
 
-@pytest.mark.parametrize("name", ["t05_all_sorted_lines"])
+@pytest.mark.parametrize("name", ["t05_all_sorted_lines", "t06_shuffled_documents"])
 def test_nothing_is_left_out(spark, name):
     """More rows than the shortened query of the same feature gives."""
     data = "/root/testdata/sf0.01"
