@@ -72,7 +72,9 @@ def viterbi(layers: Sequence[Sequence[str]], log_p: Callable[[str | None, str],
 
 
 def viterbi_rescored(layers: Sequence[Sequence[str]], score: Callable[[str, bool], float]) -> tuple[str, float]:
-    """One path for each last character, each scored as a whole with BOS; at the end again with EOS."""
+    """One path for each last character, each scored as a whole with BOS; at the end again with EOS. Without layers ("", 0.0)."""
+    if not layers:
+        return "", 0.0
     paths = [""]
     for layer in layers:
         paths = [max((p + c for p in paths), key=lambda t: score(t, False)) for c in layer]
@@ -92,12 +94,13 @@ def beam(layers: Sequence[Sequence[str]], next_log_p: Callable[[str], Callable[[
     return beams
 
 
-def decode_rows(rows: DataFrame, key: str, layers: str, one: Callable[[list[list[str]]], tuple[str, float]]) -> DataFrame:
-    """(key, text, score): a decoder over each row's array of arrays."""
+def decode_rows(rows: DataFrame, key: str, layers: str, one: Callable[[list[list[str]]], tuple[str, float]], *more: str) -> DataFrame:
+    """(key, more columns, text, score): a decoder over each row's array of arrays."""
 
     def run(batches):
         for pdf in batches:
             got = [one([list(x) for x in a]) for a in pdf[layers]]
-            yield pd.DataFrame({key: pdf[key], "text": [t for t, _ in got], "score": [round(float(s), 6) if math.isfinite(s) else s for _, s in got]})
+            yield pd.DataFrame({**{c: pdf[c] for c in (key, *more)}, "text": [t for t, _ in got], "score": [round(float(s), 6) if math.isfinite(s) else s for _, s in got]})
 
-    return rows.select(key, layers).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, score double")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in (key, *more))
+    return rows.select(key, *more, layers).mapInPandas(run, f"{kinds}text string, score double")

@@ -153,6 +153,19 @@ def _layers(spark, sf):
     return c.select(F.col("c_mktsegment").alias("seg"), F.transform(X.chars(F.col("c_mktsegment")), lambda ch: F.array(ch, nxt(ch, 1), nxt(ch, 2))).alias("layers"))
 
 
+def _word_layers(spark, sf):
+    """Words of conversations with how often they come: the word, n, layers of a letter and the two after it in the
+    alphabet; other signs, and the empty word between two blanks, stay as they are."""
+    w = table(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    nxt = lambda ch, k: F.translate(ch, abc, abc[k:] + abc[:k])
+    return w.select("word", "n", F.transform(X.chars(F.col("word")), lambda ch: F.array_distinct(F.array(ch, nxt(ch, 1), nxt(ch, 2)))).alias("layers"))
+
+
+def _decoded(spark, sf, one):
+    return D.decode_rows(_word_layers(spark, sf), "word", "layers", one, "n")
+
+
 def _bigram(prev: str | None, c: str) -> float:
     """A toy bigram model without ties: distance in the alphabet."""
     return -math.log1p(abs(ord(c) - ord(prev or "M"))) - ord(c) * 1e-6
@@ -167,12 +180,18 @@ def d01_viterbi(spark, sf):
     return D.decode_rows(_layers(spark, sf), "seg", "layers", lambda a: D.viterbi(a, _bigram)).select("seg", "text", F.round("score", 5).alias("score"))
 
 
+@query()
+def d01_viterbi_words(spark, sf):
+    """All words of conversations; ``d01_viterbi`` has the five segment names."""
+    return _decoded(spark, sf, lambda a: D.viterbi(a, _bigram))
+
+
 @query()
 def d02_viterbi_rescored(spark, sf):
     def score(text: str, end: bool) -> float:
         return sum(_bigram(a, b) for a, b in zip(text, text[1:], strict=False)) + _bigram(None, text[:1]) + (_bigram(text[-1], "M") if end else 0)
 
-    return D.decode_rows(_layers(spark, sf), "seg", "layers", lambda a: D.viterbi_rescored(a, score))
+    return _decoded(spark, sf, lambda a: D.viterbi_rescored(a, score))
 
 
 @query()
@@ -181,7 +200,7 @@ def d03_beam(spark, sf):
         found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c))
         return found[0] if found else ("", 0.0)
 
-    return D.decode_rows(_layers(spark, sf), "seg", "layers", best)
+    return _decoded(spark, sf, best)
 
 
 @query()
@@ -190,7 +209,7 @@ def t04_beam_top(spark, sf):
         found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c), width=3)
         return found[-1] if found else ("", 0.0)
 
-    return D.decode_rows(_layers(spark, sf), "seg", "layers", third)
+    return _decoded(spark, sf, third)
 
 
 @query(f"""WITH s AS ({LAYERS}), p AS (SELECT seg, i, ascii(substr(seg, i, 1)) + k AS c FROM s, range(1, 40) t(i), range(3) u(k) WHERE i <= length(seg))
@@ -203,3 +222,14 @@ def j15_layer_transitions(spark, sf):
     three = F.array(F.lit(0), F.lit(1), F.lit(2))
     pairs = F.flatten(F.transform(three, lambda x: F.transform(three, lambda y: F.abs(at(0) + x - at(1) - y))))
     return i.select("seg", F.col("i").cast("bigint").alias("i"), F.size(pairs).cast("bigint").alias("pairs"), F.array_min(pairs).cast("bigint").alias("nearest"))
+
+
+@query("""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS word FROM conversations), s AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+p AS (SELECT DISTINCT word, n, i, CASE WHEN substr(word, i, 1) BETWEEN 'a' AND 'z' THEN 97 + (ascii(substr(word, i, 1)) - 97 + k) % 26 ELSE unicode(substr(word, i, 1)) END AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM s), range(3) u(k))
+SELECT a.word, a.n, a.i, count(*) AS pairs, min(abs(a.c - b.c)) AS nearest FROM p a JOIN p b ON a.word = b.word AND b.i = a.i + 1 GROUP BY 1, 2, 3""")
+def j15_word_transitions(spark, sf):
+    """Each layer of every word with the next one, as ``j15_layer_transitions`` has them for the five segment names."""
+    w = _word_layers(spark, sf).where("size(layers) > 1")
+    i = w.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("layers") - 1), lambda k: F.struct(F.element_at("layers", k).alias("a"), F.element_at("layers", k + 1).alias("b")))).alias("i", "two"))
+    pairs = F.flatten(F.transform("two.a", lambda x: F.transform("two.b", lambda y: F.abs(F.ascii(x) - F.ascii(y)))))
+    return i.select("word", "n", (F.col("i") + 1).cast("bigint").alias("i"), F.size(pairs).cast("bigint").alias("pairs"), F.array_min(pairs).cast("bigint").alias("nearest"))
