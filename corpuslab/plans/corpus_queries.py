@@ -179,6 +179,12 @@ def src05_sharded_documents(spark, sf):
     return table(spark, sf, "documents").where("lang <> 'en' and n_chars > 1000").select("doc_id", "text")
 
 
+@query("SELECT doc_id, text FROM documents")
+def src05_all_documents(spark, sf):
+    """Every row of every shard."""
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def src07_projected_scan(spark, sf):
     return table(spark, sf, "documents").select("lang", "text").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -91,6 +91,11 @@ def test_nothing_is_left_out(spark, name):
     assert [tuple(x) for x in got.agg(F.count("*"), F.min("k"), F.max("k"), F.countDistinct("k")).collect()] == [(n := want.count(), 1, n, n)]
 
 
+def test_scan_leaves_no_document_out(spark):
+    data = "/root/testdata/sf0.01"
+    assert registry.queries()["src05_all_documents"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
 def test_decoders():
     assert D.typed_slots(["zhong", "guo"], "zhg") == ["zh", "g"]
     assert D.typed_slots(["zhong", "guo"], "zhonggu") == ["zhong", "gu"]
