@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -261,8 +262,43 @@ def checked(kind: int, text: str, start: int, end: int) -> tuple[int, int, int]
     return (kind, start, end) if good else None
 
 
+def parts_of(kind: int, text: str, words: list[tuple[int, int]], free: Callable[[tuple[int, int, int]], bool]) -> list[tuple[int, int, int]]:
+    """Spans within a run of words that as a whole is no span: of all ways to part it into spans that pass
+    :func:`checked` and are ``free``, one that holds most words, of equal ones with fewest spans. A word that passes
+    alone stands alone. A span has at most 19 digits and begins and ends in a word with a digit, so the ways from a word
+    are few."""
+    good = lambda i, k: (x := checked(kind, text, words[i][0], words[k][1])) is not None and free(x) and x
+    sizes = [len(digits(text[a:b])) for a, b in words]
+    alone = [good(i, i) for i in range(len(words))]
+    best: list[tuple[int, int]] = [(0, 0)] * (len(words) + 1)
+    pick: list[tuple[int, tuple[int, int, int]] | None] = [None] * len(words)
+    for i in range(len(words) - 1, -1, -1):
+        best[i] = best[i + 1]
+        ways = [(i, alone[i])] if alone[i] else []
+        n, k = sizes[i], i + 1
+        while kind >= 2 and not alone[i] and 0 < sizes[i] and k < len(words) and not alone[k] and (n := n + sizes[k]) <= 19:
+            if sizes[k] and (x := good(i, k)):
+                ways.append((k, x))
+            k += 1
+        for k, x in ways:
+            value = (best[k + 1][0] + k + 1 - i, best[k + 1][1] - 1)
+            if value > best[i]:
+                best[i], pick[i] = value, (k, x)
+    out, i = [], 0
+    while i < len(words):
+        if pick[i] is None:
+            i += 1
+            continue
+        k, x = pick[i]
+        out.append(x)
+        i = k + 1
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: ShapeCRF) -> list[list[tuple[int, int, int]]]:
-    """For each text the field's spans that pass :func:`checked` and touch no base span, by kind, then start."""
+    """For each text the field's spans that pass :func:`checked` and touch no base span, by kind, then start.
+
+    Labels don't tell where an item begins, so neighbours of a kind are one run; a run that doesn't pass is parted."""
     where = [(i, run) for i, t in enumerate(texts) if TRIGGER.search(t) for run in windows(t)]
     paths = crf.viterbi([[texts[i][s:e] for s, e in run] for i, run in where])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -272,8 +308,11 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: S
             k = j
             while k + 1 < len(run) and path[k + 1] == path[j]:
                 k += 1
-            if path[j] and (span := checked(int(path[j]) - 1, texts[i], run[j][0], run[k][1])) and not any(s < span[2] and span[1] < e for _, s, e in base[i]):
-                out[i].append(span)
+            if path[j]:
+                free = lambda x, own=base[i]: not any(s < x[2] and x[1] < e for _, s, e in own)
+                kind = int(path[j]) - 1
+                span = checked(kind, texts[i], run[j][0], run[k][1])
+                out[i] += [span] if span and free(span) else parts_of(kind, texts[i], run[j : k + 1], free)
             j = k + 1
     return [sorted(x) for x in out]
 

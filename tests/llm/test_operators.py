@@ -209,6 +209,26 @@ def test_frequent_digests_are_all_found(spark):
 # --- URLs
 
 
+def test_neighbouring_personal_data():
+    """op4: neighbours of a kind are found each, also beside a base span; numbers that are no item stay out."""
+    crf = pii._crf()
+    added = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.added_spans([t], [pii.base_spans(t)], crf)[0]]
+    assert added("call 212-555-1234, 310-555-9999 now") == [("phone", "212-555-1234"), ("phone", "310-555-9999")]
+    assert added("call us on 212-555-1234, 310-555-9999, 415-555-0000, 646-555-7777.") == [("phone", x) for x in ("212-555-1234", "310-555-9999", "415-555-0000", "646-555-7777")]
+    whole = lambda kind, t: [t[a:b] for _, a, b in pii.parts_of(kind, t, [m.span() for m in pii.TOKEN.finditer(t)], lambda _: True)]
+    assert whole(3, "(212) 555-1234 (310) 555-9999") == ["(212) 555-1234", "(310) 555-9999"]
+    assert whole(3, "212-555-1234 310-555-9999") == ["212-555-1234", "310-555-9999"]
+    assert whole(2, "4111 1111 1111 1111 4012 8888 8888 1881") == ["4111 1111 1111 1111", "4012 8888 8888 1881"]
+    assert whole(2, "4111 1111 1111 1112, 1 2 3") == []
+    assert whole(1, "10.0.0.1, 10.0.0.2 10.0.0.256") == ["10.0.0.1", "10.0.0.2"]
+    assert whole(0, "<a@b.com>, c@d.org") == ["a@b.com", "c@d.org"]
+    assert whole(3, "- ( " * 20000 + "12 " * 20000 + "x") != []
+    t = "reach us +1 212 555 1234 310-555-9999 ok"
+    base = [(3, t.index("+"), t.index(" 310"))]
+    spans = pii.parts_of(3, t, [m.span() for m in pii.TOKEN.finditer(t)][2:-1], lambda x: not any(s < x[2] and x[1] < e for _, s, e in base))
+    assert [t[a:b] for _, a, b in spans] == ["310-555-9999"]
+
+
 def brute_judge(url, rules, listed):
     host = path = ""
     if url is not None and "://" in url:
