@@ -8,16 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import batch, held_out, id_and_text, keep_rows, map_batches
 
 #: Buckets of hashed byte n-grams, n = 1, 2, 3.
 BUCKETS = 8192
-#: Labelled texts that train the classifiers: so many for each language at most, of at most LANGUAGES languages.
+#: Labelled texts that train the classifiers: so many for each language at most, of more than LANGUAGES languages fewer of
+#: each, so that there are no more in all; one of each at least. Every language is learnt.
 TEXTS_EACH, LANGUAGES = 400, 64
-#: Columns of the code at most; a code of k words has 2 ** (k - 1) - 1 different columns.
+#: Columns of the code at most, for up to LANGUAGES languages; a code of k words has 2 ** (k - 1) - 1 different columns.
 BITS = 31
 #: Ridge penalty, and the steepness that turns losses into scores.
 PENALTY, STEEPNESS = 0.3, 6.0
@@ -41,12 +42,15 @@ def features(text: str) -> np.ndarray:
 
 
 def code_columns(k: int) -> np.ndarray:
-    """Codewords of ``k`` languages as rows of -1 and 1: all different columns, or the first BITS of a spread order."""
+    """Codewords of ``k`` languages as rows of -1 and 1: all different columns, the first BITS of a spread order, or for
+    more than LANGUAGES drawn ones with a fixed seed, longer as ``k`` grows."""
     if k == 1:
         return np.ones((1, 1), np.float32)
     if k <= 6:
         cols = [(1, *c) for c in itertools.product((1, -1), repeat=k - 1)][1:]
         return np.array(cols, np.float32).T
+    if k > LANGUAGES:
+        return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (k, BITS * -(-k.bit_length() // 5)))
     bits = [[1 if bin((row + 1) * (2 * b + 1) * 2654435761 & 0xFFFFFFFF).count("1") % 2 else -1 for b in range(BITS)] for row in range(k)]
     return np.array(bits, np.float32)
 
@@ -67,7 +71,7 @@ class LanguageCode:
         some = [i for i, t in enumerate(texts) if LETTER.search(t)]
         if some and self.langs:
             f = np.vstack([features(texts[i]) for i in some]) @ self.weights
-            loss = np.maximum(0, 1 - f[:, None, :] * self.code[None]) @ self.trust
+            loss = (np.maximum(0, 1 - f) * self.trust) @ (self.code > 0).T + (np.maximum(0, 1 + f) * self.trust) @ (self.code < 0).T
             p = np.exp(-STEEPNESS * (loss - loss.min(1, keepdims=True)))
             p /= p.sum(1, keepdims=True)
             for i, best, row in zip(some, loss.argmin(1), p, strict=True):
@@ -78,16 +82,19 @@ class LanguageCode:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageCode:
     """Fits the code on labelled texts, ids of the held-out third left out.
 
-    Of each language the texts with the smallest hashes of their ids are taken, about TEXTS_EACH at most; their feature
-    vectors, not their texts, go to the driver. Bits are ridge classifiers; how often each is right on these texts
-    weighs its loss. Languages beyond the LANGUAGES most frequent aren't learnt. Without labelled texts nothing is.
+    Of each language the texts with the smallest hashes of id and text are taken, TEXTS_EACH at most, which ids that are
+    null or repeat don't change; their feature vectors, not their texts, go to the driver. Bits are ridge classifiers; how
+    often each is right on these texts weighs its loss. Without labelled texts nothing is learnt.
     """
-    rows = df.where(~held_out(df[id_col]) & df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[lang_col].alias("lang"), df[text_col].alias("text"), F.pmod(F.xxhash64(df[id_col]), F.lit(1 << 30)).alias("h"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    rows = df.where(~held_out(df[id_col]) & df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[lang_col].alias("lang"), df[text_col].alias("text"), F.pmod(F.xxhash64(df[id_col], df[text_col]), F.lit(1 << 30)).alias("h"))
+    sizes = rows.groupBy("lang").count()
+    k = sizes.count()
+    if not k:
         return LanguageCode([], np.ones((0, 1), np.float32), np.zeros((BUCKETS, 1), np.float32), np.ones(1, np.float32))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int((1 << 30) * min(1.0, TEXTS_EACH / r["count"])))])
-    chosen = rows.where(F.col("h") < share[F.col("lang")]).select("lang", "text")
+    each = max(1, min(TEXTS_EACH, TEXTS_EACH * LANGUAGES // k))
+    share = sizes.select("lang", (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("count"))).alias("below"))
+    near = rows.join(F.broadcast(share), "lang").where(F.col("h") < F.col("below"))  # twice what is wanted, and some
+    chosen = near.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("turn") <= each).select("lang", "text")
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,13 +106,23 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     got = sorted(map_batches(chosen, "lang string, x binary", make).collect())
     langs = sorted({r["lang"] for r in got})
-    x = np.vstack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in got])
     at = {a: i for i, a in enumerate(langs)}
     code = code_columns(len(langs))
     y = code[[at[r["lang"]] for r in got]]
-    dual = np.linalg.solve(x @ x.T + PENALTY * np.eye(len(x), dtype=np.float32), y)
-    weights = x.T @ dual
-    right = ((x @ weights) * y > 0).mean(0)
+    vectors = lambda i, n: np.vstack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in got[i : i + n]])
+    if len(got) <= BUCKETS:
+        x = vectors(0, len(got))
+        weights = x.T @ np.linalg.solve(x @ x.T + PENALTY * np.eye(len(x), dtype=np.float32), y)
+        right = ((x @ weights) * y > 0).mean(0)
+    else:  # the same by features, for their number doesn't grow
+        steps = range(0, len(got), 2048)
+        square, sums = PENALTY * np.eye(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, y.shape[1]), np.float32)
+        for i in steps:
+            x = vectors(i, 2048)
+            square += x.T @ x
+            sums += x.T @ y[i : i + 2048]
+        weights = np.linalg.solve(square, sums)
+        right = sum((((vectors(i, 2048) @ weights) * y[i : i + 2048]) > 0).sum(0) for i in steps) / len(got)
     trust = np.maximum(right - 0.5, 0.01)
     return LanguageCode(langs, code, weights.astype(np.float32), (trust / trust.sum()).astype(np.float32))
 

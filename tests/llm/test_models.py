@@ -1,5 +1,6 @@
 """Language, toxicity and the pipeline: held-out accuracy, edge cases, and the stages against plain Python."""
 
+import hashlib
 import re
 import zlib
 from pathlib import Path
@@ -41,6 +42,31 @@ def test_language_without_or_with_one_label(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs.withColumn("lang", F.lit("en")))).collect()} == {"en"}
 
 
+def test_every_language_is_learnt(spark):
+    """op8: more languages than a code of the usual length is for."""
+    word = lambda i, k: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(f"{i} {k % 12}".encode()).hexdigest()[:6])
+    rows = [(i * 50 + j, " ".join(word(i, j + k) for k in range(8)), f"l{i}") for i in range(90) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    lang = {r[0]: r[2] for r in rows}
+    got = language_id.identify(docs, model).collect()
+    assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in got]) > 0.95
+    for k in (65, 1000, 5000):
+        assert len({x.tobytes() for x in language_id.code_columns(k)}) == k
+
+
+@pytest.mark.parametrize("ids", ["null", "same"])
+def test_sample_of_texts_is_bounded(spark, monkeypatch, ids):
+    """op8: null and repeated ids, also of equal texts."""
+    seen = []
+    monkeypatch.setattr(language_id, "map_batches", lambda df, *a: seen.append(df.groupBy("lang").count().collect()) or common.map_batches(df, *a))
+    n = F.lit(None).cast("long") if ids == "null" else F.lit(7)
+    docs = spark.range(3000).select(n.alias("doc_id"), F.when(F.col("id") % 3 == 0, "one and the same").otherwise(F.concat_ws(" ", F.lit("words"), F.md5(F.col("id").cast("string")))).alias("text"), F.when(F.col("id") < 2900, "a").otherwise("b").alias("lang"))
+    language_id.train(docs)
+    assert {r["lang"]: r["count"] for r in seen[0]} == {"a": language_id.TEXTS_EACH, "b": 100}
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 6, 9, 20):
         c = language_id.code_columns(k)
