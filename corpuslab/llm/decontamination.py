@@ -1,147 +1,171 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment."""
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+
+An item's signature are the smallest hashes of its shingles (a bottom sketch). A document that holds an item's share
+lacks at most ``n - ceil(0.75 n)`` of its shingles, so of the smallest one more than that it has at least one: with such
+a signature nothing is missed. It is cut at SIGNATURE hashes, which only items of over 60 shingles reach; there all 16
+would have to lie in the quarter that is missing, for which the chance is below 0.25 ** 16.
+
+Items are partitioned by size. Those of a partition have signatures about as far down the range of hashes, and only
+documents that are large enough are searched for them, each by its hashes below the highest one of the partition's
+signatures. Items of up to EXACT shingles have too few hashes to choose from: all of theirs are looked for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from corpuslab.llm.common import batch, id_and_text, keep_rows, map_batches
+from corpuslab.llm.common import batch, cut, id_and_text, keep_rows, map_batches
 from corpuslab.llm.shingles import Shingler, shingle_strings
 
 #: Share of an item's shingles that a document must hold.
 THRESHOLD = 0.75
-#: Documents are partitioned by shingles: up to SMALLEST, up to four times that, and so on without end.
-SMALLEST = 256
-#: Chance to miss an item that is held at the threshold, for each partition, by design.
-MISS = 1e-9
-#: Benchmark shingles that one pass over the documents looks for; a larger benchmark is read in blocks.
-BLOCK_SHINGLES = 500_000
+#: Hashes of a signature, at most.
+SIGNATURE = 16
+#: Items of so many shingles are searched by all of them.
+EXACT = 4
+#: Benchmark words that one pass over the documents looks for; a larger benchmark is read in blocks.
+BLOCK_WORDS = 1_000_000
 
 
-@dataclass
-class ItemBlock:
-    """Items of one block: their texts and shingle sets, with one MinHash index for each partition of document sizes.
+def required(n: int) -> int:
+    """Shingles of an item of ``n`` that a document must hold."""
+    return max(1, int(np.ceil(THRESHOLD * n)))
 
-    The index of a partition has one MinHash function for each bin; it is built when the first such document comes.
-    """
 
-    ids: list[object]
-    texts: list[str]
-    sets: list[np.ndarray]
-    index: dict[int, tuple[int, np.ndarray, np.ndarray]] = field(default_factory=dict)
+def signature(item: np.ndarray) -> np.ndarray:
+    """The smallest of an item's ascending hashes, so many that a document with its share has one of them."""
+    n = len(item)
+    return item if n <= EXACT else item[: min(SIGNATURE, n - required(n) + 1)]
 
-    def _build(self, upper: int) -> tuple[int, np.ndarray, np.ndarray]:
-        smallest = min((max(1, int(np.ceil(THRESHOLD * len(s)))) for s in self.sets if len(s)), default=1)
-        bins = bins_for(upper, smallest)
-        values = [bin_minima(s, bins) for s in self.sets]
-        items = np.repeat(np.arange(len(values)), [len(v) for v in values])
-        flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        return bins, flat[order], items[order]
 
-    def candidates(self, doc: np.ndarray) -> np.ndarray:
-        """Items that share the minimum of a bin with a document (its ascending shingle hashes)."""
-        upper = SMALLEST
-        while upper < len(doc):
-            upper *= 4
-        if upper not in self.index:
-            self.index[upper] = self._build(upper)
-        bins, values, items = self.index[upper]
-        minima = bin_minima(doc, bins)
-        if not len(values) or not len(minima):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(values, minima)
-        hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == minima)
-        if not len(hit):
-            return np.zeros(0, np.int64)
-        ends = np.searchsorted(values, minima[hit], side="right")
-        return np.unique(np.concatenate([items[a:b] for a, b in zip(at[hit], ends, strict=True)]))
-
-
-def bins_for(upper: int, shared: int) -> int:
-    """MinHash functions (bins of one permutation) for documents of up to ``upper`` shingles.
-
-    A shingle that item and document share shows if it is the minimum of its bin in both, by the chance
-    ``exp(-load)`` at least, where ``load`` is the number of others expected in the bin. With ``shared`` of them, all
-    stay hidden by ``(1 - exp(-load)) ** shared``, which must be MISS at most.
-    """
-    load = -np.log1p(-(MISS ** (1 / shared)))
-    return int(min(1 << 62, np.ceil(upper / max(load, 1e-15))))
+@dataclass
+class SizePartition:
+    """Items with the same number of bits in their size: ascending hashes of signatures, the item of each, and what a
+    document must have to hold any: ``least`` shingles, some of them up to ``highest``."""
 
+    hashes: np.ndarray
+    items: np.ndarray
+    least: int
+    highest: np.uint64
 
-def bin_minima(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """Minima of ``bins`` equal ranges of the hash space. ``hashes`` ascend, so each is the first of its range; a
-    second, mixed order within a range would only cost a sort, for the ranges are hashes already."""
-    if not len(hashes):
-        return hashes
-    width = np.uint64(max(1, (1 << 64) // bins))
-    which = hashes // width
-    return hashes[np.concatenate([[True], which[1:] != which[:-1]])]
+    def candidates(self, doc: np.ndarray) -> np.ndarray:
+        """Items of which a document (its ascending hashes) has a hash of the signature, perhaps more than once."""
+        if len(doc) < self.least:
+            return self.items[:0]
+        low = doc[: np.searchsorted(doc, self.highest, side="right")]
+        if not len(low):
+            return self.items[:0]
+        if len(low) < len(self.hashes):
+            first, last = np.searchsorted(self.hashes, low), np.searchsorted(self.hashes, low, side="right")
+            hit = np.flatnonzero(last > first)
+            return np.concatenate([self.items[a:b] for a, b in zip(first[hit], last[hit], strict=True)]) if len(hit) else self.items[:0]
+        at = np.minimum(np.searchsorted(low, self.hashes), len(low) - 1)
+        return self.items[low[at] == self.hashes]
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str) -> list[list[object]]:
-    """Bounds of blocks of items by id, none of which holds many more than BLOCK_SHINGLES words."""
-    rows = id_and_text(items, id_col, text_col)
-    sizes = rows.select("doc_id", F.size(F.split("text", "[\\x20\\x09-\\x0D]+")).cast("long").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // BLOCK_SHINGLES))
-    if parts == 1:
-        return [[None, None]]
-    edges = sizes.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000)).first()[0]
-    return [list(x) for x in pairwise([None, *sorted(set(edges)), None])]
+@dataclass
+class ItemBlock:
+    """Items of one block: ids, texts and shingle sets, with an index for each partition of sizes."""
+
+    ids: list[object]
+    texts: list[str]
+    sets: list[np.ndarray]
+    parts: list[SizePartition] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        by_size: dict[int, list[int]] = {}
+        for i, s in enumerate(self.sets):
+            if len(s):
+                by_size.setdefault(len(s).bit_length(), []).append(i)
+        for members in by_size.values():
+            values = [signature(self.sets[i]) for i in members]
+            flat = np.concatenate(values)
+            order = np.argsort(flat, kind="stable")
+            items = np.repeat(np.array(members), [len(v) for v in values])[order]
+            self.parts.append(SizePartition(flat[order], items, min(required(len(self.sets[i])) for i in members), flat[order[-1]]))
+
+    def held(self, doc: np.ndarray) -> list[int]:
+        """Items of which a document has the share, by hashes."""
+        near = [p.candidates(doc) for p in self.parts]
+        out = []
+        for c in np.unique(np.concatenate(near)).tolist() if near else []:
+            s = self.sets[c]
+            at = np.minimum(np.searchsorted(doc, s), len(doc) - 1)
+            if np.count_nonzero(doc[at] == s) >= THRESHOLD * len(s):
+                out.append(c)
+        return out
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) where a document holds THRESHOLD of an item's shingles.
 
     Shingles are runs of five words, A-Z as a-z; an item with fewer words is one shingle of all of them, which only a
-    text of just these words holds. Null and empty texts hold nothing and are held by nothing. Ids may be null or
-    repeat: each pair of rows counts. Either table may be empty.
+    text of just these words holds. Null and empty texts hold nothing and are held by nothing. Ids of either table may be of
+    any type, null or repeat: each pair of rows counts. Either table may be empty. Texts may be of any length. Columns other
+    than ids and texts (``n_item``, say) are left out.
 
-    The benchmark is the small side. It goes along with the function in blocks of a bounded number of shingles, each
-    of which takes one pass over the documents; there is no shuffle, and the size of a document's text or the number
-    of its copies leads to no larger task. Candidates share the minimum of a bin (see :func:`bins_for`) and are
-    verified word by word.
+    The benchmark goes along with the function in blocks of BLOCK_WORDS words (a single longer item is a block), each of
+    which takes one pass over the documents; the driver holds one block at a time. There is no shuffle of documents, and
+    the size of a document's text or the number of its copies leads to no larger task. Candidates are verified word by word.
     """
     kind = items.schema[item_id].dataType
-    out = None
-    for block in item_blocks(items, item_id, item_text):
+    out, blocks = None, item_blocks(items, item_id, item_text)
+    for block, last in blocks:
         found = _search(docs, block, id_col, text_col, kind)
+        if not last or out is not None:
+            found = cut(found)  # the block is dropped before the next comes
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[ItemBlock]:
-    """The benchmark, read block by block."""
-    for low, high in blocks_of(items, item_id, item_text):
-        block = id_and_text(items, item_id, item_text)
-        if low is not None:
-            block = block.where(F.col("doc_id") > F.lit(low))
-        if high is not None:
-            block = block.where((F.col("doc_id") <= F.lit(high)) | (F.col("doc_id").isNull() if low is None else F.lit(False)))
-        rows = [(r["doc_id"], r["text"]) for r in block.collect()]
-        yield ItemBlock([i for i, _ in rows], [t for _, t in rows], Shingler().sets([t for _, t in rows]))
+def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[ItemBlock, bool]]:
+    """The benchmark, read block by block, and whether a block is the last; an empty one is one block without items.
+
+    Blocks are ranges of a running sum of words over the rows as they lie, so ids don't matter.
+    """
+    rows = id_and_text(items, item_id, item_text)
+    sizes = rows.withColumn("_n", F.size(F.split("text", "[\\x20\\x09-\\x0D]+")).cast("long"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    if total <= BLOCK_WORDS:
+        yield _block_of(rows), True
+        return
+    placed = cut(sizes.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sums = placed.groupBy(part.alias("_part")).agg(F.sum("_n").alias("_sum"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before.orderBy("_part")), F.lit(0)).alias("_offset"))
+    run = F.coalesce(F.sum("_n").over(before.partitionBy("_part").orderBy("_at")), F.lit(0))
+    numbered = placed.withColumn("_part", part).withColumn("_run", run).join(offsets, "_part")
+    numbered = cut(numbered.select("doc_id", "text", F.floor((F.col("_run") + F.col("_offset")) / BLOCK_WORDS).alias("_block")))
+    names = sorted(r[0] for r in numbered.select("_block").distinct().collect())
+    for name in names:
+        yield _block_of(numbered.where(F.col("_block") == name)), name == names[-1]
+
+
+def _block_of(rows: DataFrame) -> ItemBlock:
+    got = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    return ItemBlock([i for i, _ in got], [t for _, t in got], Shingler().sets([t for _, t in got]))
 
 
 def _searcher(block: ItemBlock) -> Callable[[list[str]], list[list[tuple[int, int, int]]]]:
     """A function from texts to (number of the item, its shingles, those found) of the items that each holds."""
     shingler = Shingler()
-    words = [shingle_strings(t) for t in block.texts]
 
     def search(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         out: list[list[tuple[int, int, int]]] = []
         for text, doc in zip(texts, shingler.sets(texts), strict=True):
-            near = [c for c in block.candidates(doc).tolist() if len(np.intersect1d(block.sets[c], doc, assume_unique=True)) >= THRESHOLD * len(block.sets[c])]
+            near = block.held(doc) if len(doc) else []
             own = shingle_strings(text) if near else set()
-            held = [(c, len(words[c]), len(words[c] & own)) for c in near]
+            words = [(c, shingle_strings(block.texts[c])) for c in near]
+            held = [(c, len(w), len(w & own)) for c, w in words]
             out.append([x for x in held if x[2] >= THRESHOLD * x[1]])
         return out
 
@@ -171,12 +195,14 @@ def _search(docs: DataFrame, block: ItemBlock, id_col: str, text_col: str, item_
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item. There is no shuffle."""
-    for block in item_blocks(items, item_id, item_text):
+    """The rows of ``docs``, all columns, that hold no item. There is no shuffle; between the blocks of a benchmark of more
+    than one, what is kept is written, so that the driver holds one block at a time."""
+    for block, last in item_blocks(items, item_id, item_text):
 
         def make(block: ItemBlock = block):
             search = _searcher(block)
             return lambda texts: [not held for held in search(texts)]
 
         docs = keep_rows(docs, text_col, make)
+        docs = docs if last else cut(docs)
     return docs
