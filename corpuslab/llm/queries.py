@@ -16,7 +16,7 @@ LISTED_URLS = ("cheap-pills.example.com/", "cheap-pills.example.org/", "spam-far
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest_columns(secret_scan.secret_report(as_table(spark, sf_dir, "documents")))
+    return secret_scan.digest_columns(secret_scan.report_of_versions(as_table(spark, sf_dir, "documents")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
