@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +20,9 @@ from corpuslab.llm.common import batch, id_and_text, map_batches
 KINDS = ("email", "ip", "card", "phone")
 
 # Base kinds, as the contract of the query gives them.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # begins where a run of digits does, so in linear time
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -94,18 +96,23 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(100_000)
 def word_features(word: str) -> tuple[int, ...]:
-    """Hashed features of a word's shape: the whole, its signs, its digits, what it begins and ends with."""
-    from zlib import crc32
+    """Hashed features of a word's shape: the whole, its signs, its digits, what it begins and ends with. Those of words of
+    a usual length are remembered."""
+    return _remembered(word) if len(word) < 100 else _features(word)
 
-    core = word.strip(".,;:!?\"'()[]{}<>#$%&*|") if len(word) < 200 else word[:100] + word[-100:]
+
+def _features(word: str) -> tuple[int, ...]:
+    core = word.strip(".,;:!?\"'()[]{}<>#$%&*|")
     s = shape(core)
     n = len(digits(core))
     named = ("w" + s, "n" + str(min(n, 20)), "c" + "".join(sorted(set(core) & set("@.+-()"))), "d" + str(core.count(".")), "b" + s[:2], "e" + s[-2:], "t" + (core.lower() if core.isalpha() and len(core) < 8 else ""))
     return tuple(crc32(x.encode()) % SHAPES for x in named)
 
 
+_remembered = lru_cache(100_000)(_features)
+
+
 def labelled_table() -> list[tuple[list[str], list[int]]]:
     """The small labelled table: sentences from templates, digits drawn with a fixed seed; about 400 rows."""
     r = random.Random(7)
@@ -295,21 +302,33 @@ def parts_of(kind: int, text: str, words: list[tuple[int, int]], free: Callable[
     return out
 
 
+def untouched(spans: list[tuple[int, int, int]]) -> Callable[[tuple[int, int, int]], bool]:
+    """A function that says whether a span touches none of ``spans``, by a search in their order."""
+    order = sorted((s, e) for _, s, e in spans)
+    starts, ends = [s for s, _ in order], list(accumulate((e for _, e in order), max))
+
+    def free(x: tuple[int, int, int]) -> bool:
+        before = bisect_left(starts, x[2])  # these begin before x ends
+        return not before or ends[before - 1] <= x[1]
+
+    return free
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: ShapeCRF) -> list[list[tuple[int, int, int]]]:
     """For each text the field's spans that pass :func:`checked` and touch no base span, by kind, then start.
 
     Labels don't tell where an item begins, so neighbours of a kind are one run; a run that doesn't pass is parted."""
     where = [(i, run) for i, t in enumerate(texts) if TRIGGER.search(t) for run in windows(t)]
     paths = crf.viterbi([[texts[i][s:e] for s, e in run] for i, run in where])
+    frees = {i: untouched(base[i]) for i, _ in where}
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, run), path in zip(where, paths, strict=True):
-        j = 0
+        free, j = frees[i], 0
         while j < len(run):
             k = j
             while k + 1 < len(run) and path[k + 1] == path[j]:
                 k += 1
             if path[j]:
-                free = lambda x, own=base[i]: not any(s < x[2] and x[1] < e for _, s, e in own)
                 kind = int(path[j]) - 1
                 span = checked(kind, texts[i], run[j][0], run[k][1])
                 out[i] += [span] if span and free(span) else parts_of(kind, texts[i], run[j : k + 1], free)
@@ -327,7 +346,9 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Offsets are code points, ends exclusive. The field is trained from :func:`labelled_table` if none is given; it
     reads every stretch of a text that holds a digit or an @, for no kind does without. A null text is an empty one and
-    has no spans. Ids may be null or repeat; an empty table gives no rows. There is no shuffle.
+    has no spans. Ids may be null or repeat, and repeated rows each get their spans; an empty table gives no rows; columns
+    other than id and text (``kinds``, say) are left out. Whole texts and words of any length are read, in time in proportion
+    to their length. Of labels that are equally good for a word the first of LABELS is taken. There is no shuffle.
     """
     crf = crf or _crf()
 
