@@ -35,11 +35,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Texts are equal when they are identical without blanks. Of equal texts, the row with the most code points
     stays, then the smallest id; a null id comes last; of wholly equal rows one stays. A null text is an empty
-    one, and all empty or blank texts are equal. An empty table gives no rows.
+    one, and all empty or blank texts are equal. An empty table gives no rows. Texts may be of any length; columns other than
+    id and text (``kept``, say) are left out.
 
     Digests and lengths are computed once and cut to a narrow table. Frequent digests go the map-side way: their
     exact sizes and winners (at most ``1 / SUPPORT`` rows, whatever the input) are broadcast to all rows. All
-    other digests are shuffled, in groups of at most ``SUPPORT`` of the rows.
+    other digests are shuffled: minima and counts, map-side first, then a join of rows with them, which adaptive execution
+    splits where a group that is below ``SUPPORT`` of very many rows is still large.
     """
     rows = id_and_text(df, id_col, text_col)
     keyed = cut(
@@ -59,15 +61,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     winners = cut(winners)
     heavy = keyed.join(F.broadcast(winners), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
-    of = Window.partitionBy("text_sha256")
-    first = of.orderBy(F.desc("n_cp"), F.asc_nulls_last("doc_id"), "row_id")
-    light = keyed.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "doc_id",
-        F.first("doc_id").over(first).alias("keep_id"),
-        F.count("*").over(of).alias("group_size"),
-        (F.row_number().over(first) == 1).alias("kept"),
-        "text_sha256",
-    )
+    rest = keyed.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    first = rest.groupBy("text_sha256").agg(F.min(rank).alias("w"), F.count("*").alias("group_size"))
+    light = rest.join(first, "text_sha256").select("doc_id", F.col("w.d").alias("keep_id"), "group_size", (F.col("row_id") == F.col("w.r")).alias("kept"), "text_sha256")
     return heavy.unionByName(light)
 
 
