@@ -13,8 +13,9 @@ from corpuslab.llm.common import batch, id_and_text, map_batches, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 #: The sign for a space.
 SPACE = "▁"
-#: Counts that a Python worker remembers for pre-tokens outside the table; it forgets all when there are more.
-REMEMBERED = 400_000
+#: Counts that a Python worker remembers for pre-tokens outside the table, of up to so many characters each; it forgets all
+#: when there are more.
+REMEMBERED, LONGEST = 400_000, 48
 LIMIT = 4096
 
 
@@ -58,7 +59,11 @@ class WholeTokens:
         split = [self.PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         rest = list({p for parts in split for p in parts if p not in known})
         known.update(zip(rest, self.merge(rest), strict=True))
-        return [sum(map(known.__getitem__, parts)) + t.count("\n") for parts, t in zip(split, texts, strict=True)]
+        out = [sum(map(known.__getitem__, parts)) + t.count("\n") for parts, t in zip(split, texts, strict=True)]
+        for p in rest:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
 
 
 @lru_cache(1)
@@ -70,8 +75,9 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``df``: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the library without begin, end or added tokens; special strings in a text are ordinary text,
-    as is the library's default. A null or empty text has no token. Ids may be null or repeat; an empty table gives no
-    rows. There is no shuffle; each task holds one batch of texts and a bounded memory of counts.
+    as is the library's default. A null or empty text has no token. Ids may be null or repeat, and each row counts; an empty
+    table gives no rows; texts may be of any length; columns other than id and text (``n_tokens``, say) are left out. There
+    is no shuffle; each task holds one batch of texts and a memory of counts that is bounded in entries and in bytes.
     """
 
     def make():
