@@ -22,6 +22,8 @@ from corpuslab.llm.common import batch, id_and_text, map_batches, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and words of which a Python worker remembers ids: so many that it met lately, and as many from before.
 REMEMBERED = 200_000
+#: Characters of a chunk or word that is remembered beyond its texts, at most.
+LONGEST = 64
 SHIFT = 32
 #: Texts encoded together, by count and by characters.
 TEXTS, CHARS = 1024, 4_000_000
@@ -194,6 +196,9 @@ class PairIndexBPE:
                 self.ids_of[c], self.said_of[c] = ids_of[c], said_of[c]
             else:
                 self.ids_of[c], self.said_of[c] = b"".join(map(get_ids, ws)), " ".join(map(get_said, ws))
+        for w in fresh:
+            if len(w) > LONGEST:
+                del ids_of[w], said_of[w]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and what they decode to."""
@@ -215,6 +220,9 @@ class PairIndexBPE:
                 ids = b"".join(b"".join(map(get_ids, p)) if type(p) is list else array("I", [self.special[p]]).tobytes() for p in parts)
                 said = " ".join(x for p in parts for x in (map(get_said, p) if type(p) is list else [p]))
             out.append((ids, said))
+        for c in fresh:
+            if len(c) > LONGEST:
+                del self.ids_of[c], self.said_of[c]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -244,7 +252,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids and decoded.
 
     Special strings inside texts become their ids, as is the library's default. A null or empty text has no ids and
-    decodes to an empty text. Ids of rows may be null or repeat; an empty table gives no rows. There is no shuffle.
+    decodes to an empty text. Ids of rows may be null or repeat, and each row is encoded; an empty table gives no rows; texts
+    may be of any length; columns other than id and text (``ids``, say) are left out. There is no shuffle.
 
     A Python worker keeps what it ``remembered`` for its next tasks; with ``lasting`` off it is dropped with each task,
     for jobs whose workers do other things besides.
