@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, decontamination, exact_dedup, language_id, ngram_join, pii, secret_scan, token_counts, toxicity, url_filter
 from corpuslab.llm.common import as_table
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Listed canonical URLs of the URL query: sites that are blocked as a whole.
-LISTED_URLS = ("cheap-pills.example.com/", "cheap-pills.example.org/", "spam-farm.example.com/", "spam-farm.example.org/")
+#: Listed canonical URLs of the URL query: sites that are blocked as a whole, under each of the domains, and sections of
+#: sites of which so many pages are listed one by one.
+LISTED_SITES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_SECTIONS, LISTED_PAGES = ("www.ththon.example.org/en", "ththan.example.com/fr"), 20_000
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +57,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(as_table(spark, sf_dir, "documents"))
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list of the URL query, one canonical URL a row."""
+    sites = spark.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(f"{s}.{d}/") for s in LISTED_SITES for d in LISTED_DOMAINS))).alias("url"))
+    pages = spark.range(0, LISTED_PAGES, 1, 1).select(F.explode(F.transform(F.array(*map(F.lit, LISTED_SECTIONS)), lambda s: F.concat_ws("/", s, F.col("id")))).alias("url"))
+    return sites.unionByName(pages)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(as_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES, LISTED_URLS))
+    keys = url_filter.rule_table(spark, URL_RULES).unionByName(url_filter.listed_table(listed_urls(spark)))
+    return url_filter.judge_urls(as_table(spark, sf_dir, "pages"), keys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,10 +86,13 @@ WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN re
 s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM u),
 r(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-l(lh) AS (VALUES ('cheap-pills.example.com'), ('cheap-pills.example.org'), ('spam-farm.example.com'), ('spam-farm.example.org')),
+c AS (SELECT page_id, host, path, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS own_host,
+             CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/+', '/', 'g') END AS own_path FROM s),
+l(lh) AS (SELECT a || '.' || d FROM (VALUES ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(a), (VALUES ('example.com'), ('example.net'), ('example.org')) y(d)),
+n(lu) AS (SELECT a || '/' || i FROM (VALUES ('www.ththon.example.org/en'), ('ththan.example.com/fr')) x(a), range(20000) t(i)),
 f AS (SELECT page_id, max(struct_pack(n := length(rh || rp), rule := rh || rp, verdict := verdict)) AS best
       FROM s JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-b AS (SELECT DISTINCT page_id FROM s JOIN l ON (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, '/'))
+b AS (SELECT DISTINCT page_id FROM c JOIN l ON own_host = lh OR ends_with(own_host, '.' || lh) UNION SELECT page_id FROM c JOIN n ON own_host || own_path = lu)
 SELECT s.page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        b.page_id IS NOT NULL AS listed
 FROM s LEFT JOIN f ON f.page_id = s.page_id LEFT JOIN b ON b.page_id = s.page_id
