@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import cut, id_and_text, map_batches, release
@@ -44,8 +44,12 @@ PLAIN = (1 << OWN) - 1
 RANGE, PACK = 1_000_000, 1_000_000
 #: Members of components that are joined to documents as rows; of more, so many by so many at a time are compared.
 FEW, TILE = 16, 2048
+#: Tasks to which a list is dealt, and documents of a list and a level of size that meet its components in one tile.
+SALTS, MEET = 16, 512
 #: Of a document's lists so many, those of the smallest names, are at hand to tell where a pair has met already.
 SKETCH = 8
+#: Pairs of one document that are verified together, and pairs of a bucket, about.
+SPOKES, PAIRS = 256, 1000
 #: Documents whose ids are broadcast to fetch their texts, at most; more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -141,12 +145,27 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """(gid, n, fp, bits, z): one document for each different set; ``gid >> 33`` names the part it lies in."""
+    """(gid, chunk, n, fp, bits, z): one document for each different set; ``gid >> 33`` names the part it lies in, and
+    ``chunk`` numbers the stretches of a part that hold PACK tokens or so, in the order in which it is written and read."""
     first = seen.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     first = first.select("fp", "n", "bits", F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th")).hint("shuffle_hash")
     z = compressed(rows)
-    met = z.join(first, z["_id"].eqNullSafe(first["doc_id"]) & (z["_th"] == first["th"]))
-    return cut(met.select(F.monotonically_increasing_id().alias("gid"), "n", "fp", "bits", "z"))
+    met = z.join(first, z["_id"].eqNullSafe(first["doc_id"]) & (z["_th"] == first["th"])).select("n", "fp", "bits", "z")
+    most = PACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = 0, 0
+        for b in batches:
+            chunks = []
+            for n in b.column("n").to_pylist():
+                if held >= most:
+                    chunk, held = chunk + 1, 0
+                chunks.append(chunk)
+                held += n
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), *b.columns], ["chunk", *b.schema.names])
+
+    numbered = met.mapInArrow(run, "chunk int, n long, fp binary, bits binary, z binary")
+    return cut(numbered.select(F.monotonically_increasing_id().alias("gid"), "*"))
 
 
 # --- how frequent tokens are ------------------------------------------------------------------------------------
@@ -160,18 +179,6 @@ def _ranges(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return r, v, bounds
 
 
-def chunked(sizes: list[int], most: int) -> list[int]:
-    """The chunk of each document of a part, in order of numbers: a chunk is full once it has ``most`` tokens. The
-    same at each call, so what is said of a chunk's tokens can come back to it."""
-    out, chunk, held = [], 0, 0
-    for n in sizes:
-        if held >= most:
-            chunk, held = chunk + 1, 0
-        out.append(chunk)
-        held += n
-    return out
-
-
 def token_codes(sets: DataFrame, bits: int) -> DataFrame:
     """(part, chunk, r, codes): for the ascending tokens of each chunk in each range how many documents have them, packed:
     0 for one, 1 for up to RARE, else the logarithm. All tokens are counted. A map task counts a chunk of its own first;
@@ -190,20 +197,18 @@ def token_codes(sets: DataFrame, bits: int) -> DataFrame:
             k = len(some)
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * k, pa.int64()), pa.array([chunk] * k, pa.int32()), pa.array(vs, pa.binary()), pa.array(ns, pa.binary())], ["r", "part", "chunk", "v", "n"])
 
-        part, chunk, held, size = None, 0, [], 0
+        place, held = (0, 0), []
         for b in batches:
-            parts, z = b.column("part").to_pylist(), b.column("z")
-            for i in range(0, len(parts), 256):
-                for now, s in zip(parts[i : i + 256], shingler.sets(_texts(z.slice(i, 256))), strict=True):
-                    if held and (now != part or size >= PACK):
-                        yield packed(part, chunk, held)
-                        chunk, held, size = chunk + 1, [], 0
-                    if now != part:
-                        part, chunk = now, 0
+            places, z = list(zip(b.column("part").to_pylist(), b.column("chunk").to_pylist(), strict=True)), b.column("z")
+            for i in range(0, len(places), 256):
+                for now, s in zip(places[i : i + 256], shingler.sets(_texts(z.slice(i, 256))), strict=True):
+                    if held and now != place:
+                        yield packed(*place, held)
+                        held = []
+                    place = now
                     held.append(s)
-                    size += len(s)
         if held:
-            yield packed(part, chunk, held)
+            yield packed(*place, held)
         del held
         release()
 
@@ -223,8 +228,7 @@ def token_codes(sets: DataFrame, bits: int) -> DataFrame:
         release()
         return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "r": t.column("r"), "codes": pa.array(codes, pa.binary())})
 
-    # Chunks follow the order of numbers, which is the order in which a part was written and is read.
-    counted = sets.select("part", "z").mapInArrow(run, "r int, part long, chunk int, v binary, n binary")
+    counted = sets.select("part", "chunk", "z").mapInArrow(run, "r int, part long, chunk int, v binary, n binary")
     return counted.groupBy("r").applyInArrow(total, "part long, chunk int, r int, codes binary")
 
 
@@ -323,32 +327,26 @@ class Poster:
 def postings(sets: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
     """(r, v, docs, members, edges): packed signatures of a range and their documents. Of signatures that more than HOT
     documents of a part share, ``members`` and ``edges`` hold signature, document and the document that stands for them,
-    dealt to other ranges than their own, so that no range gathers them. Parts meet the codes of their tokens."""
+    dealt to other ranges than their own, so that no range gathers them. A task holds one chunk of PACK tokens or so, and the
+    codes of these."""
 
     hot, most = HOT, PACK
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        by_chunk: dict[int, list[tuple[int, bytes]]] = {}
-        for c, r, x in zip(*(known.column(k).to_pylist() for k in ("chunk", "r", "codes")), strict=True):
-            by_chunk.setdefault(c, []).append((r, x))
-        gids = docs.column("gid").to_numpy()
-        order = np.argsort(gids)
-        sizes = docs.column("n").to_numpy()[order]
-        chunk_of = np.array(chunked(sizes.tolist(), most))
-        z, shingler, poster = docs.column("z"), Shingler(), Poster(bits, hot, most)
-        for c in range(int(chunk_of.max(initial=-1)) + 1):
-            mine = order[chunk_of == c]
-            tokens = [s for i in range(0, len(mine), 256) for s in shingler.sets(_texts(z.take(pa.array(mine[i : i + 256]))))]
+        poster = Poster(bits, hot, most)
+        if docs.num_rows:
+            shingler, z = Shingler(), docs.column("z")
+            tokens = [s for i in range(0, len(z), 256) for s in shingler.sets(_texts(z.slice(i, 256)))]
             every = np.unique(np.concatenate(tokens))
-            code = np.concatenate([unpack(x, "<u1") for _, x in sorted(by_chunk[c])])
-            for gid, t in zip(gids[mine].tolist(), tokens, strict=True):
+            code = np.concatenate([unpack(x, "<u1") for _, x in sorted(zip(known.column("r").to_pylist(), known.column("codes").to_pylist(), strict=True))])
+            for gid, t in zip(docs.column("gid").to_pylist(), tokens, strict=True):
                 poster.add(gid, t, code[np.searchsorted(every, t)])
             del tokens, every, code
         out = poster.table()
         release()
         return out
 
-    return sets.select("part", "gid", "n", "z").groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(run, _POSTINGS)
+    return sets.select("part", "chunk", "gid", "z").groupBy("part", "chunk").cogroup(codes.groupBy("part", "chunk")).applyInArrow(run, _POSTINGS)
 
 
 def candidates(packed: DataFrame) -> DataFrame:
@@ -414,28 +412,37 @@ def sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(one, "a").join(two, "b").where(size), "a long, b long", make)
 
 
+def level_of(n: Column) -> Column:
+    """The level of a size, as in :func:`_levels`: sizes that can link are at most one apart."""
+    return F.size(F.filter(F.array(*(F.lit(int(x)) for x in _levels())), lambda x: x <= n)) - 1
+
+
 def _folded(m: np.ndarray, size: int) -> np.ndarray:
     """Bitmaps (rows) of ``size`` bytes from larger ones."""
     return m if m.shape[1] == size else np.bitwise_xor.reduce(m.reshape(len(m), -1, size), 1)
 
 
 def across(meet: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) that sizes and bitmaps don't rule out, for documents and components that met (x, c), each document with all
-    members. Small components are joined; larger ones are held against their documents in blocks of TILE by TILE, in
-    numpy, so that what is ruled out never becomes a row."""
+    """(a, b) that sizes and bitmaps don't rule out, for documents and components that met (x, c), each document with the
+    members of a size that can link. Small components are joined; larger ones are held against their documents in blocks
+    of TILE by TILE of neighbouring levels of size, in numpy, so that what is ruled out never becomes a row."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     met = meet.join(sizes, F.col("c") == F.col("comp"), "left").select("x", "c", F.coalesce("size", F.lit(1)).alias("size"))
     few = met.where(F.col("size") <= FEW).join(comps, F.col("c") == F.col("comp"), "left").select("x", F.coalesce("node", "c").alias("y"))
     few = sifted(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
     many = met.where(F.col("size") > FEW)
-    grid = many.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nx"), F.ceil(F.first("size") / TILE).cast("int").alias("ny"))
+    tiles = lambda: F.ceil(F.count("*") / TILE).cast("int")
     dealt = lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Documents meet members of their own level of size and of the two beside it.
     one = sets.select(F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    two = sets.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    left = many.select("x", "c").join(grid, "c").select("c", "x", dealt("x", "nx").alias("i"), all_of("ny").alias("j")).join(one, "x")
-    shape = grid.select(F.col("c").alias("rc"), "nx", "ny")
-    right = comps.join(shape, F.col("comp") == F.col("rc")).select("rc", F.col("node").alias("y"), all_of("nx").alias("ri"), dealt("node", "ny").alias("rj")).join(two, "y")
+    two = sets.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"), level_of(F.col("n")).alias("rv"))
+    left = many.select("x", "c").join(one, "x")
+    left = left.select("*", F.explode(F.array(*(level_of(F.col("nx")) + k for k in (-1, 0, 1)))).alias("v"))
+    right = comps.join(many.select("c").distinct(), F.col("comp") == F.col("c"), "left_semi").select(F.col("comp").alias("rc"), F.col("node").alias("y")).join(two, "y")
+    grid = cut(left.groupBy("c", "v").agg(tiles().alias("tx")).join(right.groupBy(F.col("rc").alias("c"), F.col("rv").alias("v")).agg(tiles().alias("ty")), ["c", "v"]))
+    left = left.join(grid, ["c", "v"]).select("c", "v", dealt("x", "tx").alias("i"), all_of("ty").alias("j"), "x", "nx", "bx")
+    right = right.join(grid.select(F.col("c").alias("rc"), F.col("v").alias("rv"), "tx", "ty"), ["rc", "rv"]).select("rc", "rv", all_of("tx").alias("ri"), dealt("y", "ty").alias("rj"), "y", "ny", "by")
 
     def block(xs: pa.Table, ys: pa.Table) -> pa.Table:
         gy, ny, by = ys.column("y").to_numpy(), ys.column("ny").to_numpy(), ys.column("by").to_pylist()
@@ -460,17 +467,20 @@ def across(meet: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(a), "b": join(b)})
 
-    return few.unionByName(left.groupBy("c", "i", "j").cogroup(right.groupBy("rc", "ri", "rj")).applyInArrow(block, "a long, b long")).where("a <> b").distinct()
+    return few.unionByName(left.groupBy("c", "v", "i", "j").cogroup(right.groupBy("rc", "rv", "ri", "rj")).applyInArrow(block, "a long, b long")).where("a <> b").distinct()
 
 
 def unlinked_lists(member: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """(list, a, comp, alone, major, n, s) of lists whose documents are in several components: ``alone`` says that a
-    document has no link, ``major`` is the component with most of the list, ``s`` bounds what a document can share."""
+    document has no link, ``major`` is the component with most of the list, ``s`` bounds what a document can share.
+
+    What is known of a list is sent to its members by list and salt, so that a long list is dealt to SALTS tasks."""
     member = member.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left")
     member = member.withColumn("alone", F.col("comp").isNull()).withColumn("comp", F.coalesce("comp", "a"))
     sizes = member.groupBy("list", "comp").count()
-    mixed = sizes.groupBy("list").agg(F.count("*").alias("k"), F.max_by("comp", "count").alias("major")).where("k > 1").select("list", "major")
-    member = member.join(mixed, "list").join(sets.select(F.col("gid").alias("a"), "n"), "a")
+    mixed = sizes.groupBy("list").agg(F.count("*").alias("k"), F.max_by("comp", "count").alias("major")).where("k > 1")
+    mixed = mixed.select("list", "major", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    member = member.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed, ["list", "salt"]).join(sets.select(F.col("gid").alias("a"), "n"), "a")
     return member.select("list", "a", "comp", "alone", "major", "n", (F.col("n") - F.ceil(F.col("own") * F.col("n") / 127)).alias("s"))
 
 
@@ -478,56 +488,67 @@ def meetings(member: DataFrame) -> DataFrame:
     """(x, c): documents and components to be held against each other, for two components of a list once: a document
     outside of the list's major component with that, or with one of a smaller number. Left out is what can't link by
     sizes and by what documents have alone; two lone documents meet in the first only of the lists that their sketches
-    have in common, however many they share."""
+    have in common, however many they share.
+
+    They meet by list and level of size, components at each level at which a member could link, and where a list has many
+    documents of a level, these are dealt to tiles of TILE, each of which meets all components."""
     sketch = member.where("alone").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("list")), 1, SKETCH).alias("sketch"))
     member = member.join(sketch, "a", "left")
-    x = member.where("comp <> major").select("list", F.col("a").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sketch").alias("kx"))
+    x = member.where("comp <> major").select("list", F.col("a").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sketch").alias("kx"), level_of(F.col("n")).alias("v"))
     c = member.groupBy("list", F.col("comp").alias("c"), (F.col("comp") == F.col("major")).alias("main")).agg(F.min("n").alias("nc"), F.max("n").alias("xc"), F.max("s").alias("sc"), F.first("sketch").alias("kc"))
+    c = c.select("*", F.explode(F.sequence(level_of(F.col("nc")) - 1, level_of(F.col("xc")) + 1)).alias("v"))
+    tiles = x.groupBy("list", "v").agg(F.ceil(F.count("*") / MEET).cast("int").alias("tiles")).where("tiles > 1")
+    few = F.coalesce("tiles", F.lit(1))
+    x = x.join(tiles, ["list", "v"], "left").withColumn("tile", F.pmod(F.xxhash64("x"), few).cast("int")).drop("tiles")
+    c = c.join(tiles, ["list", "v"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), few - 1))).drop("tiles")
     one = F.col("main") | (F.col("cx") > F.col("c"))
     fits = (F.col("nx") * 100 >= F.col("nc") * PERCENT) & (F.col("xc") * 100 >= F.col("nx") * PERCENT) & (F.least("sx", "sc") * (100 + PERCENT) >= (F.col("nx") + F.col("nc")) * PERCENT)
     before = F.arrays_overlap(F.filter("kx", lambda k: k < F.col("list")), F.col("kc"))
     # What is main in one list may be left to the other document's turn in another, so only lists without main count.
     first = F.col("main") | ~F.coalesce(before & F.col("kx").isNotNull() & F.col("kc").isNotNull(), F.lit(False))
-    return x.join(c, "list").where((F.col("cx") != F.col("c")) & one & fits & first).select("x", "c").distinct()
+    return x.join(c, ["list", "v", "tile"]).where((F.col("cx") != F.col("c")) & one & fits & first).select("x", "c").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sifted ones that link, by their whole sets. Only texts of documents in pairs leave their place."""
+    """The pairs (a, b) of sifted ones that link, by their whole sets. Only texts of documents in pairs leave their place.
+
+    Of a pair the document with more pairs is the centre. The pairs of a centre are dealt to tiles of SPOKES, and tiles to
+    buckets of PAIRS pairs or so; the centre's text goes to each of its tiles once, the other's to each of its pairs."""
     pairs = cut(pairs)
-    need = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-    if need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    ends = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select("b")).groupBy("gid").agg(F.count("*").alias("k"))
+    ends = cut(ends)
+    need = ends.select("gid")
+    total = pairs.count()
+    if ends.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
     held = cut(sets.select("gid", "z").join(need, "gid", "left_semi"))
-    one = held.select(F.col("gid").alias("a"), F.col("z").alias("za"))
-    two = held.select(F.col("gid").alias("b"), F.col("z").alias("zb"))
-    full = pairs.join(two, "b").join(one, "a")
-
-    def make():
-        shingler = Shingler()
-        kept: dict[bytes, np.ndarray] = {}
-
-        def get(z: list[bytes]) -> list[np.ndarray]:
-            if len(kept) > 2000:
-                kept.clear()
-            d = zstandard.ZstdDecompressor()
-            fresh = list({x for x in z if x not in kept})
-            kept.update(zip(fresh, shingler.sets([d.decompress(x).decode() for x in fresh]), strict=True))
-            return [kept[x] for x in z]
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            ok = []
-            za, zb = b.column("za").to_pylist(), b.column("zb").to_pylist()
-            for i in range(0, len(za), 256):
-                both = get(za[i : i + 256] + zb[i : i + 256])
-                half = len(both) // 2
-                for x, y in zip(both[:half], both[half:], strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            return b.select(["a", "b"]).filter(pa.array(ok))
-
-        return run
+    spokes, buckets = SPOKES, max(1, -(-total // PAIRS))
+    counted = pairs.join(ends.select(F.col("gid").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("gid").alias("b"), F.col("k").alias("kb")), "b")
+    swap = F.col("kb") > F.col("ka")
+    star = counted.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("s"), F.ceil(F.greatest("ka", "kb") / spokes).alias("tiles"))
+    star = star.withColumn("bucket", F.pmod(F.xxhash64("c", F.pmod(F.xxhash64("s"), F.col("tiles"))), F.lit(buckets)).cast("int")).select("c", "s", "bucket")
+    other = star.join(held.select(F.col("gid").alias("s"), "z"), "s").select("bucket", "c", "s", "z")
+    centre = star.select(F.col("bucket").alias("rb"), F.col("c").alias("gid")).distinct().join(held.select("gid", F.col("z").alias("zc")), "gid")
+
+    def block(p: pa.Table, t: pa.Table) -> pa.Table:
+        shingler, d = Shingler(), zstandard.ZstdDecompressor()
+        texts = dict(zip(t.column("gid").to_pylist(), t.column("zc").to_pylist(), strict=True))
+        p = p.sort_by("c")
+        c, s, z = (p.column(k).to_pylist() for k in ("c", "s", "z"))
+        kept: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        a, b = [], []
+        for i in range(0, len(c), 128):
+            for x, y, other in zip(c[i : i + 128], s[i : i + 128], shingler.sets([d.decompress(k).decode() for k in z[i : i + 128]]), strict=True):
+                if kept[0] != x:
+                    kept = (x, shingler.sets([d.decompress(texts[x]).decode()])[0])
+                shared = len(np.intersect1d(kept[1], other, assume_unique=True))
+                if 100 * shared >= PERCENT * (len(kept[1]) + len(other) - shared):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+        release()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return map_batches(full.select("a", "b", "za", "zb"), "a long, b long", make)
+    return other.groupBy("bucket").cogroup(centre.groupBy("rb")).applyInArrow(block, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
