@@ -30,6 +30,13 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called that."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, which survives lost executors.
 

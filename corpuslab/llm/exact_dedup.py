@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import cut, id_and_text
+from corpuslab.llm.common import cut, id_and_text, unused
 
 #: Characters that don't count when texts are compared.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -74,10 +74,11 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     decided = cut(exact_dedup(df, id_col, text_col))
     text = F.coalesce(df[text_col], F.lit(""))
-    numbered = df.withColumn("_sha", F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).withColumn("_len", F.length(text))
-    stay = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    kept = numbered.join(stay, numbered[id_col].eqNullSafe(stay["_id"]) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    sha, length, turn, own_id, own_sha = (unused(df, n) for n in ("_sha", "_len", "_turn", "_id", "_kept"))
+    numbered = df.withColumn(sha, F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).withColumn(length, F.length(text))
+    stay = decided.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
+    kept = numbered.join(stay, numbered[id_col].eqNullSafe(stay[own_id]) & (F.col(sha) == F.col(own_sha)), "left_semi")
     if decided.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
-        turn = Window.partitionBy(kept[id_col], F.col("_sha")).orderBy(F.desc("_len"))
-        kept = kept.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
-    return kept.drop("_sha", "_len")
+        of = Window.partitionBy(kept[id_col], F.col(sha)).orderBy(F.desc(length))
+        kept = kept.withColumn(turn, F.row_number().over(of)).where(F.col(turn) == 1).drop(turn)
+    return kept.drop(sha, length)

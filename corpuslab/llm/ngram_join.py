@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import cut, id_and_text, map_batches, release
+from corpuslab.llm.common import cut, id_and_text, map_batches, release, unused
 from corpuslab.llm.components import components
 from corpuslab.llm.shingles import Shingler, mix
 
@@ -555,7 +555,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of ``df``: doc_id, n_shingles, component_id, the smallest id reachable by links.
 
     A null, empty or blank text has no shingle and no link, so its own id. Rows of equal sets are one node. A null id
-    is never the smallest unless all are null; repeated ids count as separate rows. An empty table gives no rows. No
+    is never the smallest unless all are null; repeated ids count as separate rows. An empty table gives no rows, and columns
+    other than id and text (``n_shingles``, say) are left out. Texts may be of any length. No
     link is lost or guessed: the prefix index gives candidates, whole sets decide. Pairs that stay unlinked are looked
     for again only between different components of a list, so a group of near copies costs its size, not its square.
     """
@@ -584,5 +585,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_smallest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose id is the smallest of their component; rows that share an id stand or fall
     together. Decisions are cut to a narrow table, which the texts meet by id."""
-    first = cut(jaccard_components(df, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return df.join(first, df[id_col].eqNullSafe(first["_id"]), "left_semi")
+    own = unused(df, "_id")
+    first = cut(jaccard_components(df, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct())
+    return df.join(first, df[id_col].eqNullSafe(first[own]), "left_semi")

@@ -70,6 +70,35 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert secret_scan.secret_report(old.where("false")).collect() == []
 
 
+def test_logins_of_any_length():
+    for n in (6, 64, 65, 5000):
+        t = f"see https://{'u' * n}:{'p' * n}@host/x"
+        assert [(secret_scan.KINDS[k], t[a:b]) for a, k, b in secret_scan.find_secrets(t) if k >= 3] == [("url_login", t[4 : t.index("@") + 1])]
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_two_versions_give_what_one_scan_gives(spark, monkeypatch, broadcast):
+    """op1: unseen texts travel, or their digests do."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", broadcast)
+    df = documents(spark, [*secret_texts(), *secret_texts()[:150], *ODD])
+    key = lambda r: (str(r["doc_id"]), r["blob"], r["kinds"], r["starts"], r["ends"])
+    assert sorted(map(key, secret_scan.report_of_versions(df).collect())) == sorted(map(key, secret_scan.secret_report(df).collect()))
+
+
+def test_a_written_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    old = spark.createDataFrame([(1, "token = abcdefghijklmnop"), (2, "clean")], "doc_id long, text string")
+    secret_scan.append_to_ledger(secret_scan.scan_blobs(old)[1], path)
+    new = old.unionByName(spark.createDataFrame([(3, "secret: qrstuvwxyzabc")], old.schema))
+    _, fresh = secret_scan.scan_blobs(new, secret_scan.read_ledger(spark, path))
+    fresh = common.cut(fresh)
+    assert fresh.count() == 1
+    secret_scan.append_to_ledger(fresh, path)
+    ledger = secret_scan.read_ledger(spark, path)
+    assert ledger.count() == 3 and secret_scan.scan_blobs(new, ledger)[1].count() == 0
+    assert len(secret_scan.RULES_VERSION) == 16
+
+
 # --- tokens
 
 
@@ -187,7 +216,7 @@ def dedup_rows():
 @pytest.mark.parametrize("support", [0.001, 0.3])
 def test_exact_dedup(spark, monkeypatch, support):
     monkeypatch.setattr(exact_dedup, "SUPPORT", support)
-    rows = dedup_rows()
+    rows = [*dedup_rows(), (3000, "long " * 400_000), (3001, "long" * 400_000), (3002, "long " * 399_999)]
     df = spark.createDataFrame([(*x, 5, True) for x in rows], "doc_id long, text string, group_size int, kept boolean").repartition(7)
     got = exact_dedup.exact_dedup(df).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == brute_dedup(rows)
@@ -238,26 +267,41 @@ def brute_judge(url, rules, listed):
         path = re.match(r"[^?#]*", rest[m.end() :])[0]
     fit = lambda h, p: (host == h or host.endswith("." + h)) and path.startswith(p)
     best = max(((len(h + p), len(h), h + p, v) for h, p, v in rules if fit(h, p)), default=None)
-    hit = any(fit(*x.split("/", 1)[:1], "/" + x.split("/", 1)[1]) for x in listed)
+    own_host = re.sub(r":[0-9]*$", "", host.split("@")[-1]).rstrip(".")
+    own_path = re.sub("/+", "/", path) or "/"
+    hit = bool(own_host) and any((own_host == h or own_host.endswith("." + h)) and own_path.startswith("/" + p) for h, _, p in (x.partition("/") for x in listed))
     return host, path, best and best[2], best[3] if best else "block" if hit else "allow", hit
 
 
-def test_urls(spark):
+def as_keys(spark, rules, listed):
+    urls = spark.createDataFrame([(x,) for x in listed], "url string")
+    return url_filter.rule_table(spark, rules).unionByName(url_filter.listed_table(urls))
+
+
+LISTED = ("cheap-pills.example.com/", "cheap-pills.example.org/", "spam-farm.example.com/", "spam-farm.example.org/")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_urls(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 0)
     r = random.Random(8)
-    parts = ["http", "://", "www.", "Example.", "example.net", "net", "org", "com", "/en/", "/fr/", "/de/", "/", "?q=/en/", "#x", "a.", "cheap-pills.example.org", "..", "é"]
-    urls = ["".join(r.choice(parts) for _ in range(r.randrange(8))) for _ in range(1500)] + [None, "", "://", "http://", "http://net", "http://net/", "http://NET/en/", "x://a://b/", "http://" + "a." * 300 + "net/" + "b/" * 300]
-    df = spark.createDataFrame([(i if i % 11 else None, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(4)
-    rules = url_filter.rule_table(spark, queries.URL_RULES, queries.LISTED_URLS)
+    parts = ["http", "://", "www.", "Example.", "example.net", "net", "org", "com", "/en/", "/fr/", "/de/", "/", "?q=/en/", "#x", "a.", "cheap-pills.example.org", "é"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randrange(8))) for _ in range(1500)] + [None, "", "://", "http://", "http://net", "http://net/", "http://NET/en/", "x://a://b/", "http://" + "a." * 300 + "net/" + "b/" * 300, "http://x.org/" + "p" * 300_000]
+    df = spark.createDataFrame([(i if i % 11 else None, u, "z", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, listed int").repartition(4)
+    rules = as_keys(spark, queries.URL_RULES, LISTED)
     got = url_filter.judge_urls(df, rules).collect()
-    want = [(i if i % 11 else None, *brute_judge(u, queries.URL_RULES, queries.LISTED_URLS)) for i, u in enumerate(urls)]
+    want = [(i if i % 11 else None, *brute_judge(u, queries.URL_RULES, LISTED)) for i, u in enumerate(urls)]
     assert sorted((tuple(x) for x in got), key=str) == sorted(want, key=str)
     assert url_filter.judge_urls(df.where("false"), rules).collect() == []
     assert {x["verdict"] for x in url_filter.judge_urls(df, rules.where("false")).collect()} == {"allow"}
 
 
-def test_many_listed_urls(spark):
-    listed = [f"site{i}.example.com/" for i in range(3000)]
-    rules = url_filter.rule_table(spark, [("example.com", "/ok/", "allow")], listed)
+@pytest.mark.parametrize("keys", [200_000, 100])
+def test_many_listed_urls(spark, monkeypatch, keys):
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", keys)
+    rules = as_keys(spark, [("example.com", "/ok/", "allow")], [f"site{i}.example.com/" for i in range(3000)])
     df = spark.createDataFrame([(i, f"https://www.site{i}.example.com/{'ok/' if i % 2 else ''}p") for i in range(0, 6000, 3)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, rules).collect()}
     assert got == {i: "allow" if i % 2 or i >= 3000 else "block" for i in range(0, 6000, 3)}
@@ -266,10 +310,61 @@ def test_many_listed_urls(spark):
 
 
 def test_listed_pages(spark):
-    """op10: single pages can be listed beside sites; a page's key fits no longer path, no folder and no subdomain."""
-    listed = ["site.org/a/page", "deep.org/1/2/3/4", "spam.org/", *(f"many{i}.org/p{i}" for i in range(2000))]
+    """op10: single pages can be listed beside sites, in canonical form; a page's key fits no longer path, no folder and no
+    subdomain."""
+    listed = ["site.org/a/page", "http://Deep.org:80//1/2/3/4?q#f", "spam.org/", None, "", "://", *(f"many{i}.org/p{i}" for i in range(2000))]
     urls = {"http://SITE.org/a/page?q=1": True, "http://site.org/a/page#x": True, "http://site.org/a/page/": False, "http://site.org/a/page2": False, "http://site.org/a/": False, "http://www.site.org/a/page": False}
-    urls |= {"x://deep.org/1/2/3/4": True, "x://deep.org/1/2/3": False, "x://a.spam.org/z": True, "x://spam.org": False, "x://many7.org/p7": True, "x://many7.org/p8": False, "x://site.org/A/page": False}
+    urls |= {"x://deep.org/1/2/3/4": True, "x://deep.org/1/2/3": False, "x://a.spam.org/z": True, "x://spam.org": True, "x://many7.org/p7": True, "x://many7.org/p8": False, "x://site.org/A/page": False}
+    urls |= {"https://user:pw@site.org.:443//a///page": True, "https://spam.org:8080?x": True, "x://spam.org.evil.net/": False}
     df = spark.createDataFrame(list(urls.items()), "url string, want boolean").withColumn("page_id", F.col("url"))
-    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in url_filter.judge_urls(df, url_filter.rule_table(spark, [("none.net", "/", "block")], listed)).collect()}
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in url_filter.judge_urls(df, as_keys(spark, [("none.net", "/", "block")], listed)).collect()}
     assert got == {u: (x, "block" if x else "allow") for u, x in urls.items()}
+
+
+def test_rules_that_contradict_each_other(spark):
+    """op10: of rules for one host and path the one that blocks holds, in whatever order; the longer host wins a tie."""
+    df = spark.createDataFrame([(1, "x://a.org/p/q"), (1, "x://a.org/p/q"), (2, "x://b.a.org/p/")], "page_id long, url string")
+    rules = [("a.org", "/p/", "allow"), ("a.org", "/p/", "block"), ("b.a.org", "/", "allow")]
+    for some in (rules, rules[::-1]):
+        got = url_filter.judge_urls(df, url_filter.rule_table(spark, some)).collect()
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got) == [(1, "a.org/p/", "block"), (1, "a.org/p/", "block"), (2, "b.a.org/", "allow")]
+
+
+# --- odd tables
+
+
+def odd_table(spark):
+    """Columns named like outputs, null and repeated ids, repeated rows, null, empty and very long texts."""
+    names = "n_tokens n_bytes over_limit ids decoded ids_sha256 kinds starts ends is_base blob rules keep_id kept group_size text_sha256".split()
+    rows = [(i, t, *[1] * len(names)) for i, t in ((1, "token = abcdefghijklmnop 10.0.0.1"), (1, "token = abcdefghijklmnop 10.0.0.1"), (None, None), (None, ""), (2, "7" * 300_000), (3, "word " * 60_000))]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+
+
+@pytest.mark.parametrize("name", ["secrets", "tokens", "pii", "dedup", "bpe"])
+def test_odd_and_empty_tables(spark, name):
+    apply = {
+        "secrets": lambda d: secret_scan.digest_columns(secret_scan.report_of_versions(d)),
+        "tokens": token_counts.count_tokens,
+        "pii": lambda d: pii.digest_columns(pii.find_personal_data(d)),
+        "dedup": exact_dedup.exact_dedup,
+        "bpe": lambda d: bpe.encode_decode(d, keep=("ids", "decoded")),
+    }[name]
+    df = odd_table(spark)
+    got = apply(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "None", "None"]
+    ones = [r for r in got if r["doc_id"] == 1]
+    assert name == "dedup" or ones[0] == ones[1]
+    assert len(set(got[0].asDict())) == len(got[0])
+    assert apply(df.where("false")).collect() == []
+
+
+def test_hostile_texts_take_linear_time():
+    """op1, op4: long runs that patterns could try from each of their places."""
+    import time
+
+    crf = pii._crf()
+    for t in ("7" * 400_000, "1." * 200_000, "a@b.c " * 20_000, "@" * 200_000, "+1(" * 100_000, "-eyJ" * 100_000, "http://a" * 50_000, "212-555-1234, " * 10_000, "-----BEGIN A " * 30_000):
+        began = time.process_time()
+        pii.added_spans([t], [pii.base_spans(t)], crf)
+        secret_scan.find_secrets(t)
+        assert time.process_time() - began < 20, t[:20]

@@ -59,6 +59,9 @@ def result(df):
 
 @pytest.mark.parametrize("seed,rare,hot,hand", [(1, 12, 64, 10**6), (2, 2, 3, 0), (3, 1, 2, 10**6), (4, 0, 2, 0)])
 def test_components_as_brute_force(spark, monkeypatch, seed, rare, hot, hand):
+    monkeypatch.setattr(ngram_join, "MEET", 3 if hand else 512)
+    monkeypatch.setattr(ngram_join, "SPOKES", 2 if hand else 256)
+    monkeypatch.setattr(ngram_join, "PAIRS", 7 if hand else 1000)
     monkeypatch.setattr(ngram_join, "RARE", rare)
     monkeypatch.setattr(ngram_join, "PACK", 3000 if hand else 2_000_000)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", hand)
@@ -150,9 +153,9 @@ def brute_contained(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [500_000, 300])
+@pytest.mark.parametrize("block", [1_000_000, 300])
 def test_contained_items_as_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     r = random.Random(8)
     items = [(i, t) for i, t in enumerate(made_texts(6, 30, 100000)) ] + [(100, "a b c d e"), (101, "short item"), (102, None), (103, ""), (104, "a b c d e")]
     docs = []
@@ -177,3 +180,43 @@ def test_empty_benchmark_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     assert decontamination.find_contained(docs, none).collect() == []
     assert decontamination.find_contained(docs.where("false"), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).collect() == []
+
+
+def test_string_ids_long_texts_and_clashing_names(spark, monkeypatch):
+    """op3: items with ids of any type, in blocks; a text of a million words; columns named like outputs."""
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 20)
+    items = spark.createDataFrame([("x", "a b c d e f g h", 1), ("x", "a b c d e f g h", 2), (None, "q r s t u v", 3), ("y", "k l m n o p", 4)], "item_id string, text string, n_item int").repartition(2)
+    long = " ".join(f"v{i}" for i in range(500_000)) + " K L m N o p " + " ".join(f"u{i}" for i in range(500_000))
+    docs = spark.createDataFrame([("d", "0 a b c d e f g h 1", 7), (None, "q r s t u v", 7), ("e", long, 7), ("e", "a b", 7)], "doc_id string, text string, n_shared int")
+    got = decontamination.find_contained(docs, items)
+    assert got.columns == ["doc_id", "item_id", "n_item", "n_shared", "containment"]
+    assert sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in got.collect()), key=str) == [("d", "x", 4, 4), ("d", "x", 4, 4), ("e", "y", 2, 2), (None, None, 2, 2)]
+    kept = decontamination.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r["text"] for r in kept.collect()] == ["a b"]
+    numbers = items.selectExpr("cast(n_item as decimal(5,1)) as item_id", "text")
+    assert sorted(str(r["item_id"]) for r in decontamination.find_contained(docs, numbers).collect()) == ["1.0", "2.0", "3.0", "4.0"]
+
+
+def test_signatures_miss_nothing():
+    """op3: of any set that holds an item's share, a signature that isn't cut has a hash; it is a quarter of the item or so."""
+    r = np.random.default_rng(1)
+    for n in [*range(1, 62), 100, 400, 5000]:
+        item = np.sort(r.integers(0, 2**63, n).astype(np.uint64))
+        sig = decontamination.signature(item)
+        assert len(sig) <= max(decontamination.EXACT, min(decontamination.SIGNATURE, n // 4 + 1))
+        block = decontamination.ItemBlock([0], [""], [item])
+        for _ in range(40):
+            held = np.sort(r.choice(item, decontamination.required(n), replace=False))
+            assert block.held(held) == [0]
+            assert block.held(np.sort(np.concatenate([held, r.integers(0, 2**63, 3000).astype(np.uint64)]))) == [0]
+        if n > 20:
+            assert block.held(np.sort(r.choice(item, decontamination.required(n) - 1, replace=False))) == []
+
+
+def test_share_of_hashes_that_is_searched():
+    """op3: for items of the benchmark's sizes, what part of a document's hashes is looked at."""
+    r = np.random.default_rng(2)
+    items = [np.sort(r.integers(0, 2**63, int(n)).astype(np.uint64) * np.uint64(2)) for n in r.integers(10, 56, 200)]
+    block = decontamination.ItemBlock(list(range(200)), [""] * 200, items)
+    share = {p.least: float(p.highest) / 2**64 for p in block.parts}
+    assert len(share) >= 3 and all(x < 0.85 for x in share.values()) and share[max(share)] < 0.55
