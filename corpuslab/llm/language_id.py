@@ -21,6 +21,8 @@ BUCKETS = 1 << BITS_OF_BUCKETS
 #: Labelled texts that train the classifiers: so many for each language at most, of many languages fewer of each, so that
 #: there are no more than TEXTS in all; one of each at least. Every language is learnt.
 TEXTS_EACH, TEXTS = 400, 25_600
+#: Languages whose shares are broadcast to the texts, at most.
+BROADCAST_LANGS = 10_000
 #: Bits of a codeword for more than six languages, at least; ten times the logarithm of their number if that is more.
 BITS = 31
 #: Codes of which the one with the largest distances is taken, and up to how many languages they are compared.
@@ -157,6 +159,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return LanguageCode([], np.ones((0, 1), np.float32), np.zeros((BUCKETS, 1), np.float32), np.ones((0, 1), np.float32))
     each = max(1, min(TEXTS_EACH, TEXTS // k))
     share = sizes.select("lang", (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("count"))).alias("below"))
+    share = F.broadcast(share) if k <= BROADCAST_LANGS else share
     near = rows.join(share, "lang").where(F.col("h") < F.col("below"))  # twice what is wanted, and some
     chosen = near.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("turn") <= each).select("lang", "text")
 
