@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from corpuslab.llm.common import batch, id_and_text, map_batches, tokenizer_path
+from corpuslab.llm.common import batch, id_and_text, map_batches, release, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and words of which a Python worker remembers ids: so many that it met lately, and as many from before.
@@ -235,19 +235,19 @@ def _bpe(path: str, remembered: int) -> PairIndexBPE:
     return PairIndexBPE(path, remembered)
 
 
-def _groups(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """Bounds of groups of at most TEXTS texts and, but for a single longer one, CHARS characters."""
+def _groups(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of groups of at most TEXTS texts and, but for a single longer one, ``most`` characters."""
     i = 0
     while i < len(lengths):
         j, chars = i, 0
-        while j < len(lengths) and j - i < TEXTS and (j == i or chars + lengths[j] <= CHARS):
+        while j < len(lengths) and j - i < TEXTS and (j == i or chars + lengths[j] <= most):
             chars += lengths[j]
             j += 1
         yield i, j
         i = j
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: Sequence[str] = (), remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, keep: Sequence[str] = (), remembered: int = REMEMBERED, chars: int = CHARS, lasting: bool = True) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256; also what ``keep`` names of
     ids and decoded.
 
@@ -255,13 +255,14 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decodes to an empty text. Ids of rows may be null or repeat, and each row is encoded; an empty table gives no rows; texts
     may be of any length; columns other than id and text (``ids``, say) are left out. There is no shuffle.
 
-    A Python worker keeps what it ``remembered`` for its next tasks; with ``lasting`` off it is dropped with each task,
+    Texts are encoded together up to ``chars`` characters. A Python worker keeps what it ``remembered`` for its next tasks; with ``lasting`` off it is dropped with each task,
     for jobs whose workers do other things besides.
     """
 
     def make():
         path = tokenizer_path(VOCABULARY, folder)
         bpe = _bpe(path, remembered) if lasting else PairIndexBPE(path, remembered)
+        release()
 
         def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
             gc.disable()  # nothing here makes cycles, and the memories are costly to walk
@@ -283,7 +284,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             lengths = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
-            for i, j in _groups(lengths):
+            for i, j in _groups(lengths, chars):
                 yield encoded(b.slice(i, j - i))
 
         return run

@@ -163,6 +163,7 @@ def distinct_sets(rows: DataFrame, seen: DataFrame) -> DataFrame:
                 chunks.append(chunk)
                 held += n
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), *b.columns], ["chunk", *b.schema.names])
+        release()
 
     numbered = met.mapInArrow(run, "chunk int, n long, fp binary, bits binary, z binary")
     return cut(numbered.select(F.monotonically_increasing_id().alias("gid"), "*"))
@@ -465,6 +466,7 @@ def across(meet: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
                 a.append(np.minimum(hit, x))
                 b.append(np.maximum(hit, x))
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+        release()
         return pa.table({"a": join(a), "b": join(b)})
 
     return few.unionByName(left.groupBy("c", "v", "i", "j").cogroup(right.groupBy("rc", "rv", "ri", "rj")).applyInArrow(block, "a long, b long")).where("a <> b").distinct()
