@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
-    return bpe.encode_decode(docs, keep=("ids",), remembered=80_000, lasting=False)
+    return bpe.encode_decode(docs, keep=("ids",), remembered=80_000, chars=1_000_000, lasting=False)
 
 
 STAGES = [
