@@ -81,7 +81,7 @@ p AS (SELECT w1, w2, greatest(n - 0.75, 0) / sum(n) OVER (PARTITION BY w1) + 0.7
 
 
 def _bigrams(spark, sf):
-    pairs = _words(spark, sf).select("conv_id", "turn", F.explode(F.zip_with("w", F.slice("w", 2, 1_000_000), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))).alias("g"))
+    pairs = _words(spark, sf).select("conv_id", "turn", F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))).alias("g"))
     return pairs.select("conv_id", "turn", "g.*").where("w2 is not null")
 
 
