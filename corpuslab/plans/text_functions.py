@@ -106,7 +106,8 @@ def f13_prose_paragraphs(spark, sf):
     return _lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(X.is_prose_paragraph(F.col("line"), P.LATIN.prose_marks)).alias("prose_lines"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, CASE WHEN length(h) <= 512 THEN text ELSE decode(unhex(regexp_replace(right(h, 512), '^([89AB][0-9A-F]){1,3}', ''))) END AS tail FROM b""")
 def f14_byte_tail(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.byte_tail(F.col("text"), 256).alias("tail"))
 
@@ -155,7 +156,11 @@ def f18_typed_keys(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.typed_key(r, "full").alias("full_key"), X.typed_key(r, "initials").alias("initials"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT conv_id, turn, {READINGS} AS a FROM conversations),
+u AS (SELECT conv_id, turn, unnest(a) AS r, unnest(range(len(a))) AS i FROM r),
+h AS (SELECT *, CAST('0x' || substr(md5(conv_id || ':' || turn || ':' || i), 1, 4) AS INTEGER) % 2 = 1 AS bit FROM u),
+s AS (SELECT *, bool_or(bit) OVER p AND NOT bool_and(bit) OVER p AS varied FROM h WINDOW p AS (PARTITION BY conv_id, turn))
+SELECT conv_id, turn, string_agg(CASE WHEN CASE WHEN varied THEN bit ELSE i = 0 END THEN r ELSE substr(r, 1, 1) END, '' ORDER BY i) AS mixed FROM s GROUP BY conv_id, turn""")
 def f18_typed_keys_mixed(spark, sf):
     r = F.split(F.lower("text"), "[ \\n]")
     return table(spark, sf, "conversations").select("conv_id", "turn", X.typed_key(r, "mixed", F.concat_ws(":", "conv_id", "turn")).alias("mixed"))
@@ -197,8 +202,9 @@ def f23_control_guard(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.has_control(F.col("text")).alias("unsafe"))
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zéè]+')) AS w FROM documents)
-SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON translate(a.w, 'eéè', 'eee') = translate(b.w, 'eéè', 'eee') AND a.w < b.w""")
+@query("""WITH w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zéè]+')) AS w FROM documents),
+k AS MATERIALIZED (SELECT w, translate(w, 'eéè', 'eee') AS key FROM w), m AS MATERIALIZED (SELECT * FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1))
+SELECT a.w AS a, b.w AS b FROM m a JOIN m b USING (key) WHERE a.w < b.w""")
 def f24_swaps(spark, sf):
     w = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zéè]+"), F.lit(0))).alias("w")).distinct()
     w = w.withColumn("key", F.translate("w", "eéè", "eee"))
