@@ -61,11 +61,6 @@ def detectable_net(n: Column, discordance: Column, steps: int = 100) -> Column:
     return F.when((n > 0) & (discordance > 0) & (cases_needed(discordance, discordance * 0.999999) <= n), found)
 
 
-def nearest_rank(value: Column, share: float) -> Column:
-    """Aggregate: the nearest-rank percentile, a value that occurs."""
-    return F.expr(f"percentile_disc({share}) within group (order by {value._jc.toString()})")
-
-
 def floor_index(value: Column, share: float) -> Column:
     """Aggregate: the value at position ``floor(share * n)`` of the sorted values, another definition."""
     ordered = F.sort_array(F.collect_list(value))

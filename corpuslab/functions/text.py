@@ -61,13 +61,18 @@ def is_prose(text: Column, letters: str = P.HAN.letters, sample: int = P.PROSE_S
     return (dense >= least) & (own >= share * dense) & F.rlike(head, F.lit(f"[{letters}]{{{run},}}"))
 
 
-def strip_wikitext(raw: Column, nested: int = 8) -> Column:
-    """Link labels stay, markup becomes a space, three entities are resolved. Templates are removed innermost first,
-    ``nested`` levels deep."""
+def strip_templates(text: Column) -> Column:
+    """Templates become a space, innermost first, however deep they are nested. A round removes a level; pairs of braces
+    bound the levels, so there are as many rounds as that at most, and nothing is left to change after the last."""
+    deepest = F.least(F.size(F.split(text, "\\{\\{")), F.size(F.split(text, "\\}\\}"))) - 1
+    return F.when(deepest <= 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))), text, lambda t, _: F.when(F.contains(t, F.lit("{{")), F.regexp_replace(t, P.WIKI_TEMPLATE, " ")).otherwise(t)))
+
+
+def strip_wikitext(raw: Column) -> Column:
+    """Link labels stay, markup becomes a space, three entities are resolved. Templates are removed at any depth."""
     text = F.regexp_replace(raw, P.WIKI_LINK, "$1")
     for p in P.WIKI_NOISE:
-        for _ in range(nested if p == P.WIKI_TEMPLATE else 1):
-            text = F.regexp_replace(text, p, " ")
+        text = strip_templates(text) if p == P.WIKI_TEMPLATE else F.regexp_replace(text, p, " ")
     return F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
 
 

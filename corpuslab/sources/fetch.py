@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 from pathlib import Path
 from typing import TypeVar
 
@@ -44,9 +45,9 @@ def download(url: str, path: str | Path, attempts: int = 5, wait: float = 1.0, b
     raise OSError(f"{url}: not whole after {attempts} attempts")
 
 
-def paged(pages: Callable[[int], Iterable[Row]], is_old: Callable[[Row], bool], most: int = 10_000) -> Iterator[Row]:
+def paged(pages: Callable[[int], Iterable[Row]], is_old: Callable[[Row], bool]) -> Iterator[Row]:
     """Rows of a listing, newest first, page by page until one is old or a page is empty."""
-    for number in range(most):
+    for number in count():
         rows = list(pages(number))
         if not rows:
             return

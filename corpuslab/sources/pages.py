@@ -24,11 +24,11 @@ def balanced_div(html: Column, opening: str) -> Column:
     """What stands between an opening division and the end that closes it, whatever divisions are nested; empty without
     it. The text is split at divisions, and depth is a running sum."""
     body = F.substring(html, F.instr(html, opening) + len(opening), F.length(html))
-    parts = F.split(F.regexp_replace(body, "(?i)(</?div)", "\u0001$1"), "\u0001")
+    parts = F.split(F.regexp_replace(body, "(?i)(</?div\\b)", "\u0001$1"), "\u0001")
     zero = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(F.startswith(p, F.lit("</div")), -1).when(F.startswith(p, F.lit("<div")), 1).otherwise(0)
+        depth = acc["depth"] + F.when(F.rlike(p, F.lit("^(?i)</div\\b")), -1).when(F.rlike(p, F.lit("^(?i)<div\\b")), 1).otherwise(0)
         depth = F.when(acc["depth"] == 0, 0).otherwise(depth)
         return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], p)).otherwise(acc["out"]).alias("out"))
 

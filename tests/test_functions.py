@@ -114,3 +114,17 @@ def test_license_policy(spark):
     assert one(spark, "MIT", X.is_permissive) and not one(spark, "GPL-3.0", X.is_permissive)
     assert one(spark, "uses Wikipedia text", X.is_share_alike) and not one(spark, "own text", X.is_share_alike)
     assert len(set(P.HAN.markers)) > 100
+
+
+def test_templates_of_any_depth(spark):
+    deep = "a " + "{{x " * 40 + "mid" + " }}" * 40 + " b {{open {{in}} c"
+    got = spark.createDataFrame([(deep,), (None,), ("plain",), ("}} {{",)], "t string").select(X.strip_wikitext(F.col("t"))).collect()
+    assert [r[0] and r[0].split() for r in got] == [["a", "b", "{{open", "c"], None, ["plain"], ["}}", "{{"]]
+
+
+def test_tokens_are_counted_within_a_text(spark):
+    from corpuslab.operators.corpus import vocabulary
+
+    rows = [("abca",), ("",), (None,), ("aa\U0001f600",)]
+    got = vocabulary(spark.createDataFrame(rows, "t string"), "t", 10).where("token_id > 2").collect()
+    assert [(r["token"], r["n"]) for r in sorted(got, key=lambda r: r["token_id"])] == [("a", 4), ("b", 1), ("c", 1), ("\U0001f600", 1)]

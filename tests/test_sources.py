@@ -78,6 +78,15 @@ def test_nested_divisions(spark):
     assert [(r["id"], r["text"]) for r in got.orderBy("id", "pos").collect()] == [(1, "a & b"), (1, "in"), (1, "last")]
 
 
+def test_divisions_in_capitals(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.sources.pages import balanced_div
+
+    html = '<div id="C">a<DIV>b</DIV><divider>c</divider><Div x="1">d</div>e</DIV>f</div>'
+    assert spark.createDataFrame([(html,)], "h string").select(balanced_div(F.col("h"), '<div id="C">')).first()[0] == 'a<DIV>b</DIV><divider>c</divider><Div x="1">d</div>e'
+
+
 def test_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("one",), ("two",)], "line string")
     writers.write_corpus(lines, str(tmp_path / "c"), {"name": "n", "license": "MIT", "share_alike": False})
