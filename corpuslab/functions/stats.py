@@ -61,12 +61,6 @@ def detectable_net(n: Column, discordance: Column, steps: int = 100) -> Column:
     return F.when((n > 0) & (discordance > 0) & (cases_needed(discordance, discordance * 0.999999) <= n), found)
 
 
-def floor_index(value: Column, share: float) -> Column:
-    """Aggregate: the value at position ``floor(share * n)`` of the sorted values, another definition."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * share).cast("int") + 1))
-
-
 def over_budget(value: Column, budget: float) -> Column:
     """Aggregate: share of values over a budget."""
     return F.count_if(value > budget) / F.count(value)

@@ -253,10 +253,10 @@ def greedy_syllables(text: Column, syllables: Sequence[str]) -> Column:
 
 def ngram_buckets(text: Column, n: int, buckets: int) -> Column:
     """Hashed character n-grams of a segment."""
-    return F.transform(char_windows(text, n), lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(buckets)))
+    return F.transform(char_windows(text, n), lambda g: hash_bucket(g, buckets))
 
 
-def hash_bucket(key: Column, buckets: int) -> Column:
+def hash_bucket(key: Column, buckets: int | Column) -> Column:
     """A bucket by md5, the same in any engine that has it."""
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint"), F.lit(buckets))
 

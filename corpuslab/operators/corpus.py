@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.functions.presets import CLAUSE_MAX, CLAUSE_MIN, RESERVED_IDS, Script
+from corpuslab.operators.ordered import running
 
 
 def lines_of(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -52,21 +53,8 @@ def survival(before: DataFrame, after: DataFrame, group: str, text: str) -> Data
 
 
 def within_budget(rows: DataFrame, size: Column, order: Sequence[str], budget: int, partition: Sequence[str] = ()) -> DataFrame:
-    """Rows up to and with the one that crosses a budget of sizes summed in order.
-
-    Without a partition the running sum is taken in two steps: sums of ranges of the order, then inside each range, so
-    no task holds all rows.
-    """
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("_size", size).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum("_size").alias("_sum"))
-    offset = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = ranged.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(F.broadcast(offset), "_part")
-    return run.where(F.col("_before") + F.col("_offset") < budget).drop("_size", "_part", "_before", "_offset")
+    """Rows up to and with the one that crosses a budget of sizes summed in order, for each group of ``partition``."""
+    return running(rows, order, "_before", size, partition).where(F.col("_before") < budget).drop("_before")
 
 
 def islands(rows: DataFrame, keep: Column, key: str, order: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +51,6 @@ def bounded(rows: DataFrame, first: int, last: int, order: Sequence[str]) -> Dat
     return top.withColumn("_turn", F.row_number().over(Window.orderBy(*order))).where(F.col("_turn") >= first).drop("_turn")
 
 
-def numbered(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
-    """All rows in order, numbered from 1. ``order`` must tell all rows apart.
-
-    Ranges of the order are sorted apart; a row's number is its place in its range and the rows of the ranges before.
-    The sorted ranges are cached on disk, until the cache is cleared, so that counts and rows come from the same ones.
-    """
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_offset") + 1).drop("_at", "_part", "_offset")
-
-
 def shuffled(rows: DataFrame, seed: str, keys: Sequence[str], name: str) -> DataFrame:
     """All rows with their number, from 1, in seeded order. Hashes are spread evenly, so their leading digits part the
     order into even ranges: only the keys are read to count these, and the rows are shuffled once."""

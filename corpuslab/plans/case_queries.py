@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.operators import corpus as C
+from corpuslab.operators import ordered as O
 from corpuslab.operators import overlap as V
 from corpuslab.operators import sampling as S
 from corpuslab.plans.text_functions import LINES
@@ -21,7 +22,10 @@ b8 AS (SELECT item_id, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY
 
 
 def _grams8(df, key):
-    return df.select(key, F.explode(X.let(F.split("text", "[ \\n]"), lambda w: X.windows(w, 8, " "))).alias("g"))
+    """Windows of eight words as 128-bit hashes: 16 bytes travel for each, not the words."""
+    two = lambda g: F.struct(F.xxhash64(F.lit(1), g).alias("h1"), F.xxhash64(F.lit(2), g).alias("h2"))
+    grams = X.let(F.split("text", "[ \\n]"), lambda w: F.transform(X.windows(w, 8, " "), two))
+    return df.select(key, F.explode(grams).alias("g")).select(key, "g.h1", "g.h2")
 
 
 def _lines(spark, sf, name, key):
@@ -70,7 +74,7 @@ def j04_shared_ids(spark, sf):
 @query(f"WITH {WORDS8} SELECT DISTINCT doc_id FROM d8 WHERE n = 8 AND g IN (SELECT g FROM b8 WHERE n = 8)")
 def j05_window_members(spark, sf):
     probe = _grams8(table(spark, sf, "benchmark"), "item_id")
-    return _grams8(table(spark, sf, "documents"), "doc_id").join(probe.select("g").distinct(), "g", "left_semi").select("doc_id").distinct()
+    return _grams8(table(spark, sf, "documents"), "doc_id").join(probe.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id").distinct()
 
 
 @query(LINES + f", {BENCH_LINES} SELECT DISTINCT doc_id FROM l WHERE line IN (SELECT line FROM b)")
@@ -98,7 +102,7 @@ SELECT item_id, kind, count(DISTINCT doc_id) AS docs FROM h GROUP BY 1, 2""")
 def j08_inverted_index(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     exact = _lines(spark, sf, "benchmark", "item_id").join(C.lines_of(d, "doc_id").select("doc_id", "line"), "line").select("item_id", F.lit("exact").alias("kind"), "doc_id")
-    win = _grams8(b, "item_id").distinct().join(_grams8(d, "doc_id"), "g").select("item_id", F.lit("window8").alias("kind"), "doc_id")
+    win = _grams8(b, "item_id").distinct().join(_grams8(d, "doc_id"), ["h1", "h2"]).select("item_id", F.lit("window8").alias("kind"), "doc_id")
     return exact.unionByName(win).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("docs"))
 
 
@@ -183,14 +187,15 @@ SEEDED = "md5('s1' || ':' || {k})"
 
 @query("SELECT conv_id, CASE WHEN row_number() OVER (PARTITION BY role ORDER BY md5('s1' || ':' || conv_id || ':' || turn), conv_id, turn) % 2 = 1 THEN 'none' ELSE 'context' END AS stratum, turn FROM conversations")
 def w09_alternating_strata(spark, sf):
-    w = Window.partitionBy("role").orderBy(S.seeded("s1", "conv_id", "turn"), "conv_id", "turn")
-    return table(spark, sf, "conversations").select("conv_id", F.when(F.row_number().over(w) % 2 == 1, "none").otherwise("context").alias("stratum"), "turn")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", S.seeded("s1", "conv_id", "turn").alias("hash"))
+    c = O.numbered(c, ["hash", "conv_id", "turn"], "k", ["role"])
+    return c.select("conv_id", F.when(F.col("k") % 2 == 1, "none").otherwise("context").alias("stratum"), "turn")
 
 
 @query("SELECT doc_id, substr(source, 1, 1) || '-' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 6, '0') AS id FROM documents")
 def w10_running_ids(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.substring("source", 1, 1), F.lit("-"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("id"))
+    d = O.numbered(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], "k", ["source"])
+    return d.select("doc_id", F.concat(F.substring("source", 1, 1), F.lit("-"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("id"))
 
 
 @query("WITH r AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) SELECT lang, source, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS k FROM r) WHERE k <= 3")
@@ -199,21 +204,10 @@ def t03_top_per_key(spark, sf):
     return S.first_of_each(r, "lang", [F.desc("n"), "source"], 3)
 
 
-@query(LINES + "SELECT line, row_number() OVER (ORDER BY line) AS k FROM (SELECT DISTINCT line FROM l) ORDER BY line LIMIT 500")
-def t05_sorted_lines(spark, sf):
-    lines = _lines(spark, sf, "documents", "doc_id").select("line").distinct().orderBy("line").limit(500)
-    return lines.select("line", F.row_number().over(Window.orderBy("line")).cast("bigint").alias("k"))
-
-
 @query(LINES + "SELECT line, row_number() OVER (ORDER BY line, doc_id, pos) AS k FROM l")
 def t05_all_sorted_lines(spark, sf):
     """Every line, repeats included; equal lines by document and position."""
-    return S.numbered(_lines(spark, sf, "documents", "doc_id"), ["line", "doc_id", "pos"], "k").select("line", "k")
-
-
-@query("SELECT doc_id FROM documents ORDER BY md5('seed' || ':' || doc_id), doc_id LIMIT 100")
-def t06_seeded_shuffle(spark, sf):
-    return S.sample(table(spark, sf, "documents").select("doc_id"), 100, "seed", "doc_id")
+    return O.numbered(_lines(spark, sf, "documents", "doc_id"), ["line", "doc_id", "pos"], "k").select("line", "k")
 
 
 @query("SELECT doc_id, text, row_number() OVER (ORDER BY md5('seed' || ':' || doc_id), doc_id) AS k FROM documents")
@@ -248,19 +242,20 @@ def t10_quota(spark, sf):
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.999 * n) THEN 'train' ELSE 'valid' END AS part FROM documents, n""")
 def t11_contiguous_split(spark, sf):
-    """The cut is a percentile of the ids, so nothing is numbered in one task."""
+    """Ids are numbered by ranges, so the tail isn't gathered in one task however long it is."""
     d = table(spark, sf, "documents").select("doc_id")
-    n = d.count()
-    keep = n - int(0.999 * n)
-    tail = d.orderBy(F.desc("doc_id")).limit(keep).agg(F.min("doc_id").alias("cut"))
-    return d.join(F.broadcast(tail), F.lit(True)).select("doc_id", F.when(F.col("cut").isNotNull() & (F.col("doc_id") >= F.col("cut")), "valid").otherwise("train").alias("part"))  # one row
+    n = d.agg(F.count("*").alias("n"))
+    k = O.numbered(d, ["doc_id"], "k").join(F.broadcast(n), F.lit(True))  # one row
+    return k.select("doc_id", F.when(F.expr("k <= floor(0.999BD * n)"), "train").otherwise("valid").alias("part"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\n]') AS w FROM documents),
+s AS (SELECT doc_id, w, ('0x' || substr(md5('t12:' || doc_id), 1, 15))::BIGINT % greatest(len(w) - 63, 1) AS start FROM w)
+SELECT doc_id, CAST(start AS INTEGER) AS start, array_to_string(w[start + 1:start + 64], ' ') AS "window" FROM s""")
 def t12_token_windows(spark, sf):
     words = F.split("text", "[ \\n]")
     d = table(spark, sf, "documents").select("doc_id", words.alias("w"))
-    at = F.pmod(F.xxhash64(F.lit("t12"), "doc_id"), F.greatest(F.size("w") - 63, F.lit(1))).cast("int")
+    at = X.hash_bucket(F.concat(F.lit("t12:"), F.col("doc_id").cast("string")), F.greatest(F.size("w") - 63, F.lit(1))).cast("int")
     return d.select("doc_id", at.alias("start"), F.array_join(F.slice("w", at + 1, 64), " ").alias("window"))
 
 

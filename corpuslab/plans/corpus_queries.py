@@ -174,11 +174,6 @@ def src03_dialogues(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), joined.alias("turns_text"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE lang <> 'en' AND n_chars > 1000")
-def src05_sharded_documents(spark, sf):
-    return table(spark, sf, "documents").where("lang <> 'en' and n_chars > 1000").select("doc_id", "text")
-
-
 @query("SELECT doc_id, text FROM documents")
 def src05_all_documents(spark, sf):
     """Every row of every shard."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.functions import stats as A
+from corpuslab.operators import ordered as O
 from corpuslab.operators import pools as D
 from corpuslab.registry import query
 from corpuslab.sources import table
@@ -105,7 +106,12 @@ def a11_cases_needed(spark, sf):
     return _pairs(spark, sf).where("a_only + b_only > 0").select("a", "b", "subset", F.round(disc, 6).alias("discordance"), F.round(A.cases_needed(disc, F.lit(0.01)), 3).alias("needed"))
 
 
-@query()
+@query(PAIRS.replace("WITH", "WITH RECURSIVE", 1) + f""", r AS (SELECT a, b, subset, n, (a_only + b_only)::DOUBLE / n AS disc FROM q),
+z AS (SELECT *, 0 AS step, 1e-6 AS low, disc AS high FROM r WHERE disc > 0
+ UNION ALL SELECT a, b, subset, n, disc, step + 1, CASE WHEN short THEN middle ELSE low END, CASE WHEN short THEN high ELSE middle END
+ FROM (SELECT *, {NEEDED.format(q='least((disc + middle) / (2 * disc), 1 - 1e-12)')} > n AS short FROM (SELECT *, (low + high) / 2 AS middle FROM z WHERE step < 100)))
+SELECT r.a, r.b, r.subset, r.n, round(CASE WHEN {NEEDED.format(q='least(disc * 1.999999 / (2 * disc), 1 - 1e-12)').replace('disc', 'r.disc')} <= r.n THEN high END, 6) AS net
+FROM r LEFT JOIN z ON z.a = r.a AND z.b = r.b AND z.subset = r.subset AND step = 100""")
 def a11_detectable_net(spark, sf):
     disc = (F.col("a_only") + F.col("b_only")) / F.col("n")
     return _pairs(spark, sf).select("a", "b", "subset", "n", F.round(A.detectable_net(F.col("n"), disc), 6).alias("net"))
@@ -153,20 +159,22 @@ def a16_bucket_rollup(spark, sf):
 
 @query("WITH m AS (SELECT event_type, user_id, median(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, round(quantile_disc(v, 0.5), 6) AS p50, round(quantile_disc(v, 0.95), 6) AS p95 FROM m GROUP BY event_type")
 def a17_median_then_percentiles(spark, sf):
-    m = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.median("value").alias("v"))
-    p = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by v)"), 6)
-    return m.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    """A median is the mean of the two values in the middle, or of one twice."""
+    middle = {"a": lambda n: F.floor((n + 1) / 2), "b": lambda n: F.ceil((n + 1) / 2)}
+    m = O.at_ranks(table(spark, sf, "events"), ["event_type", "user_id"], "value", middle).select("event_type", ((F.col("a") + F.col("b")) / 2).alias("v"))
+    p = O.at_ranks(m, ["event_type"], "v", {"p50": O.nearest_rank("0.5"), "p95": O.nearest_rank("0.95")})
+    return p.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def a18_nearest_rank(spark, sf):
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return table(spark, sf, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    shares = {"p50": "0.5", "p95": "0.95", "p99": "0.99"}
+    return O.at_ranks(table(spark, sf, "events"), ["event_type"], "value", {k: O.nearest_rank(q) for k, q in shares.items()})
 
 
 @query("SELECT user_id, list_sort(list(value))[CAST(least(count(*), floor(count(*) * 0.95) + 1) AS BIGINT)] AS p95 FROM events GROUP BY user_id")
 def a19_floor_index(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(A.floor_index(F.col("value"), 0.95).alias("p95"))
+    return O.at_ranks(table(spark, sf, "events"), ["user_id"], "value", {"p95": O.floor_rank("0.95")})
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) FILTER (WHERE value > 16) / count(*), 9) AS over, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -238,6 +246,14 @@ def a30_scorer_agreement(spark, sf):
     return k.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.round(F.max("gap"), 9).alias("worst"))
 
 
+@query("WITH " + CASES + ", x AS (SELECT id, list_sort(list(discount), 'DESC') AS d FROM c GROUP BY id) SELECT id, pick_d AS reference, pick_s AS changed, round(d[1] - d[2], 9) AS gap FROM g JOIN x USING (id) WHERE pick_d <> pick_s")
+def a30_changed_picks(spark, sf):
+    """Cases where a second scorer picks otherwise, and by how much the reference's first candidate leads its second."""
+    top = F.sort_array(F.transform("c", lambda x: x["discount"]), asc=False)
+    k = _cands(spark, sf).select("id", _first_max(F.col("c"), lambda x: x["discount"]).alias("reference"), _first_max(F.col("c"), lambda x: -x["source"]).alias("changed"), top.alias("d"))
+    return k.where("reference <> changed").select("id", "reference", "changed", F.round(F.col("d")[0] - F.col("d")[1], 9).alias("gap"))
+
+
 @query("WITH " + CANDS + """, r AS (SELECT id, idx, price, row_number() OVER (PARTITION BY id ORDER BY price DESC, idx) AS k FROM c)
 SELECT a.id, a.idx AS best, b.idx AS runner_up, round(a.price - b.price, 4) AS lead FROM r a JOIN r b ON a.id = b.id AND a.k = 1 AND b.k = 2""")
 def a31_runner_up(spark, sf):

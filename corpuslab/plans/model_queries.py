@@ -10,6 +10,7 @@ from corpuslab.functions import stats as A
 from corpuslab.functions import tensor as M
 from corpuslab.functions import text as X
 from corpuslab.operators import decoding as D
+from corpuslab.operators import ordered as O
 from corpuslab.operators import pools
 from corpuslab.operators.reranker import CharTransformer, score_candidates
 from corpuslab.plans.text_functions import SYLLABLES
@@ -69,10 +70,10 @@ def m07_prefix_tree(spark, sf):
 
 @query(E + """, n AS (SELECT vec_id, a, lead(a) OVER (PARTITION BY label ORDER BY vec_id) AS c FROM e), b AS (SELECT vec_id, list_transform(list_zip(a, c), lambda x: x[1] + 0.25 * (x[2] - x[1])) AS b FROM n WHERE c IS NOT NULL) """ + LONG)
 def m08_interpolate(spark, sf):
-    from pyspark.sql import Window
-
-    e = _emb(spark, sf).withColumn("c", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("c is not null")
-    return _flat(e.select("vec_id", M.interpolate(F.col("embedding"), F.col("c"), 0.25).alias("b")), "b")
+    """Each vector with the next one of its label, met by number, so that a label of any size is spread."""
+    e = O.numbered(_emb(spark, sf), ["vec_id"], "k", ["label"])
+    after = e.select("label", (F.col("k") - 1).alias("k"), F.col("embedding").alias("c"))
+    return _flat(O.same_groups(e, after, ["label", "k"]).select("vec_id", M.interpolate(F.col("embedding"), F.col("c"), 0.25).alias("b")), "b")
 
 
 @query("""SELECT s AS step, round(CASE WHEN s < 100 THEN 3e-4 * (s + 1) / 100 ELSE 3e-4 * (0.1 + 0.45 * (1 + cos(pi() * (s - 100) / 900))) END, 12) AS rate FROM range(1000) t(s)""")
@@ -122,15 +123,22 @@ WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM
 SYL = ", ".join(f"('{s}')" for s in SYLLABLES)
 
 
-@query(f"""WITH RECURSIVE w AS ({WORDS}), s(s) AS (VALUES {SYL}), g AS (SELECT word, word AS rest, '' AS parts, 0 AS n FROM w
- UNION ALL SELECT word, substr(rest, length(s) + 1), parts || CASE WHEN n > 0 THEN ' ' ELSE '' END || s, n + 1 FROM g JOIN s ON starts_with(rest, s) WHERE n < 4 AND rest <> '')
-SELECT word, parts, n FROM g WHERE rest = '' AND n > 0""")
+SEGMENTED = f"""WITH RECURSIVE w AS ({WORDS}), s(s) AS (VALUES {SYL}), g AS (SELECT word, word AS rest, '' AS parts, 0 AS n FROM w
+ UNION ALL SELECT word, substr(rest, length(s) + 1), parts || CASE WHEN n > 0 THEN ' ' ELSE '' END || s, n + 1 FROM g JOIN s ON starts_with(rest, s) WHERE n < 4 AND rest <> '')"""
+
+
+@query(SEGMENTED + " SELECT word, parts, n FROM g WHERE rest = '' AND n > 0")
 def f29_segmentations(spark, sf):
     w = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     return D.segmentations(w, "word", spark.createDataFrame([(s,) for s in SYLLABLES], "syllable string"), 4)
 
 
-@query()
+@query(f"""{SEGMENTED}, r AS (SELECT word, parts, string_split(parts, ' ') AS a FROM g WHERE rest = '' AND n > 0),
+t AS (SELECT word, parts, a, array_to_string(list_transform(a, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE left(x, 1) END), '') AS code FROM r),
+h AS (SELECT word, parts, a, code, 0 AS i, 0 AS done, []::INTEGER[] AS sizes, []::VARCHAR[] AS slots FROM t
+ UNION ALL SELECT word, parts, a, code, i + 1, done + k, list_append(sizes, k), list_append(slots, left(a[i + 1], k)) FROM h, (SELECT CAST(k AS INTEGER) AS k FROM range(1, {max(map(len, SYLLABLES)) + 1}) u(k)) u
+ WHERE i < len(a) AND k <= length(a[i + 1]) AND (k = length(a[i + 1]) OR i + 1 = len(a) OR k = 1 OR (k = 2 AND left(a[i + 1], 2) IN ('zh', 'ch', 'sh'))) AND substr(code, done + 1, k) = left(a[i + 1], k))
+SELECT word, code, array_to_string(arg_max(slots, sizes), ' ') AS slots FROM h WHERE i = len(a) AND done = length(code) GROUP BY word, parts, code""")
 def f30_typed_slots(spark, sf):
     import pandas as pd
 
@@ -143,16 +151,6 @@ def f30_typed_slots(spark, sf):
     return s.select("word", "parts", code.alias("code")).mapInPandas(run, "word string, code string, slots string")
 
 
-#: Layers of three candidates for each character of a brand or segment name: itself, and what follows it in the alphabet.
-LAYERS = "SELECT DISTINCT c_mktsegment AS seg FROM customer"
-
-
-def _layers(spark, sf):
-    c = table(spark, sf, "customer").select("c_mktsegment").distinct()
-    nxt = lambda ch, k: F.translate(ch, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[k:] + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:k])
-    return c.select(F.col("c_mktsegment").alias("seg"), F.transform(X.chars(F.col("c_mktsegment")), lambda ch: F.array(ch, nxt(ch, 1), nxt(ch, 2))).alias("layers"))
-
-
 def _word_layers(spark, sf):
     """Words of conversations with how often they come: the word, n, layers of a letter and the two after it in the
     alphabet; other signs, and the empty word between two blanks, stay as they are."""
@@ -167,34 +165,51 @@ def _decoded(spark, sf, one):
 
 
 def _bigram(prev: str | None, c: str) -> float:
-    """A toy bigram model without ties: distance in the alphabet."""
-    return -math.log1p(abs(ord(c) - ord(prev or "M"))) - ord(c) * 1e-6
-
-
-@query(f"""WITH RECURSIVE s AS ({LAYERS}), p AS (SELECT seg, i, chr(CAST(CASE WHEN ascii(substr(seg, i, 1)) + k > 90 THEN ascii(substr(seg, i, 1)) + k - 26 ELSE ascii(substr(seg, i, 1)) + k END AS INTEGER)) AS c FROM s, range(1, 40) t(i), range(3) u(k) WHERE i <= length(seg)),
-v AS (SELECT seg, 1 AS i, c, c AS path, -ln(1 + abs(ascii(c) - 77)) - ascii(c) * 1e-6 AS score FROM p WHERE i = 1
- UNION ALL SELECT seg, i, c, path, score FROM (SELECT v.seg, p.i, p.c, v.path || p.c AS path, v.score - ln(1 + abs(ascii(p.c) - ascii(v.c))) - ascii(p.c) * 1e-6 AS score,
-  row_number() OVER (PARTITION BY v.seg, p.i, p.c ORDER BY v.score - ln(1 + abs(ascii(p.c) - ascii(v.c))) DESC) AS r FROM v JOIN p ON p.seg = v.seg AND p.i = v.i + 1) WHERE r = 1)
-SELECT seg, arg_max(path, score) AS text, round(max(score), 5) AS score FROM v WHERE i = length(seg) GROUP BY seg""")
-def d01_viterbi(spark, sf):
-    return D.decode_rows(_layers(spark, sf), "seg", "layers", lambda a: D.viterbi(a, _bigram)).select("seg", "text", F.round("score", 5).alias("score"))
-
-
-@query()
+    """A toy bigram model: distance in the alphabet, earlier letters first."""
+    return -math.log(1 + abs(ord(c) - ord(prev or "M"))) - ord(c) * 1e-6
+
+
+#: Words, their layers (k: the place in a layer, u: the code point), and the model in SQL.
+DECODED = """WITH RECURSIVE s AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS word FROM conversations) GROUP BY word),
+l AS (SELECT word, i, substr(word, i, 1) AS c FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM s)),
+p AS MATERIALIZED (SELECT word, i, CAST(k AS INTEGER) AS k, CAST(97 + (ascii(c) - 97 + k) % 26 AS INTEGER) AS u FROM l, range(3) t(k) WHERE c BETWEEN 'a' AND 'z' UNION ALL SELECT word, i, 0, unicode(c) FROM l WHERE NOT c BETWEEN 'a' AND 'z'),
+"""
+BIGRAM = "(-ln(1 + abs({u} - {prev})) - {u} * 1e-6)"
+NEXT = BIGRAM.format(u="p.u", prev="v.u")
+#: The best path for each last letter.
+PATHS = DECODED + f"""v AS (SELECT word, 1::BIGINT AS i, k, u, chr(u) AS path, {BIGRAM.format(u='u', prev=77)} AS score FROM p WHERE i = 1
+ UNION ALL SELECT word, i, k, u, path, score FROM (SELECT v.word, p.i, p.k, p.u, v.path || chr(p.u) AS path, v.score + {NEXT} AS score,
+  row_number() OVER (PARTITION BY v.word, p.u ORDER BY v.score + {NEXT} DESC, v.k) AS r FROM v JOIN p ON p.word = v.word AND p.i = v.i + 1) WHERE r = 1),
+"""
+#: The best readings of each word, r in order.
+BEAMS = DECODED + f"""v AS (SELECT word, 0::BIGINT AS i, 1::BIGINT AS r, 77 AS u, '' AS path, 0.0::DOUBLE AS score FROM s
+ UNION ALL SELECT word, i, r, u, path, score FROM (SELECT v.word, p.i, p.u, v.path || chr(p.u) AS path, v.score + {NEXT} AS score,
+  row_number() OVER (PARTITION BY v.word ORDER BY v.score + {NEXT} DESC, v.r, p.k) AS r FROM v JOIN p ON p.word = v.word AND p.i = v.i + 1) WHERE r <= {{width}}),
+"""
+#: A path for each word, the first by an order; the empty word has none.
+ONE = """e AS (SELECT word, path, {score} AS score, row_number() OVER (PARTITION BY word ORDER BY {order}) AS first FROM v WHERE i = length(word))
+SELECT s.word, n, coalesce(path, '') AS text, round(coalesce(score, 0.0), 6) AS score FROM s LEFT JOIN e ON e.word = s.word AND first = 1"""
+ENDED = "score + " + BIGRAM.format(u=77, prev="u")
+
+
+@query(PATHS + ONE.format(score="score", order="score DESC, k"))
 def d01_viterbi_words(spark, sf):
-    """All words of conversations; ``d01_viterbi`` has the five segment names."""
+    """All words of conversations, each once with its count."""
     return _decoded(spark, sf, lambda a: D.viterbi(a, _bigram))
 
 
-@query()
+@query(PATHS + ONE.format(score=ENDED, order=ENDED + " DESC, k"))
 def d02_viterbi_rescored(spark, sf):
     def score(text: str, end: bool) -> float:
-        return sum(_bigram(a, b) for a, b in zip(text, text[1:], strict=False)) + _bigram(None, text[:1]) + (_bigram(text[-1], "M") if end else 0)
+        total = _bigram(None, text[:1])
+        for a, b in zip(text, text[1:], strict=False):
+            total += _bigram(a, b)
+        return total + _bigram(text[-1], "M") if end else total
 
     return _decoded(spark, sf, lambda a: D.viterbi_rescored(a, score))
 
 
-@query()
+@query(BEAMS.format(width=12) + ONE.format(score="score", order="r"))
 def d03_beam(spark, sf):
     def best(a):
         found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c))
@@ -203,7 +218,7 @@ def d03_beam(spark, sf):
     return _decoded(spark, sf, best)
 
 
-@query()
+@query(BEAMS.format(width=3) + ONE.format(score="score", order="r DESC"))
 def t04_beam_top(spark, sf):
     def third(a):
         found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c), width=3)
@@ -212,23 +227,11 @@ def t04_beam_top(spark, sf):
     return _decoded(spark, sf, third)
 
 
-@query(f"""WITH s AS ({LAYERS}), p AS (SELECT seg, i, ascii(substr(seg, i, 1)) + k AS c FROM s, range(1, 40) t(i), range(3) u(k) WHERE i <= length(seg))
-SELECT a.seg, a.i, count(*) AS pairs, min(abs(a.c - b.c)) AS nearest FROM p a JOIN p b ON a.seg = b.seg AND b.i = a.i + 1 GROUP BY 1, 2""")
-def j15_layer_transitions(spark, sf):
-    """Each layer with the next one: at most nine pairs of an array, no join."""
-    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg")).distinct().where("length(seg) > 1")
-    i = c.select("seg", F.explode(F.sequence(F.lit(1), F.length("seg") - 1)).alias("i"))
-    at = lambda k: F.ascii(F.substring("seg", F.col("i") + k, F.lit(1)))
-    three = F.array(F.lit(0), F.lit(1), F.lit(2))
-    pairs = F.flatten(F.transform(three, lambda x: F.transform(three, lambda y: F.abs(at(0) + x - at(1) - y))))
-    return i.select("seg", F.col("i").cast("bigint").alias("i"), F.size(pairs).cast("bigint").alias("pairs"), F.array_min(pairs).cast("bigint").alias("nearest"))
-
-
 @query("""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS word FROM conversations), s AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 p AS (SELECT DISTINCT word, n, i, CASE WHEN substr(word, i, 1) BETWEEN 'a' AND 'z' THEN 97 + (ascii(substr(word, i, 1)) - 97 + k) % 26 ELSE unicode(substr(word, i, 1)) END AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM s), range(3) u(k))
 SELECT a.word, a.n, a.i, count(*) AS pairs, min(abs(a.c - b.c)) AS nearest FROM p a JOIN p b ON a.word = b.word AND b.i = a.i + 1 GROUP BY 1, 2, 3""")
 def j15_word_transitions(spark, sf):
-    """Each layer of every word with the next one, as ``j15_layer_transitions`` has them for the five segment names."""
+    """Each layer of every word with the next one: at most nine pairs of an array, no join."""
     w = _word_layers(spark, sf).where("size(layers) > 1")
     i = w.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("layers") - 1), lambda k: F.struct(F.element_at("layers", k).alias("a"), F.element_at("layers", k + 1).alias("b")))).alias("i", "two"))
     pairs = F.flatten(F.transform("two.a", lambda x: F.transform("two.b", lambda y: F.abs(F.ascii(x) - F.ascii(y)))))

@@ -257,7 +257,8 @@ def f31_ngram_counts(spark, sf):
     return rows.groupBy("conv_id", "turn").agg(F.countDistinct("s").alias("grams"))
 
 
-@query()
+@query("""WITH i AS (SELECT text, w, unnest(range(1, greatest(1, length(text) - w + 2))) AS i FROM conversations, (VALUES (2), (3)) t(w))
+SELECT ('0x' || substr(md5(substr(text, i, w)), 1, 15))::BIGINT % 4096 AS bucket, count(*) AS n FROM i GROUP BY 1""")
 def f31_ngram_buckets(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.concat(X.ngram_buckets(F.col("text"), 2, 4096), X.ngram_buckets(F.col("text"), 3, 4096))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuslab import registry
 from corpuslab.operators import corpus as C
 from corpuslab.operators import decoding as D
+from corpuslab.operators import ordered as O
 from corpuslab.operators import pools
 from corpuslab.operators import sampling as S
 from corpuslab.operators.reranker import CharTransformer
@@ -76,14 +77,44 @@ def test_samples_are_the_same_each_time(spark):
 def test_all_rows_are_numbered_in_order(spark):
     rows = [(i, f"w{i * 7919 % 40}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, w string").repartition(7)
-    got = [(r["w"], r["id"], r["k"]) for r in S.numbered(df, ["w", "id"], "k").collect()]
+    got = [(r["w"], r["id"], r["k"]) for r in O.numbered(df, ["w", "id"], "k").collect()]
     assert sorted(got, key=lambda x: x[2]) == [(w, i, k) for k, (w, i) in enumerate(sorted((w, i) for i, w in rows), 1)]
-    assert S.numbered(df.where("false"), ["w", "id"], "k").collect() == []
+    assert O.numbered(df.where("false"), ["w", "id"], "k").collect() == []
+
+
+def grouped(spark, n=3000):
+    """Rows of a group that holds two thirds, small ones, and a null group; values repeat."""
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 30}", float(i * 7919 % 101)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
+
+
+def test_groups_are_numbered_and_summed_in_order(spark):
+    rows, df = grouped(spark)
+    want, place, total = {}, Counter(), Counter()
+    for i, g, v in sorted(rows):
+        place[g] += 1
+        want[i] = (place[g], total[g])
+        total[g] += v
+    assert {r["id"]: r["k"] for r in O.numbered(df, ["id"], "k", ["g"]).collect()} == {i: k for i, (k, _) in want.items()}
+    assert {r["id"]: r["b"] for r in O.running(df, ["id"], "b", F.col("v"), ["g"]).collect()} == {i: b for i, (_, b) in want.items()}
+    kept = C.within_budget(df, F.col("v"), ["id"], 500, ["g"]).collect()
+    assert sorted(r["id"] for r in kept) == sorted(i for i, (_, b) in want.items() if b < 500)
+    assert O.running(df.where("false"), ["id"], "b", F.col("v"), ["g"]).collect() == []
+
+
+def test_values_at_ranks(spark):
+    rows, df = grouped(spark)
+    by = {}
+    for _, g, v in rows:
+        by.setdefault(g, []).append(v)
+    got = O.at_ranks(df.union(df.limit(1).select("id", "g", F.lit(None).cast("double"))), ["g"], "v", {"near": O.nearest_rank("0.95"), "floor": O.floor_rank("0.95"), "least": lambda n: F.lit(1)})
+    want = {g: (sorted(a)[math.ceil(len(a) * 95 / 100) - 1], sorted(a)[min(len(a) - 1, len(a) * 95 // 100)], min(a)) for g, a in by.items()}
+    assert {r["g"]: (r["near"], r["floor"], r["least"]) for r in got.collect()} == want
+    assert O.at_ranks(df.where("false"), ["g"], "v", {"near": O.nearest_rank("0.5")}).collect() == []
 
 
 @pytest.mark.parametrize("name", ["t05_all_sorted_lines", "t06_shuffled_documents"])
 def test_nothing_is_left_out(spark, name):
-    """More rows than the shortened query of the same feature gives."""
     data = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{data}/documents.parquet")
     want = docs.select(F.explode(F.split("text", "\n"))) if "lines" in name else docs
