@@ -29,6 +29,8 @@ HAN = Script(
         "邏輯嚴謹導詞稱種義議論據處質網統標準級結構總織線給續練縮聯興舉寫農運達適選鐵錄鐘銀陸際隨險難靜韓頭題顯風飛馬驗黨齊龍"
     ),
 )
+#: The unified ideographs alone, by which prose is judged.
+PROSE_LETTERS = "一-鿿"
 #: Any letters, with Latin punctuation; markers are accented letters of other languages than English.
 LATIN = Script(letters="\\p{L}", edges=",.!?;: \n", prose_marks=",.;:!?", markers="äöüßéèêçñíó")
 

@@ -53,10 +53,10 @@ def has_marker(text: Column, markers: str = P.HAN.markers) -> Column:
     return F.rlike(text, F.lit(class_of(markers)))
 
 
-def is_prose(text: Column, letters: str = P.HAN.letters, sample: int = P.PROSE_SAMPLE, least: int = P.PROSE_LEAST, share: float = P.PROSE_SHARE, run: int = P.PROSE_RUN) -> Column:
+def is_prose(text: Column, letters: str = P.PROSE_LETTERS, sample: int = P.PROSE_SAMPLE, least: int = P.PROSE_LEAST, share: float = P.PROSE_SHARE, run: int = P.PROSE_RUN) -> Column:
     """Dense enough, mostly of the script, and with one long run, judged on the first ``sample`` characters."""
     head = F.substring(text, 1, sample)
-    dense = F.length(F.regexp_replace(head, "[\\s\\u3000\\u00a0]", ""))
+    dense = F.length(F.regexp_replace(head, "[\\s\\x1c-\\x1f\\x85\\p{Z}]", ""))
     own = F.length(F.regexp_replace(head, f"[^{letters}]", ""))
     return (dense >= least) & (own >= share * dense) & F.rlike(head, F.lit(f"[{letters}]{{{run},}}"))
 

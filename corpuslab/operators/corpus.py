@@ -109,3 +109,16 @@ def kneser_ney(bigrams: DataFrame, discount: float = 0.75) -> DataFrame:
     full = bigrams.join(left, "w1").join(right, "w2").join(F.broadcast(total), F.lit(True))  # one row
     p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("n1") + discount * F.col("t1") / F.col("n1") * F.col("t2") / F.col("tt")
     return full.select("w1", "w2", p.alias("p"))
+
+
+def kneser_ney_trigrams(trigrams: DataFrame, discount: float = 0.75) -> DataFrame:
+    """(w1, w2, w3, p): interpolated Kneser-Ney of order 3 for trigram counts (columns w1, w2, w3, n), all by grouped sums.
+
+    The order below counts in how many different contexts a bigram comes, and is itself smoothed by :func:`kneser_ney`.
+    """
+    contexts = trigrams.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.count("*").alias("n"))
+    lower = kneser_ney(contexts, discount).select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("p").alias("_p2"))
+    left = trigrams.groupBy("w1", "w2").agg(F.sum("n").alias("_n"), F.count("*").alias("_types"))
+    full = trigrams.join(left, ["w1", "w2"]).join(lower, ["w2", "w3"])
+    p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("_n") + discount * F.col("_types") / F.col("_n") * F.col("_p2")
+    return full.select("w1", "w2", "w3", p.alias("p"))

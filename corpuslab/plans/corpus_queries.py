@@ -91,6 +91,20 @@ def a05_kneser_ney(spark, sf):
     return C.kneser_ney(b).select("w1", "w2", F.round("p", 9).alias("p"))
 
 
+@query("""WITH i AS (SELECT text, unnest(range(1, greatest(1, length(text) - 1))) AS i FROM conversations),
+t AS (SELECT substr(text, i, 1) AS w1, substr(text, i + 1, 1) AS w2, substr(text, i + 2, 1) AS w3, count(*) AS n FROM i GROUP BY ALL),
+b AS (SELECT w2, w3, count(*) AS n FROM t GROUP BY ALL), u AS (SELECT w3, count(*) AS n FROM b GROUP BY ALL),
+q AS (SELECT b.w2, b.w3, greatest(b.n - 0.75, 0) / sum(b.n) OVER p + 0.75 * count(*) OVER p / sum(b.n) OVER p * u.n / (SELECT count(*) FROM b) AS p2 FROM b JOIN u USING (w3) WINDOW p AS (PARTITION BY b.w2))
+SELECT w1, w2, w3, round(CAST(greatest(n - 0.75, 0) / sum(n) OVER p + 0.75 * count(*) OVER p / sum(n) OVER p * p2 AS DOUBLE), 9) AS p FROM t JOIN q USING (w2, w3) WINDOW p AS (PARTITION BY w1, w2)""")
+def a05_kneser_ney_trigrams(spark, sf):
+    """Order 3 over characters, interpolated with the lower orders."""
+    three = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda i: F.slice(a, i, 3))
+    grams = X.let(X.chars(F.col("text")), lambda a: F.when(F.size(a) > 2, three(a)))
+    g = table(spark, sf, "conversations").select(F.explode(grams).alias("g"))
+    t = g.groupBy(*[F.get("g", F.lit(i)).alias(f"w{i + 1}") for i in range(3)]).agg(F.count("*").alias("n"))
+    return C.kneser_ney_trigrams(t).select("w1", "w2", "w3", F.round("p", 9).alias("p"))
+
+
 @query(BIGRAMS + "SELECT conv_id, turn, count(*) AS n, round(avg(ln(CAST(p AS DOUBLE))), 6) AS mean_logp FROM g JOIN p USING (w1, w2) GROUP BY conv_id, turn")
 def a24_mean_log_probability(spark, sf):
     rows = _bigrams(spark, sf)

@@ -135,6 +135,67 @@ def a13_overlapping_subsets(spark, sf):
     return _long(spark, sf).select(F.explode(keys).alias("subset"), "scorer", "hit").groupBy("subset", "scorer").agg(F.count("*").alias("n"), A.hits(F.col("hit")).alias("hits"))
 
 
+#: What is known of a case beside its picks, in Spark and in SQL.
+TRAITS = {
+    "level": "CASE WHEN priority < '3' THEN 'clause' ELSE 'word' END",
+    "style": "CASE WHEN priority < '4' THEN 'full' WHEN priority < '5' THEN 'initials' ELSE 'mixed' END",
+    "origin": "CASE WHEN id % 3 = 0 THEN 'gov' ELSE 'dialogue' END",
+    "has_context": "id % 4 < 2",
+    "stripped": "id % 4 = 0",
+    "seen": "id % 5 = 0",
+    "swap": "id % 7 = 0",
+}
+
+
+def _subsets() -> dict[str, str]:
+    """Overlapping subsets of cases and who belongs to them: each level and style, with, without and stripped of a
+    context; whole clauses also by origin, by being seen elsewhere, and by a swap in the pool."""
+    out = {}
+    for level, style in (("clause", "full"), ("word", "full"), ("word", "initials"), ("word", "mixed")):
+        own = f"level = '{level}' AND style = '{style}'"
+        out |= {f"{level}/{style}": own, f"{level}/{style}/context": f"{own} AND has_context", f"{level}/{style}/none": f"{own} AND NOT has_context", f"{level}/{style}/context-stripped": f"{own} AND stripped"}
+    for name, more in (("gov", "origin = 'gov'"), ("dialogue", "origin <> 'gov'"), ("unseen", "NOT seen"), ("ta", "swap")):
+        out[f"clause/full/{name}"] = f"level = 'clause' AND {more}"
+        if name in ("dialogue", "ta"):
+            out[f"clause/full/{name}/context"] = f"level = 'clause' AND {more} AND has_context"
+        if name in ("gov", "dialogue"):
+            out[f"clause/full/{name}/context-stripped"] = f"level = 'clause' AND {more} AND stripped"
+    return out | {"clause/full/ta/none": "level = 'clause' AND swap AND NOT has_context"}
+
+
+SUBSETS = _subsets()
+IN_SUBSETS = LONG.rstrip() + ", k AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in TRAITS.items()) + " FROM t), u AS (SELECT id, scorer, hit, unnest(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{k}' END" for k, p in SUBSETS.items()) + "], lambda x: x IS NOT NULL)) AS subset FROM k)\n"
+
+
+def _in_subsets(spark, sf):
+    """(id, scorer, hit, subset): a row for each subset of a case."""
+    k = _long(spark, sf).select("*", *[F.expr(e).alias(n) for n, e in TRAITS.items()])
+    return k.select("id", "scorer", "hit", F.explode(F.array_compact(F.array(*[F.when(F.expr(p), n) for n, p in SUBSETS.items()]))).alias("subset"))
+
+
+@query(IN_SUBSETS + "SELECT subset, scorer, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM u GROUP BY 1, 2")
+def a13_subset_definitions(spark, sf):
+    return _in_subsets(spark, sf).groupBy("subset", "scorer").agg(F.count("*").alias("n"), A.hits(F.col("hit")).alias("hits"))
+
+
+SCORERS = (("d", "by discount", "feature", "line", 8), ("engine", "order of lines", "baseline", "none", 0), ("s", "by source", "feature", "line", 4))
+
+
+@query(IN_SUBSETS.rstrip() + f""", h AS (SELECT scorer, subset, count(*) FILTER (WHERE hit)::DOUBLE AS h, count(*)::DOUBLE AS n, count(*) FILTER (WHERE id % 2 = 0) AS timed_n,
+ quantile_disc(id % 97, 0.5) FILTER (WHERE id % 2 = 0) AS p50, quantile_disc(id % 97, 0.95) FILTER (WHERE id % 2 = 0) AS p95 FROM u GROUP BY 1, 2)
+SELECT h.scorer, label, "group", inputs, subset, CAST(h AS BIGINT) AS hits, CAST(n AS BIGINT) AS n, round(h / n, 4) AS rate, {WILSON.replace(" AS low", " AS wilson_low").replace(" AS high", " AS wilson_high")}, timed_n, p50 AS decision_ms_p50, p95 AS decision_ms_p95, weights_bytes
+FROM h JOIN (VALUES {", ".join(map(str, SCORERS))}) s(scorer, label, "group", inputs, weights_bytes) USING (scorer)""")
+def snk04_results_table(spark, sf):
+    """A row for each scorer and subset in the 14 columns of a report; the time of a case is a stand-in from its id."""
+    rows = _in_subsets(spark, sf)
+    h = rows.groupBy("scorer", "subset").agg(A.hits(F.col("hit")).alias("hits"), F.count("*").alias("n"), F.count_if(F.col("id") % 2 == 0).alias("timed_n"))
+    times = O.at_ranks(rows.where("id % 2 = 0").withColumn("ms", F.col("id") % 97), ["scorer", "subset"], "ms", {"decision_ms_p50": O.nearest_rank("0.5"), "decision_ms_p95": O.nearest_rank("0.95")})
+    low, high = A.wilson(F.col("hits").cast("double"), F.col("n").cast("double"))
+    who = spark.createDataFrame(SCORERS, "scorer string, label string, group string, inputs string, weights_bytes int")
+    out = h.join(times, ["scorer", "subset"], "left").join(F.broadcast(who), "scorer")  # three rows
+    return out.select("scorer", "label", "group", "inputs", "subset", "hits", "n", F.round(F.col("hits") / F.col("n"), 4).alias("rate"), low.alias("wilson_low"), high.alias("wilson_high"), "timed_n", "decision_ms_p50", "decision_ms_p95", "weights_bytes")
+
+
 @query("SELECT o_orderpriority AS subset, bool_and(l_orderkey IS NOT NULL) AS run, count(*) AS n FROM (SELECT DISTINCT o_orderkey, o_orderpriority, l_orderkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1")
 def a14_subset_run(spark, sf):
     has = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("pick", F.lit(1))

@@ -67,6 +67,30 @@ def f07_strip_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", t.alias("plain"))
 
 
+def _in_turn(of: str, patterns: tuple[str, ...]) -> str:
+    """SQL that replaces patterns by a space, one after the other."""
+    for p in patterns:
+        of = f"regexp_replace({of}, '{p}', ' ', 'g')"
+    return of
+
+
+#: The wiki patterns, without a reference back to a group, before and after that of templates.
+BODIES = "|".join(f"(?s)<{t}[^>]*>.*?</{t}>" for t in ("math", "code", "pre", "gallery", "timeline"))
+AT = P.WIKI_NOISE.index(P.WIKI_TEMPLATE)
+WIKI_BEFORE = tuple(BODIES if "\\1" in p else p for p in P.WIKI_NOISE[:AT])
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT page_id, regexp_replace(regexp_replace(html, '<div[^>]*>', '{{{{', 'g'), '</div>', '}}}}', 'g') AS raw FROM pages),
+r AS (SELECT page_id, 0 AS k, {_in_turn(f"regexp_replace(raw, '{P.WIKI_LINK}', chr(92) || '1', 'g')", WIKI_BEFORE)} AS t FROM w
+ UNION ALL SELECT page_id, k + 1, {_in_turn("t", (P.WIKI_TEMPLATE,))} FROM r WHERE regexp_matches(t, '{P.WIKI_TEMPLATE}')),
+z AS (SELECT page_id, arg_max(t, k) AS t FROM r GROUP BY page_id)
+SELECT page_id, replace(replace(replace({_in_turn("t", P.WIKI_NOISE[AT + 1:])}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plain FROM z""")
+def f07_strip_wikitext(spark, sf):
+    """Pages whose divisions are templates, nested as the divisions are."""
+    raw = F.regexp_replace(F.regexp_replace("html", "<div[^>]*>", "{{"), "</div>", "}}")
+    return table(spark, sf, "pages").select("page_id", X.strip_wikitext(raw).alias("plain"))
+
+
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?s)\A---\n.*?\n---\n', ' ', 'g'), '(?s)```.*?```', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)\{\{%.*?%\}\}', ' ', 'g'), '(?s)\{\{<.*?>\}\}', ' ', 'g'), '`[^`]*`', ' ', 'g'),
  '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g'), '(?m)^\s*\|.*$', ' ', 'g') AS plain FROM pages""")

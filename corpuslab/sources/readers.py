@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.functions.presets import HAN
+from corpuslab.functions.text import script_runs
 from corpuslab.sources.pages import balanced_div, paragraphs
 from corpuslab.sources.tensors import parse
 
@@ -23,6 +25,13 @@ def wiki_pages(spark: SparkSession, path: str | list[str], namespace: int = 0) -
     return pages.where(F.col("ns") == namespace).select("title", F.col("revision.text._VALUE").alias("text"))
 
 
+def wiki_runs(spark: SparkSession, path: str | list[str], letters: str = HAN.letters) -> DataFrame:
+    """(text, pos, run) of the text bodies of a dump, whatever page they are of: maximal runs of a character class, so that
+    markup splits runs too. ``text`` is a digest of the body."""
+    bodies = spark.read.format("xml").option("rowTag", "text").option("ignoreNamespace", "true").schema("_VALUE string").load(path)
+    return bodies.where("_VALUE is not null").select(F.md5("_VALUE").alias("text"), F.posexplode(script_runs(F.col("_VALUE"), letters)).alias("pos", "run"))
+
+
 def dialogues(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(dialogue, turn, text) of JSON arrays of turns, one a line; bad lines are skipped, spaces inside turns go."""
     rows = spark.read.text(path).select(F.xxhash64("value").alias("dialogue"), F.from_json("value", "array<string>").alias("turns")).where("turns is not null")

@@ -66,6 +66,16 @@ def test_kneser_ney_sums_to_one(spark):
         assert sum(x["p"] for x in p if x["w1"] == w) == pytest.approx(1)
 
 
+def test_trigrams_sum_to_one_over_what_follows_anywhere(spark):
+    """Every third letter follows each pair here, so that nothing is left for unseen ones."""
+    r = random.Random(2)
+    b = {k: r.randint(1, 9) for k in itertools.product("ab", "cd", "efg")}
+    p = C.kneser_ney_trigrams(spark.createDataFrame([(*k, n) for k, n in b.items()], "w1 string, w2 string, w3 string, n long")).collect()
+    assert len(p) == len(b)
+    for w in itertools.product("ab", "cd"):
+        assert sum(x["p"] for x in p if (x["w1"], x["w2"]) == w) == pytest.approx(1)
+
+
 def test_samples_are_the_same_each_time(spark):
     df = spark.range(500).withColumnRenamed("id", "doc_id").withColumn("k", F.col("doc_id") % 3)
     a = sorted(r["doc_id"] for r in S.per_stratum(df, ["k"], 10, "x", "doc_id").collect())

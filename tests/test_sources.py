@@ -128,3 +128,13 @@ def test_download(tmp_path):
     assert fetch.download(f"{base}/plain", tmp_path / "b", wait=0).read_bytes() == data
     server.shutdown()
     assert list(fetch.paged(lambda n: [9 - 2 * n, 8 - 2 * n], lambda r: r < 6)) == [9, 8, 7, 6]
+
+
+def test_runs_of_text_bodies(spark, tmp_path):
+    body = "<mediawiki><page><title>a</title><ns>0</ns><revision><text bytes=\"9\">一二[[三]]\n四五 &lt;b&gt;六</text></revision></page>\n<page><title>b</title><ns>4</ns><revision><text>七</text></revision></page>\n<page><revision><text /></revision></page></mediawiki>"
+    (tmp_path / "dump.xml.bz2").write_bytes(bz2.compress(body.encode()))
+    got = readers.wiki_runs(spark, str(tmp_path / "dump.xml.bz2")).orderBy("text", "pos").collect()
+    runs = {}
+    for r in got:
+        runs.setdefault(r["text"], []).append(r["run"])
+    assert sorted(runs.values()) == [["一二", "三", "四五", "六"], ["七"]]
