@@ -66,6 +66,22 @@ def write_batch_once(path: str):
     return write
 
 
+def write_missing_chunks(rows: DataFrame, chunk: str, path: str) -> list:
+    """Writes the chunks (values of a column; null is one) that ``path`` lacks, each a job with a folder of its own, and gives their
+    values in order. A folder counts as done once its job has ended, so what a broken run left half written is written anew."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    values = sorted((r[0] for r in rows.select(chunk).distinct().collect()), key=lambda v: (v is not None, v))
+    written = []
+    for v in values:
+        folder = f"{path}/{chunk}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}"
+        mark = hadoop(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            rows.where(F.col(chunk).eqNullSafe(F.lit(v))).drop(chunk).write.mode("overwrite").parquet(folder)
+            written.append(v)
+    return written
+
+
 class ProgressFile(StreamingQueryListener):
     """Keeps the last progress of each query in a JSON file, replaced as a whole."""
 

@@ -138,3 +138,13 @@ def test_runs_of_text_bodies(spark, tmp_path):
     for r in got:
         runs.setdefault(r["text"], []).append(r["run"])
     assert sorted(runs.values()) == [["一二", "三", "四五", "六"], ["七"]]
+
+
+def test_finished_chunks_are_skipped(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3 if i else None) for i in range(10)], "id long, chunk long")
+    path = str(tmp_path / "out")
+    assert writers.write_missing_chunks(rows, "chunk", path) == [None, 0, 1, 2]
+    (tmp_path / "out" / "chunk=1" / "_SUCCESS").unlink()
+    assert writers.write_missing_chunks(rows, "chunk", path) == [1]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("id", "chunk").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert writers.write_missing_chunks(rows.where("false"), "chunk", path) == []
