@@ -49,7 +49,7 @@ SALTS, MEET = 16, 512
 #: Of a document's lists so many, those of the smallest names, are at hand to tell where a pair has met already.
 SKETCH = 8
 #: Pairs of one document that are verified together, and pairs of a bucket, about.
-SPOKES, PAIRS = 256, 200
+SPOKES, PAIRS = 32, 50
 #: Documents whose ids are broadcast to fetch their texts, at most; more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
