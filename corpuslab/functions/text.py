@@ -175,9 +175,9 @@ def is_spam(text: Column, terms: Sequence[str] = P.SPAM_TERMS) -> Column:
     return F.rlike(text, F.lit("|".join(re.escape(t) for t in terms)))
 
 
-def is_clean_message(text: Column, letters: str = P.HAN.letters) -> Column:
-    """Has a character of the script, no Latin letter or digit, no line break."""
-    return F.rlike(text, F.lit(f"[{letters}]")) & ~F.rlike(text, F.lit("[A-Za-z0-9\\n\\r]"))
+def is_clean_message(text: Column, letters: str = P.HAN.letters, banned: str = "A-Za-z0-9") -> Column:
+    """Has a character of the script, none of the banned (Latin letters and digits), no line break."""
+    return F.rlike(text, F.lit(f"[{letters}]")) & ~F.rlike(text, F.lit(f"[{banned}\\n\\r]"))
 
 
 def has_control(text: Column) -> Column:

@@ -71,6 +71,15 @@ def j04_shared_ids(spark, sf):
     return per.join(F.broadcast(kinds), F.col("kinds") == F.col("k")).select("user_id", "kinds")  # one row
 
 
+@query("""WITH p AS (SELECT DISTINCT event_type AS scorer, user_id FROM events), k AS (SELECT user_id, count(*) = (SELECT count(DISTINCT event_type) FROM events) AS shared FROM p GROUP BY user_id)
+SELECT scorer, count(*) AS cases, count(*) FILTER (WHERE shared) AS compared, bool_and(shared) AS same_cases FROM p JOIN k USING (user_id) GROUP BY scorer""")
+def j04_coverage(spark, sf):
+    """What each scorer covers of the cases that all have: those compared, and whether it has others."""
+    p = table(spark, sf, "events").select(F.col("event_type").alias("scorer"), "user_id").distinct()
+    shared = p.groupBy("user_id").count().join(F.broadcast(p.agg(F.countDistinct("scorer").alias("k"))), F.col("count") == F.col("k")).select("user_id", F.lit(True).alias("shared"))  # one row
+    return p.join(shared, "user_id", "left").groupBy("scorer").agg(F.count("*").alias("cases"), F.count("shared").alias("compared"), (F.count("*") == F.count("shared")).alias("same_cases"))
+
+
 @query(f"WITH {WORDS8} SELECT DISTINCT doc_id FROM d8 WHERE n = 8 AND g IN (SELECT g FROM b8 WHERE n = 8)")
 def j05_window_members(spark, sf):
     probe = _grams8(table(spark, sf, "benchmark"), "item_id")

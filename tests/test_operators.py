@@ -223,3 +223,39 @@ def test_model_files():
             tensors.parse(data[:cut])
     half = b'{"h":{"dtype":"F16","shape":[2],"data_offsets":[0,4]}}'
     assert tensors.parse(len(half).to_bytes(8, "little") + half + b"\x00\x3c\x01\x00")[0]["h"].tolist() == [1.0, 2.0**-24]
+
+
+def test_words_of_a_table(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.operators import words as W
+
+    texts = spark.createDataFrame([(1, "还钱还是还"), (2, ""), (3, None), (4, "行x行人")], "id int, t string")
+    table = spark.createDataFrame([("还", ["hai"]), ("还钱", ["huan", "qian"]), ("行", ["xing"]), ("行人", ["hang", "ren"]), ("坏", ["a", "b"]), ("", [])], "word string, readings array<string>")
+    assert [r["readings"] for r in W.with_readings(texts, "t", table).orderBy("id").collect()] == [["huan", "qian", "hai", None, "hai"], [], None, ["xing", None, "hang", "ren"]]
+    variants = spark.createDataFrame([("发", "發"), ("头发", "頭髮"), ("头", "頭"), ("头", "首首"), ("]", "[")], "variant string, plain string")
+    plain = W.converted(spark.createDataFrame([(1, "发头发头]头头发"), (2, None), (3, "")], "id int, t string"), "t", variants)
+    head = min("頭", "首首")
+    assert [r["t"] for r in plain.orderBy("id").collect()] == [f"發頭髮{head}[{head}頭髮", None, ""]
+    assert [r["t"] for r in W.converted(texts, "t", variants.where("false")).orderBy("id").collect()] == ["还钱还是还", "", None, "行x行人"]
+    pieces = spark.createDataFrame([(["a", "bc", "defgh", "i"],), ([],)], "p array<string>").select(W.word_windows(F.col("p")).alias("w"), W.picked(W.word_windows(F.col("p")), F.lit(1)).alias("x")).collect()
+    assert [r["w"] for r in pieces] == [["abc", "bc"], []] and pieces[0]["x"] in ("abc", "bc") and pieces[1]["x"] is None
+
+
+def test_segmentation_is_cheapest(spark):
+    import itertools
+
+    from corpuslab.operators import words as W
+
+    counts = {"a": 5, "ab": 4, "b": 1, "abc": 2, "ca": 3, "bca": 2}
+    total = sum(counts.values())
+    price = lambda p: W.cost(counts.get(p, 0.5), total)
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("abcx", repeat=n)]
+    got = W.segmented(spark.createDataFrame([(t,) for t in [*texts, ""]], "t string"), "t", spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+
+    def parts(t):
+        return [[]] if not t else [[t[:n], *rest] for n in range(1, len(t) + 1) if n == 1 or t[:n] in counts for rest in parts(t[n:])]
+
+    for r in got:
+        want = min(sum(map(price, p)) for p in parts(r["t"]))
+        assert "".join(r["pieces"]) == r["t"] and sum(map(price, r["pieces"])) == want

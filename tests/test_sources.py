@@ -148,3 +148,37 @@ def test_finished_chunks_are_skipped(spark, tmp_path):
     assert writers.write_missing_chunks(rows, "chunk", path) == [1]
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("id", "chunk").collect()) == sorted(tuple(r) for r in rows.collect())
     assert writers.write_missing_chunks(rows.where("false"), "chunk", path) == []
+
+
+def test_sqlite_lookups(spark, tmp_path):
+    import sqlite3
+
+    from corpuslab.sources import sqlite
+
+    path = str(tmp_path / "d.db")
+    with sqlite3.connect(path) as c:
+        for name, rows in {"tbl_2_n": [("nihk", "nh", "你好", 9), ("nihx", "nh", "拟好", None)], "tbl_others_n": [("nihkma" * 3, "n", "长", 1)], "tbl_1_w": []}.items():
+            c.execute(f"create table {name} (key text, jp text, value text, weight integer)")
+            c.executemany(f"insert into {name} values (?, ?, ?, ?)", rows)
+    found = lambda key: sorted(r["value"] for r in sqlite.look_up_in_sqlite(spark, path, key).collect())
+    assert [found("nihk"), found("ni"), found("wo"), found("nihkma" * 3)] == [["你好"], [], [], ["长"]]
+    every = sqlite.sqlite_tables(spark, path, "value string, weight long")
+    assert sorted(tuple(r) for r in every.na.fill(-1).collect()) == [("你好", 9), ("拟好", -1), ("长", 1)]
+
+
+def test_corpus_batches(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("\n".join(f"l{i}" for i in range(10)) + "\n")
+    got = readers.corpus_batches(spark, str(tmp_path / "c.txt"), 4).orderBy("part", "batch", "pos").collect()
+    assert [(r["batch"], r["pos"], r["line"]) for r in got] == [(i // 4, i % 4, f"l{i}") for i in range(10)]
+
+
+def test_character_references(spark):
+    import html
+
+    from pyspark.sql import functions as F
+
+    from corpuslab.sources.pages import unescape
+
+    texts = ["", "a & b &", "&amp;lt; &lt;p&gt;", "&nbsp;&eacute;&Eacute&copy2&notit;&notin;&bogus;&bogus", "&#65;&#x41;&#X4a &#0;&#128;&#159;&#13;&#55296;&#1114112;&#99999999999999999999;&#x1F600;&#11;&#64976;&#65534;&#;&#x;", "&#0000000000000000065;", "&&amp;&", "a\u0000&quot;\n&hellip;", "&NotEqualTilde;&b.Theta;&frac12x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", unescape(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [*map(html.unescape, texts), None]
