@@ -427,23 +427,33 @@ def across(meet: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) that sizes and bitmaps don't rule out, for documents and components that met (x, c), each document with the
     members of a size that can link. Small components are joined; larger ones are held against their documents in blocks
     of TILE by TILE of neighbouring levels of size, in numpy, so that what is ruled out never becomes a row."""
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    met = meet.join(sizes, F.col("c") == F.col("comp"), "left").select("x", "c", F.coalesce("size", F.lit(1)).alias("size"))
-    few = met.where(F.col("size") <= FEW).join(comps, F.col("c") == F.col("comp"), "left").select("x", F.coalesce("node", "c").alias("y"))
+    salts = lambda: F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = lambda k: F.pmod(F.xxhash64(k), F.lit(SALTS)).cast("int")
+    # Which components are large, and which small ones many documents meet, is told to salted rows: no task gathers them.
+    large = cut(comps.groupBy("comp").count().where(F.col("count") > FEW).select(F.col("comp").alias("large"), salts().alias("kl")))
+    met = meet.withColumn("salt", salt("x")).join(large, (F.col("c") == F.col("large")) & (F.col("salt") == F.col("kl")), "left")
+    held = comps.withColumn("salt", salt("node")).join(large, (F.col("comp") == F.col("large")) & (F.col("salt") == F.col("kl")), "left")
+    small, members = met.where("large is null").select("x", "c", "salt"), held.where("large is null").select("comp", "node")
+    crowd = cut(small.groupBy("c").count().where(F.col("count") > MEET).select(F.col("c").alias("crowd"), salts().alias("kc")))
+    small = small.join(crowd, (F.col("c") == F.col("crowd")) & (F.col("salt") == F.col("kc")), "left").select("x", "c", F.coalesce("kc", F.lit(0)).alias("deal"))
+    members = members.join(crowd, F.col("comp") == F.col("crowd"), "left").select("comp", "node", F.coalesce("kc", F.lit(0)).alias("dealt"))
+    few = small.join(members, (F.col("c") == F.col("comp")) & (F.col("deal") == F.col("dealt")), "left").select("x", F.coalesce("node", "c").alias("y"))
     few = sifted(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
-    many = met.where(F.col("size") > FEW)
+    many = met.where("large is not null").select("x", "c")
+    wanted = many.select("c").distinct().select(F.col("c").alias("wanted"), salts().alias("kw"))
     tiles = lambda: F.ceil(F.count("*") / TILE).cast("int")
     dealt = lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Documents meet members of their own level of size and of the two beside it.
     one = sets.select(F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     two = sets.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"), level_of(F.col("n")).alias("rv"))
-    left = many.select("x", "c").join(one, "x")
+    left = many.join(one, "x")
     left = left.select("*", F.explode(F.array(*(level_of(F.col("nx")) + k for k in (-1, 0, 1)))).alias("v"))
-    right = comps.join(many.select("c").distinct(), F.col("comp") == F.col("c"), "left_semi").select(F.col("comp").alias("rc"), F.col("node").alias("y")).join(two, "y")
+    right = held.where("large is not null").join(wanted, (F.col("comp") == F.col("wanted")) & (F.col("salt") == F.col("kw")), "left_semi").select(F.col("comp").alias("rc"), F.col("node").alias("y")).join(two, "y")
     grid = cut(left.groupBy("c", "v").agg(tiles().alias("tx")).join(right.groupBy(F.col("rc").alias("c"), F.col("rv").alias("v")).agg(tiles().alias("ty")), ["c", "v"]))
-    left = left.join(grid, ["c", "v"]).select("c", "v", dealt("x", "tx").alias("i"), all_of("ty").alias("j"), "x", "nx", "bx")
-    right = right.join(grid.select(F.col("c").alias("rc"), F.col("v").alias("rv"), "tx", "ty"), ["rc", "rv"]).select("rc", "rv", all_of("tx").alias("ri"), dealt("y", "ty").alias("rj"), "y", "ny", "by")
+    grid = grid.select("*", salts().alias("salt"))
+    left = left.withColumn("salt", salt("x")).join(grid, ["c", "v", "salt"]).select("c", "v", dealt("x", "tx").alias("i"), all_of("ty").alias("j"), "x", "nx", "bx")
+    right = right.withColumn("salt", salt("y")).join(grid.select(F.col("c").alias("rc"), F.col("v").alias("rv"), "salt", "tx", "ty"), ["rc", "rv", "salt"]).select("rc", "rv", all_of("tx").alias("ri"), dealt("y", "ty").alias("rj"), "y", "ny", "by")
 
     def block(xs: pa.Table, ys: pa.Table) -> pa.Table:
         gy, ny, by = ys.column("y").to_numpy(), ys.column("ny").to_numpy(), ys.column("by").to_pylist()
