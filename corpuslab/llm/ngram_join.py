@@ -45,7 +45,7 @@ RANGE, PACK = 1_000_000, 1_000_000
 #: Members of components that are joined to documents as rows; of more, so many by so many at a time are compared.
 FEW, TILE = 16, 2048
 #: Tasks to which a list is dealt, and documents of a list and a level of size that meet its components in one tile.
-SALTS, MEET = 16, 512
+SALTS, MEET = 16, 128
 #: Of a document's lists so many, those of the smallest names, are at hand to tell where a pair has met already.
 SKETCH = 8
 #: Pairs of one document that are verified together, and pairs of a bucket, about.
@@ -503,16 +503,19 @@ def meetings(member: DataFrame) -> DataFrame:
     have in common, however many they share.
 
     They meet by list and level of size, components at each level at which a member could link, and where a list has many
-    documents of a level, these are dealt to tiles of TILE, each of which meets all components."""
+    documents of a level, these are dealt to tiles of MEET, each of which meets all components."""
     sketch = member.where("alone").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("list")), 1, SKETCH).alias("sketch"))
     member = member.join(sketch, "a", "left")
     x = member.where("comp <> major").select("list", F.col("a").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sketch").alias("kx"), level_of(F.col("n")).alias("v"))
     c = member.groupBy("list", F.col("comp").alias("c"), (F.col("comp") == F.col("major")).alias("main")).agg(F.min("n").alias("nc"), F.max("n").alias("xc"), F.max("s").alias("sc"), F.first("sketch").alias("kc"))
     c = c.select("*", F.explode(F.sequence(level_of(F.col("nc")) - 1, level_of(F.col("xc")) + 1)).alias("v"))
-    tiles = x.groupBy("list", "v").agg(F.ceil(F.count("*") / MEET).cast("int").alias("tiles")).where("tiles > 1")
+    tiles = cut(x.groupBy("list", "v").agg(F.ceil(F.count("*") / MEET).cast("int").alias("tiles")).where("tiles > 1"))
+    tiles = tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = lambda k: F.pmod(F.xxhash64(k), F.lit(SALTS)).cast("int")
     few = F.coalesce("tiles", F.lit(1))
-    x = x.join(tiles, ["list", "v"], "left").withColumn("tile", F.pmod(F.xxhash64("x"), few).cast("int")).drop("tiles")
-    c = c.join(tiles, ["list", "v"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), few - 1))).drop("tiles")
+    # How many tiles a list has at a level is told to salted rows.
+    x = x.withColumn("salt", salt("x")).join(tiles, ["list", "v", "salt"], "left").withColumn("tile", F.pmod(F.xxhash64("x"), few).cast("int")).drop("tiles", "salt")
+    c = c.withColumn("salt", salt("c")).join(tiles, ["list", "v", "salt"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), few - 1))).drop("tiles", "salt")
     one = F.col("main") | (F.col("cx") > F.col("c"))
     fits = (F.col("nx") * 100 >= F.col("nc") * PERCENT) & (F.col("xc") * 100 >= F.col("nx") * PERCENT) & (F.least("sx", "sc") * (100 + PERCENT) >= (F.col("nx") + F.col("nc")) * PERCENT)
     before = F.arrays_overlap(F.filter("kx", lambda k: k < F.col("list")), F.col("kc"))
