@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, decontamination, exact_dedup, language_id, ngram_join, pii, secret_scan, token_counts, toxicity, url_filter
+from corpuslab.llm import bpe, decontamination, exact_dedup, language_id, ngram_join, pii, secret_scan, token_counts, toxicity, url_filter, whitening
 from corpuslab.llm.common import as_table
 
 #: Rules of the URL query: host, path, verdict.
@@ -69,8 +69,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(as_table(spark, sf_dir, "pages"), keys)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(as_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_counts, op3_decontamination, op4_pii, op5_exact_dedup, op6_bpe, op7_toxicity, op8_language, op9_ngram_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_counts, op3_decontamination, op4_pii, op5_exact_dedup, op6_bpe, op7_toxicity, op8_language, op9_ngram_join, op10_url_filter, op13_whitening)}
 
 
 OP5_SQL = r"""
