@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.storage import cut
+
 
 def running(rows: DataFrame, order: Sequence[str | Column], name: str, size: Column, within: Sequence[str] = ()) -> DataFrame:
     """``name``: the sum of ``size`` over the rows that come before a row in its group; 0 for the first.
 
     The order is parted into ranges that are summed apart, and a range adds what its groups have in the ranges before. The
-    sorted ranges are cached on disk, until the cache is cleared, so that sums and rows come from the same ones.
+    sorted ranges are written to the checkpoint folder, so that sums and rows come from the same ones, whatever is lost.
     """
-    placed = rows.withColumn("_size", size).orderBy(*within, *order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    placed = cut(rows.withColumn("_size", size).orderBy(*within, *order)).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     inside = Window.partitionBy("_part", *within).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     run = placed.withColumn("_run", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
@@ -27,9 +28,9 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, within:
     """All rows in order, numbered from 1, anew in each group of ``within``. ``order`` must tell the rows of a group apart.
 
     A row's number is its place among its group's rows in its range, and how many rows the group has in the ranges before.
-    Ranges are cached as in :func:`running`.
+    Ranges are written as in :func:`running`.
     """
-    placed = rows.orderBy(*within, *order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    placed = cut(rows.orderBy(*within, *order)).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     out = _with_offsets(placed, placed.groupBy("_part", *within).agg(F.count("*").alias("_sum"), F.min("_at").alias("_first")), within)
     return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_offset") + 1).drop("_at", "_part", "_first", "_offset")
