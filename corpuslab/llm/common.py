@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.operators.storage import cut as cut
+
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file: in ``folder``, or where the installed package has it."""
@@ -37,21 +38,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, which survives lost executors.
-
-    Only where the cluster names none is one set here: a temporary folder under a local master, else one beside
-    the warehouse, which all executors share.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        own = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        sc.setCheckpointDir(named or own)
-    return df.checkpoint(eager=True)
-
-
 def release() -> None:
     """Gives what is freed back to the system: Python workers outlive their tasks, and several wait beside those at work."""
     pa.default_memory_pool().release_unused()
