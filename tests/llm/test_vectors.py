@@ -3,11 +3,13 @@
 from fractions import Fraction
 from math import floor, isfinite
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from corpuslab.llm import common, queries, vectors, whitening
+from corpuslab.llm import common, hard_negatives, queries, vectors, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, component int, n string"
 
@@ -98,3 +100,92 @@ def test_rows_in_bounded_matrices(monkeypatch, entries):
     assert {i: x[: len(data[i])] for i, x in got.items()} == {0: [256, 512], 4: [], 5: [-1, 0, 0], 6: [vectors.MOST, -vectors.MOST], 7: [768, 1024]}
     later = {int(i) for at, _ in vectors.integer_rows(pa.array(data, pa.list_(pa.float64())).slice(3, 3)) for i in at}
     assert later == {1, 2}
+
+
+def plain_negatives(rows, is_anchor, positives=5, negatives=5):
+    """op11 by loops over Python integers."""
+    own = [(r[0], r[2], x) for r, x in whole(rows) if r[2] is not None]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    order = lambda p: (-p[0], p[1] is None, p[1] or 0)
+    out = []
+    for i, (a, label, x) in enumerate(own):
+        if a is None or not is_anchor(a):
+            continue
+        scored = [(dot(x, y), b, l) for j, (b, l, y) in enumerate(own) if i != j]
+        for ps, p, _ in sorted((s for s in scored if s[2] == label), key=order)[:positives]:
+            fit = sorted((s for s in scored if s[2] != label and 80 * ps <= 100 * s[0] <= 100 * ps), key=order)
+            out += [(a, p, k + 1, s[1], ps, s[0]) for k, s in enumerate(fit[:negatives])]
+    return sorted(out, key=str)
+
+
+def mined(df, **kw):
+    return sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **kw).collect()), key=str)
+
+
+def near_rows(n=400, seed=1, scale=1.0):
+    """Vectors around few centres, with copies, equal scores, odd ids and odd vectors."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i, [float(np.float32(v * scale)) for v in centres[i % 6] + rng.normal(size=5) * 0.2], int(rng.integers(4)), 1, "x") for i in range(n)]
+    rows += [(1000 + i, rows[3][1], i % 3, 1, "x") for i in range(150)]  # a vector of many rows
+    rows += rows[:12] + [(None, rows[3][1], 1, 1, "x"), (None, rows[3][1], 2, 1, "x"), (2000, rows[4][1], None, 1, "x"), (2010, None, 1, 1, "x"), (2020, [1.0, None], 1, 1, "x"), (2030, [float("inf")] * 5, 1, 1, "x")]
+    return rows + [(2040, [1.0], 1, 1, "x"), (2050, [], 1, 1, "x"), (2060, rows[5][1] + [2.0], 1, 1, "x"), (-10, rows[6][1], -3, 1, "x"), (2070, [float(-v) for v in rows[7][1]], 2, 1, "x")]
+
+
+def test_hard_negatives(spark, monkeypatch):
+    rows = near_rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = plain_negatives(rows, lambda i: i % 10 == 0)
+    assert len(want) > 500 and mined(df) == want
+    assert mined(df, positives=2, negatives=3) == plain_negatives(rows, lambda i: i % 10 == 0, 2, 3)
+    for name, value in (("SHARD", 13), ("BLOCK", 7), ("CHUNK", 25), ("FIRST", 4), ("LISTS", 5)):  # many shards, blocks, chunks; first scores of a part
+        monkeypatch.setattr(hard_negatives, name, value)
+    assert mined(df) == want
+    for none in (df.where("false"), df.where("vec_id = 1"), df.where("vec_id = 2010"), df.where("vec_id = 0"), df.where("vec_id = 2050")):
+        assert mined(none) == []
+
+
+@pytest.mark.parametrize("scale", [30.0, 1e4, 1e6])
+def test_hard_negatives_of_long_vectors(spark, scale):
+    """Inner products beyond whole numbers of floats, and of doubles."""
+    rows = near_rows(120, 2, scale)
+    longest = max(sum(v * v for v in x) ** 0.5 for _, x in whole(rows))
+    assert (longest**2 >= 2**53) == (scale == 1e6) and longest < hard_negatives.LONGEST
+    got = mined(spark.createDataFrame([*rows, (3000, [1e9, 1.0], 1, 1, "x")], SCHEMA))
+    assert got == plain_negatives(rows, lambda i: i % 10 == 0) and got
+
+
+def test_lists_are_skipped():
+    """The search visits few lists where clusters are far apart, and finds what a full one finds."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(16, 8)) * 400
+    x = np.floor(centres[np.arange(1600) % 16] + rng.normal(size=(1600, 8)) * 4).astype(np.int64)
+    c = hard_negatives.centroids(x, 16)
+    assert sorted(np.round(c).sum(axis=1)) == pytest.approx(sorted(centres.sum(axis=1)), abs=25) or len(c) == 16
+    labels, none = np.arange(1600) % 3, np.zeros(1600, bool)
+    shard = next(hard_negatives.shards_of(hard_negatives._shard(0, c, np.arange(1600), none, labels, none, x)))
+    q = np.arange(0, 1600, 40)
+    at = np.argsort(shard.ids)
+    own = hard_negatives.Queries(np.zeros(len(q), np.int64), at[q], q, labels[q], x[q], np.full((len(q), 1), -(2**62)), np.full((len(q), 1), 2**62))
+    search = hard_negatives.Search(own, own.low, c, 5, True, float(np.sqrt((x * x).sum(axis=1)).max()))
+    visited = []
+    plain = search._list
+    search._list = lambda s, k, block, a, *more: (visited.append(len(a)), plain(s, k, block, a, *more))
+    search.visit(shard)
+    assert sum(visited) < 0.5 * len(q) * len(c)
+    got = {}
+    for b in search.found():
+        for i, s, j in zip(b.column("query").to_pylist(), b.column("score").to_pylist(), b.column("id").to_pylist()):
+            got.setdefault(i, []).append((s, j))
+    for i, a in enumerate(q):
+        scores = x @ x[a]
+        want = sorted(((int(scores[j]), j) for j in range(1600) if labels[j] == labels[a] and j != a), key=lambda p: (-p[0], p[1]))[:5]
+        assert sorted(got[i], key=lambda p: (-p[0], p[1])) == want
+
+
+def test_hard_negatives_query_and_sql(spark):
+    for data in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        c = duckdb.connect()
+        c.execute(f"create view embeddings as select * from '{data}/embeddings.parquet'")
+        want = c.execute(queries.OP11_SQL).fetchall()
+        assert sorted(map(tuple, queries.op11_hard_negatives(spark, data).collect())) == sorted(want)
