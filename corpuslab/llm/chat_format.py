@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,39 +41,55 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(LINE), F.lit("\n")))
 
 
-def steps(links: DataFrame) -> list[DataFrame]:
-    """Tables (key, up, far, total) of columns key, parent, score, the k-th of which knows the ancestor ``up`` 2**k steps
-    above, how ``far`` it is and the sum of scores below it. In the last, ``up`` is null but for messages on or below a circle."""
-    known = links.select(F.col("key").alias("_parent"))
-    tables = [cut(links.join(known, F.col("parent") == F.col("_parent"), "left").select("key", F.col("_parent").alias("up"), F.when(F.col("_parent").isNull(), 0).otherwise(1).cast("bigint").alias("far"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))]
-    left = tables[0].where("up is not null").count()
-    most = tables[0].count().bit_length() if left else 0
-    while left and len(tables) <= most:
-        above = tables[-1].select(F.col("key").alias("_key"), F.col("up").alias("_up"), F.col("far").alias("_far"), F.col("total").alias("_total"))
-        tables.append(cut(tables[-1].join(above, F.col("up") == F.col("_key"), "left").select("key", F.col("_up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))))
-        left = tables[-1].where("up is not null").count()
-    return tables
+def steps(links: DataFrame) -> tuple[list[DataFrame], int]:
+    """Tables (key, up, total) of columns key, parent, score, the k-th of which has the messages with an ancestor ``up`` 2**k steps
+    above, and the sum of scores from the one above a message up to it; and the number of a table that only messages on or
+    below a circle of parents reach, for the paths of others are shorter."""
+    known = links.select(F.col("key").alias("_key"), F.col("score").alias("total"))
+    tables = [cut(links.where("parent is not null").join(known, F.col("parent") == F.col("_key")).select("key", F.col("parent").alias("up"), "total"))]
+    beyond = links.count().bit_length()
+    while len(tables) <= beyond and not tables[-1].isEmpty():
+        above = tables[-1].select(F.col("key").alias("_key"), F.col("up").alias("_up"), F.col("total").alias("_total"))
+        tables.append(cut(tables[-1].join(above, F.col("up") == F.col("_key")).select("key", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"))))
+    return tables, beyond
+
+
+def branch_ends(links: DataFrame, tables: list[DataFrame], beyond: int) -> DataFrame:
+    """(key, far, total) of the messages without replies: their steps from the root, the sum of scores of their path. Each climbs
+    from the largest step that it has."""
+    first = reduce(DataFrame.unionByName, [t.select(F.col("key").alias("_key"), F.lit(k).alias("k")) for k, t in enumerate(tables)]).groupBy("_key").agg(F.max("k").alias("level"))
+    last = links.join(tables[0].select(F.col("up").alias("key")).distinct(), "key", "left_anti")
+    last = cut(last.join(first, F.col("key") == F.col("_key"), "left").select("key", F.col("key").alias("at"), F.lit(0).cast("bigint").alias("far"), F.col("score").alias("total"), "level"))
+    climbed = last.where("false").drop("level")
+    for k in range(min(len(tables), beyond) - 1, -1, -1):
+        above = tables[k].select(F.col("key").alias("_key"), "up", F.col("total").alias("_total"))
+        both = climbed.unionByName(last.where(F.col("level") == k).drop("level")).join(above, F.col("at") == F.col("_key"), "left")
+        step = F.when(F.col("up").isNull(), 0).otherwise(2**k)
+        climbed = both.select("key", F.coalesce("up", "at").alias("at"), (F.col("far") + step).alias("far"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
+    return cut(climbed.unionByName(last.where("level is null").drop("level")).drop("at"))
 
 
 def chosen_paths(links: DataFrame, branches: int | None = 1) -> DataFrame:
     """(key, branch, pos): the messages of the best branches of each tree, in their order from 0; ``links`` has columns key (a
     struct of tree and message), parent (such a struct, or null), and score. A branch ends in a message without replies;
     the highest sum of scores is branch 1, ties by the last message. ``branches`` None: all of them."""
-    tables = steps(links)
-    ends = tables[-1].where("up is null").join(tables[0].select(F.col("up").alias("key")).distinct(), "key", "left_anti")
-    ranked = ends.withColumn("branch", F.row_number().over(Window.partitionBy("key.tree").orderBy(F.desc("total"), "key")))
+    links = cut(links.select("key", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    tables, beyond = steps(links)
+    ranked = branch_ends(links, tables, beyond).withColumn("branch", F.row_number().over(Window.partitionBy("key.tree").orderBy(F.desc("total"), "key")))
     if branches is not None:
         ranked = ranked.where(F.col("branch") <= branches)
-    rest = ranked.select("key", "branch", F.col("far").alias("pos"), (F.col("far") + 1).alias("size"))
-    for k in range(len(tables) - 1, -1, -1):
+    whole = cut(ranked.select("key", "branch", F.col("far").alias("pos"), (F.col("far") + 1).alias("size")))
+    rest = whole.where("false")
+    for k in range(min(len(tables), beyond) - 1, -1, -1):
         step = 2**k
-        above = tables[k].where("up is not null").select(F.col("key").alias("_key"), "up")
-        both = rest.join(above, (F.col("key") == F.col("_key")) & (F.col("size") > step), "left")
-        whole = F.struct("key", "pos", "size")
+        above = tables[k].select(F.col("key").alias("_key"), "up")
+        now = rest.unionByName(whole.where((F.col("size") > step) & (F.col("size") <= 2 * step)))
+        both = now.join(above, (F.col("key") == F.col("_key")) & (F.col("size") > step), "left")
+        same = F.struct("key", "pos", "size")
         near = F.struct("key", "pos", F.lit(step).cast("bigint").alias("size"))
         far = F.struct(F.col("up").alias("key"), (F.col("pos") - step).alias("pos"), (F.col("size") - step).alias("size"))
-        rest = both.select("branch", F.explode(F.when(F.col("up").isNull(), F.array(whole)).otherwise(F.array(near, far))).alias("x")).select("branch", "x.*")
-    return rest.select("key", "branch", "pos")
+        rest = both.select("branch", F.explode(F.when(F.col("up").isNull(), F.array(same)).otherwise(F.array(near, far))).alias("x")).select("branch", "x.*")
+    return rest.unionByName(whole.where("size = 1").select(rest.columns)).select("key", "branch", "pos")
 
 
 def format_branches(messages: DataFrame, branches: int | None = 1, trained: str = TRAINED, tree_col: str = "tree_id", id_col: str = "message_id", parent_col: str = "parent_id", role_col: str = "role", text_col: str = "text", score_col: str | None = None) -> DataFrame:
