@@ -72,13 +72,14 @@ def viterbi(layers: Sequence[Sequence[str]], log_p: Callable[[str | None, str],
 
 
 def viterbi_rescored(layers: Sequence[Sequence[str]], score: Callable[[str, bool], float]) -> tuple[str, float]:
-    """One path for each last character, each scored as a whole with BOS; at the end again with EOS. Without layers ("", 0.0)."""
+    """One path for each last character, each scored as a whole with BOS; the best one's score has EOS in it, which has no part
+    in the choice. Without layers ("", 0.0)."""
     if not layers:
         return "", 0.0
     paths = [""]
     for layer in layers:
         paths = [max((p + c for p in paths), key=lambda t: score(t, False)) for c in layer]
-    best = max(paths, key=lambda t: score(t, True), default="")
+    best = max(paths, key=lambda t: score(t, False), default="")
     return best, score(best, True) if best else 0.0
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from corpuslab.functions import stats as A
@@ -13,6 +11,7 @@ from corpuslab.operators import decoding as D
 from corpuslab.operators import ordered as O
 from corpuslab.operators import pools
 from corpuslab.operators.reranker import CharTransformer, score_candidates
+from corpuslab.plans.language_queries import word_layers
 from corpuslab.plans.text_functions import SYLLABLES
 from corpuslab.registry import query
 from corpuslab.sources import table
@@ -151,88 +150,12 @@ def f30_typed_slots(spark, sf):
     return s.select("word", "parts", code.alias("code")).mapInPandas(run, "word string, code string, slots string")
 
 
-def _word_layers(spark, sf):
-    """Words of conversations with how often they come: the word, n, layers of a letter and the two after it in the
-    alphabet; other signs, and the empty word between two blanks, stay as they are."""
-    w = table(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    abc = "abcdefghijklmnopqrstuvwxyz"
-    nxt = lambda ch, k: F.translate(ch, abc, abc[k:] + abc[:k])
-    return w.select("word", "n", F.transform(X.chars(F.col("word")), lambda ch: F.array_distinct(F.array(ch, nxt(ch, 1), nxt(ch, 2)))).alias("layers"))
-
-
-def _decoded(spark, sf, one):
-    return D.decode_rows(_word_layers(spark, sf), "word", "layers", one, "n")
-
-
-def _bigram(prev: str | None, c: str) -> float:
-    """A toy bigram model: distance in the alphabet, earlier letters first."""
-    return -math.log(1 + abs(ord(c) - ord(prev or "M"))) - ord(c) * 1e-6
-
-
-#: Words, their layers (k: the place in a layer, u: the code point), and the model in SQL.
-DECODED = """WITH RECURSIVE s AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS word FROM conversations) GROUP BY word),
-l AS (SELECT word, i, substr(word, i, 1) AS c FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM s)),
-p AS MATERIALIZED (SELECT word, i, CAST(k AS INTEGER) AS k, CAST(97 + (ascii(c) - 97 + k) % 26 AS INTEGER) AS u FROM l, range(3) t(k) WHERE c BETWEEN 'a' AND 'z' UNION ALL SELECT word, i, 0, unicode(c) FROM l WHERE NOT c BETWEEN 'a' AND 'z'),
-"""
-BIGRAM = "(-ln(1 + abs({u} - {prev})) - {u} * 1e-6)"
-NEXT = BIGRAM.format(u="p.u", prev="v.u")
-#: The best path for each last letter.
-PATHS = DECODED + f"""v AS (SELECT word, 1::BIGINT AS i, k, u, chr(u) AS path, {BIGRAM.format(u='u', prev=77)} AS score FROM p WHERE i = 1
- UNION ALL SELECT word, i, k, u, path, score FROM (SELECT v.word, p.i, p.k, p.u, v.path || chr(p.u) AS path, v.score + {NEXT} AS score,
-  row_number() OVER (PARTITION BY v.word, p.u ORDER BY v.score + {NEXT} DESC, v.k) AS r FROM v JOIN p ON p.word = v.word AND p.i = v.i + 1) WHERE r = 1),
-"""
-#: The best readings of each word, r in order.
-BEAMS = DECODED + f"""v AS (SELECT word, 0::BIGINT AS i, 1::BIGINT AS r, 77 AS u, '' AS path, 0.0::DOUBLE AS score FROM s
- UNION ALL SELECT word, i, r, u, path, score FROM (SELECT v.word, p.i, p.u, v.path || chr(p.u) AS path, v.score + {NEXT} AS score,
-  row_number() OVER (PARTITION BY v.word ORDER BY v.score + {NEXT} DESC, v.r, p.k) AS r FROM v JOIN p ON p.word = v.word AND p.i = v.i + 1) WHERE r <= {{width}}),
-"""
-#: A path for each word, the first by an order; the empty word has none.
-ONE = """e AS (SELECT word, path, {score} AS score, row_number() OVER (PARTITION BY word ORDER BY {order}) AS first FROM v WHERE i = length(word))
-SELECT s.word, n, coalesce(path, '') AS text, round(coalesce(score, 0.0), 6) AS score FROM s LEFT JOIN e ON e.word = s.word AND first = 1"""
-ENDED = "score + " + BIGRAM.format(u=77, prev="u")
-
-
-@query(PATHS + ONE.format(score="score", order="score DESC, k"))
-def d01_viterbi_words(spark, sf):
-    """All words of conversations, each once with its count."""
-    return _decoded(spark, sf, lambda a: D.viterbi(a, _bigram))
-
-
-@query(PATHS + ONE.format(score=ENDED, order=ENDED + " DESC, k"))
-def d02_viterbi_rescored(spark, sf):
-    def score(text: str, end: bool) -> float:
-        total = _bigram(None, text[:1])
-        for a, b in zip(text, text[1:], strict=False):
-            total += _bigram(a, b)
-        return total + _bigram(text[-1], "M") if end else total
-
-    return _decoded(spark, sf, lambda a: D.viterbi_rescored(a, score))
-
-
-@query(BEAMS.format(width=12) + ONE.format(score="score", order="r"))
-def d03_beam(spark, sf):
-    def best(a):
-        found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c))
-        return found[0] if found else ("", 0.0)
-
-    return _decoded(spark, sf, best)
-
-
-@query(BEAMS.format(width=3) + ONE.format(score="score", order="r DESC"))
-def t04_beam_top(spark, sf):
-    def third(a):
-        found = D.beam(a, lambda t: lambda c: _bigram(t[-1] if t else None, c), width=3)
-        return found[-1] if found else ("", 0.0)
-
-    return _decoded(spark, sf, third)
-
-
 @query("""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS word FROM conversations), s AS (SELECT word, count(*) AS n FROM w GROUP BY word),
 p AS (SELECT DISTINCT word, n, i, CASE WHEN substr(word, i, 1) BETWEEN 'a' AND 'z' THEN 97 + (ascii(substr(word, i, 1)) - 97 + k) % 26 ELSE unicode(substr(word, i, 1)) END AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM s), range(3) u(k))
 SELECT a.word, a.n, a.i, count(*) AS pairs, min(abs(a.c - b.c)) AS nearest FROM p a JOIN p b ON a.word = b.word AND b.i = a.i + 1 GROUP BY 1, 2, 3""")
 def j15_word_transitions(spark, sf):
     """Each layer of every word with the next one: at most nine pairs of an array, no join."""
-    w = _word_layers(spark, sf).where("size(layers) > 1")
+    w = word_layers(spark, sf).where("size(layers) > 1")
     i = w.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("layers") - 1), lambda k: F.struct(F.element_at("layers", k).alias("a"), F.element_at("layers", k + 1).alias("b")))).alias("i", "two"))
     pairs = F.flatten(F.transform("two.a", lambda x: F.transform("two.b", lambda y: F.abs(F.ascii(x) - F.ascii(y)))))
     return i.select("word", "n", (F.col("i") + 1).cast("bigint").alias("i"), F.size(pairs).cast("bigint").alias("pairs"), F.array_min(pairs).cast("bigint").alias("nearest"))
