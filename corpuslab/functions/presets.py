@@ -88,3 +88,32 @@ COMPARED = 9
 DICTIONARY_SOURCES, DECODER_SOURCES = (0, 1), (8, 9)
 RESERVED_IDS = ("<pad>", "<unk>", "<bos>")
 Z_95, Z_POWER_80 = 1.959963984540054, 0.8416212335729143
+
+# Names of subsets of cases and who belongs to them, as reports have them.
+SUBSETS = {
+    "clause/full": "level = 'clause' AND style = 'full'",
+    "clause/full/context": "level = 'clause' AND style = 'full' AND has_context",
+    "clause/full/none": "level = 'clause' AND style = 'full' AND NOT has_context",
+    "clause/full/context-stripped": "level = 'clause' AND style = 'full' AND stripped",
+    "word/full": "level = 'word' AND style = 'full'",
+    "word/full/context": "level = 'word' AND style = 'full' AND has_context",
+    "word/full/none": "level = 'word' AND style = 'full' AND NOT has_context",
+    "word/full/context-stripped": "level = 'word' AND style = 'full' AND stripped",
+    "word/initials": "level = 'word' AND style = 'initials'",
+    "word/initials/context": "level = 'word' AND style = 'initials' AND has_context",
+    "word/initials/none": "level = 'word' AND style = 'initials' AND NOT has_context",
+    "word/initials/context-stripped": "level = 'word' AND style = 'initials' AND stripped",
+    "word/mixed": "level = 'word' AND style = 'mixed'",
+    "word/mixed/context": "level = 'word' AND style = 'mixed' AND has_context",
+    "word/mixed/none": "level = 'word' AND style = 'mixed' AND NOT has_context",
+    "word/mixed/context-stripped": "level = 'word' AND style = 'mixed' AND stripped",
+    "clause/full/gov": "level = 'clause' AND origin = 'gov'",
+    "clause/full/gov/context-stripped": "level = 'clause' AND origin = 'gov' AND stripped",
+    "clause/full/dialogue": "level = 'clause' AND origin <> 'gov'",
+    "clause/full/dialogue/context": "level = 'clause' AND origin <> 'gov' AND has_context",
+    "clause/full/dialogue/context-stripped": "level = 'clause' AND origin <> 'gov' AND stripped",
+    "clause/full/unseen": "level = 'clause' AND NOT seen",
+    "clause/full/ta": "level = 'clause' AND swap",
+    "clause/full/ta/context": "level = 'clause' AND swap AND has_context",
+    "clause/full/ta/none": "level = 'clause' AND swap AND NOT has_context",
+}

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpuslab.functions import presets as P
 
@@ -61,11 +63,32 @@ def is_prose(text: Column, letters: str = P.PROSE_LETTERS, sample: int = P.PROSE
     return (dense >= least) & (own >= share * dense) & F.rlike(head, F.lit(f"[{letters}]{{{run},}}"))
 
 
-def strip_templates(text: Column) -> Column:
-    """Templates become a space, innermost first, however deep they are nested. A round removes a level; pairs of braces
-    bound the levels, so there are as many rounds as that at most, and nothing is left to change after the last."""
-    deepest = F.least(F.size(F.split(text, "\\{\\{")), F.size(F.split(text, "\\}\\}"))) - 1
-    return F.when(deepest <= 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))), text, lambda t, _: F.when(F.contains(t, F.lit("{{")), F.regexp_replace(t, P.WIKI_TEMPLATE, " ")).otherwise(t)))
+def without_templates(text: str) -> str:
+    """Templates become a space, innermost first, however deep they are nested, in one pass. A template is a pair of
+    opening signs, what has no brace, and a pair of closing ones. What ends a template takes out all from its beginning on,
+    so that the one around it finds a space; braces that are left over stay."""
+    if "{{" not in text or "}}" not in text:
+        return text
+    out: list[str] = []
+    braces: list[int] = []  # places in ``out`` of braces that no template took
+    for piece in re.split("([{}])", text):
+        if piece in ("{", "}"):
+            braces.append(len(out))
+            out.append(piece)
+            if piece == "}" and len(braces) > 3:
+                a, b, c, d = braces[-4:]
+                if b == a + 1 and d == c + 1 and out[a] == out[b] == "{" and out[c] == "}":
+                    del out[a:], braces[-4:]
+                    out.append(" ")
+        elif piece:
+            out.append(piece)
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def strip_templates(texts: pd.Series) -> pd.Series:
+    """:func:`without_templates` of each text; null stays null."""
+    return texts.map(without_templates, na_action="ignore")
 
 
 def strip_wikitext(raw: Column) -> Column:

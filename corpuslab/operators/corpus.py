@@ -65,27 +65,15 @@ def islands(rows: DataFrame, keep: Column, key: str, order: str) -> DataFrame:
 
 def vocabulary(texts: DataFrame, text: str, size: int, token: Column | None = None) -> DataFrame:
     """(token_id, token, n): reserved ids, then the most frequent tokens, ties in code-point order."""
-    # Tokens are counted within a text first, so that a row leaves it for each different token and not for each.
-    one = X.let(token if token is not None else X.chars(F.col(text)), counted)
-    counts = texts.select(F.explode(one).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.sum("x.n").alias("n"))
+    # Groups are few, and each task adds up its own before any row is shuffled.
+    one = token if token is not None else X.chars(F.col(text))
+    counts = texts.select(F.explode(one).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size - len(RESERVED_IDS))
     ranked = top.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + len(RESERVED_IDS) - 1)
     reserved = texts.sparkSession.createDataFrame([(i, t, 0) for i, t in enumerate(RESERVED_IDS)], "token_id int, token string, n long")
     return reserved.unionByName(ranked.select("token_id", "token", "n"))
 
 
-def counted(tokens: Column) -> Column:
-    """(token, n) for the different tokens of an array: runs of equal ones in sorted order, by where they begin."""
-    order = F.array_sort(tokens)
-
-    def runs(a: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.get(a, i - 1) != F.get(a, i - 2)))
-        return X.let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(a, i - 1).alias("token"), (F.coalesce(F.get(b, k + 1), F.size(a) + 1) - i).cast("bigint").alias("n"))))
-
-    none = F.array().cast("array<struct<token:string,n:bigint>>")
-    return F.when(F.size(order) > 0, X.let(order, runs)).otherwise(none)
-
-
 def ngrams(rows: DataFrame, tokens: Column, n: int) -> DataFrame:
     """n-grams of token arrays with their counts; a group never crosses a row."""
     grams = X.let(tokens, lambda t: X.windows(t, n, " "))

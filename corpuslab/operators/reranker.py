@@ -77,8 +77,9 @@ class CharTransformer:
 
     def score(self, context: str, candidates: list[str]) -> list[float]:
         """Mean log-probability of each candidate's characters after BOS and the tail of the context that leaves room;
-        minus infinity for an empty one. All candidates are one padded batch."""
-        bodies = [self.encode(c) for c in candidates]
+        minus infinity for an empty one. What lies beyond the window of the model has no score: of a candidate that is longer
+        only the characters that fit after BOS count. All candidates are one padded batch."""
+        bodies = [self.encode(c[: self.context]) for c in candidates]
         longest = max((len(b) for b in bodies), default=0)
         room = max(0, self.context - 1 - longest)
         prefix = [BOS, *self.encode(context)[max(0, len(context) - room) :]] if room else [BOS]

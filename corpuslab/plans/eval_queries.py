@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslab.functions import presets as P
 from corpuslab.functions import stats as A
 from corpuslab.operators import ordered as O
 from corpuslab.operators import pools as D
@@ -147,30 +148,13 @@ TRAITS = {
 }
 
 
-def _subsets() -> dict[str, str]:
-    """Overlapping subsets of cases and who belongs to them: each level and style, with, without and stripped of a
-    context; whole clauses also by origin, by being seen elsewhere, and by a swap in the pool."""
-    out = {}
-    for level, style in (("clause", "full"), ("word", "full"), ("word", "initials"), ("word", "mixed")):
-        own = f"level = '{level}' AND style = '{style}'"
-        out |= {f"{level}/{style}": own, f"{level}/{style}/context": f"{own} AND has_context", f"{level}/{style}/none": f"{own} AND NOT has_context", f"{level}/{style}/context-stripped": f"{own} AND stripped"}
-    for name, more in (("gov", "origin = 'gov'"), ("dialogue", "origin <> 'gov'"), ("unseen", "NOT seen"), ("ta", "swap")):
-        out[f"clause/full/{name}"] = f"level = 'clause' AND {more}"
-        if name in ("dialogue", "ta"):
-            out[f"clause/full/{name}/context"] = f"level = 'clause' AND {more} AND has_context"
-        if name in ("gov", "dialogue"):
-            out[f"clause/full/{name}/context-stripped"] = f"level = 'clause' AND {more} AND stripped"
-    return out | {"clause/full/ta/none": "level = 'clause' AND swap AND NOT has_context"}
-
-
-SUBSETS = _subsets()
-IN_SUBSETS = LONG.rstrip() + ", k AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in TRAITS.items()) + " FROM t), u AS (SELECT id, scorer, hit, unnest(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{k}' END" for k, p in SUBSETS.items()) + "], lambda x: x IS NOT NULL)) AS subset FROM k)\n"
+IN_SUBSETS = LONG.rstrip() + ", k AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in TRAITS.items()) + " FROM t), u AS (SELECT id, scorer, hit, unnest(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{k}' END" for k, p in P.SUBSETS.items()) + "], lambda x: x IS NOT NULL)) AS subset FROM k)\n"
 
 
 def _in_subsets(spark, sf):
     """(id, scorer, hit, subset): a row for each subset of a case."""
     k = _long(spark, sf).select("*", *[F.expr(e).alias(n) for n, e in TRAITS.items()])
-    return k.select("id", "scorer", "hit", F.explode(F.array_compact(F.array(*[F.when(F.expr(p), n) for n, p in SUBSETS.items()]))).alias("subset"))
+    return k.select("id", "scorer", "hit", F.explode(F.array_compact(F.array(*[F.when(F.expr(p), n) for n, p in P.SUBSETS.items()]))).alias("subset"))
 
 
 @query(IN_SUBSETS + "SELECT subset, scorer, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM u GROUP BY 1, 2")

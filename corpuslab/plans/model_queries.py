@@ -58,7 +58,7 @@ def m05_quantize(spark, sf):
     return q.select("vec_id", F.posexplode("q.values").alias("pos", "v"), F.col("q.scale").alias("s")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("v").cast("bigint").alias("q"), F.round("s", 8).alias("scale"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_brand AS page, left(p_name, CAST(k AS BIGINT)) AS prefix, k FROM part, range(1, 100) t(k) WHERE k <= length(p_name)),
+@query("""WITH p AS (SELECT DISTINCT p_brand AS page, left(p_name, k) AS prefix, k FROM (SELECT p_brand, p_name, unnest(range(1, length(p_name) + 1)) AS k FROM part)),
 n AS (SELECT p_brand AS page, CAST(sum(length(p_name)) AS BIGINT) AS all_positions FROM part GROUP BY 1)
 SELECT page, all_positions, count(*) AS distinct_prefixes FROM p JOIN n USING (page) GROUP BY 1, 2""")
 def m07_prefix_tree(spark, sf):

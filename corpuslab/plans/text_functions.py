@@ -194,7 +194,7 @@ def f16_readings_by_word(spark, sf):
 
 
 @query("""WITH RECURSIVE bw AS (SELECT unnest(string_split_regex(lower(text), '[ \\n]')) AS w FROM benchmark),
-t AS MATERIALIZED (SELECT substr(w, i, l) AS piece, count(*) AS n FROM bw, range(1, 65) a(i), range(1, 5) b(l) WHERE i + l - 1 <= length(w) GROUP BY 1),
+t AS MATERIALIZED (SELECT substr(w, i, l) AS piece, count(*) AS n FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM bw) a, range(1, 5) b(l) WHERE i + l - 1 <= length(w) GROUP BY 1),
 tot AS MATERIALIZED (SELECT sum(n) AS total FROM t),
 cw AS MATERIALIZED (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \\n]')) AS w FROM conversations),
 s AS (SELECT w, e, l, substr(w, CAST(e - l + 1 AS BIGINT), l) AS piece FROM (SELECT w, unnest(range(1, length(w) + 1)) AS e FROM cw) x, range(1, 5) b(l) WHERE l <= e),
@@ -207,10 +207,10 @@ p AS MATERIALIZED (SELECT w AS word, best[e + 1].segs AS a FROM r WHERE e = leng
 g AS (SELECT word, a, list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: [a[i], CASE WHEN i < len(a) THEN a[i] || a[i + 1] END])), lambda x: x IS NOT NULL AND length(x) BETWEEN 2 AND 4) AS wins FROM p)
 SELECT word, array_to_string(a, ' ') AS pieces, list_sort(list_transform(range(len(wins)), lambda i: {'h': md5(word || ':' || i), 'x': wins[i + 1]}))[1].x AS win FROM g""")
 def f17_segmented_windows(spark, sf):
-    """Each distinct word of conversations parted by the shares of strings of up to four letters in the benchmark's words
-    (their first 64 letters), and one window of a piece or two."""
+    """Each distinct word of conversations parted by the shares of strings of up to four letters in the benchmark's words,
+    and one window of a piece or two."""
     split = lambda name: table(spark, sf, name).select(F.explode(F.split(F.lower("text"), "[ \\n]")).alias("w"))
-    grams = split("benchmark").select(F.explode(F.expr("flatten(transform(filter(sequence(1, 64), i -> i <= length(w)), i -> transform(filter(sequence(1, 4), l -> i + l - 1 <= length(w)), l -> substr(w, i, l))))")).alias("word"))
+    grams = split("benchmark").where("w <> ''").select(F.explode(F.expr("flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, least(4, length(w) - i + 1)), l -> substr(w, i, l))))")).alias("word"))
     out = W.segmented(split("conversations").select(F.col("w").alias("word")).distinct(), "word", grams.groupBy("word").agg(F.count("*").alias("n")), "found")
     return out.select("word", F.array_join("found", " ").alias("pieces"), W.picked(W.word_windows(F.col("found")), F.col("word")).alias("win"))
 
@@ -329,7 +329,7 @@ def f31_ngram_buckets(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.concat(X.ngram_buckets(F.col("text"), 2, 4096), X.ngram_buckets(F.col("text"), 3, 4096))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT p_partkey, left(p_name, CAST(k AS BIGINT)) AS page, k FROM part, range(1, 100) t(k) WHERE k <= length(p_name))
+@query("""WITH p AS (SELECT p_partkey, left(p_name, k) AS page, k FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS k FROM part))
 SELECT page, min(p_partkey) AS first_part, max(k) AS n FROM p GROUP BY page""")
 def f32_keystroke_pages(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.explode(X.prefixes(F.col("p_name"))).alias("page"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,12 +26,24 @@ def _numbered(digits: Column, base: int) -> Column:
     return F.when(F.length(digits) > 8, "\ufffd").when(n < 160, low[n.cast("string")]).when(lost, "\ufffd").when(none, "").otherwise(wide)
 
 
+#: Names are looked up in one of so many maps, for a map is searched one entry after the other.
+MAPS = 128
+
+
+def _names(name: Column) -> Column:
+    """What a name stands for, or null."""
+    maps: list[dict[str, str]] = [{} for _ in range(MAPS)]
+    for n, value in html.entities.html5.items():
+        maps[zlib.crc32(n.encode()) % MAPS][n] = value
+    own = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return F.get(own, (F.crc32(name.cast("binary")) % MAPS).cast("int"))[name]
+
+
 def _named(name: Column) -> Column:
-    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
     bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
     head = F.regexp_extract(name, "^(?:" + "|".join(bare) + ")", 0)
     rest = F.substring(name, F.length(head) + 1, F.length(name))
-    return F.coalesce(names[name], F.when(head != "", F.concat(names[head], rest)), F.concat(F.lit("&"), name))
+    return F.coalesce(_names(name), F.when(head != "", F.concat(_names(head), rest)), F.concat(F.lit("&"), name))
 
 
 def unescape(text: Column) -> Column:
@@ -45,7 +58,8 @@ def unescape(text: Column) -> Column:
         return F.when(F.rlike(body, F.lit("^#[xX]")), _numbered(digits, 16)).when(F.startswith(body, F.lit("#")), _numbered(digits, 10)).otherwise(_named(body))
 
     rest = F.zip_with(found, F.slice(parts, 2, F.size(found)), lambda e, p: F.concat(resolved(e), p))
-    return F.when(F.size(found) > 0, F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+    return F.when(F.contains(text, F.lit("&")) & (F.size(found) > 0), whole).otherwise(text)
 
 
 def paragraphs(html: Column) -> Column:
@@ -56,14 +70,16 @@ def paragraphs(html: Column) -> Column:
 
 def balanced_div(html: Column, opening: str) -> Column:
     """What stands between an opening division and the end that closes it, whatever divisions are nested; empty without
-    it. The text is split at divisions, and depth is a running sum."""
+    it. The text is split before divisions, depth is a running sum, and so is the length of what lies inside; if nothing closes
+    the division, it reaches to the end."""
     body = F.substring(html, F.instr(html, opening) + len(opening), F.length(html))
-    parts = F.split(F.regexp_replace(body, "(?i)(</?div\\b)", "\u0001$1"), "\u0001")
-    zero = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+    parts = F.split(body, "(?i)(?=</?div\\b)")
+    zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
 
     def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(F.rlike(p, F.lit("^(?i)</div\\b")), -1).when(F.rlike(p, F.lit("^(?i)<div\\b")), 1).otherwise(0)
-        depth = F.when(acc["depth"] == 0, 0).otherwise(depth)
-        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], p)).otherwise(acc["out"]).alias("out"))
+        here = acc["depth"] + F.when(F.rlike(p, F.lit("^(?i)</div\\b")), -1).when(F.rlike(p, F.lit("^(?i)<div\\b")), 1).otherwise(0)
+        depth = F.when(acc["depth"] == 0, 0).otherwise(here)
+        return F.struct(depth.alias("depth"), (acc["size"] + F.when(depth > 0, F.length(p)).otherwise(0)).alias("size"))
 
-    return F.when(F.instr(html, opening) > 0, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise("")
+    inside = F.aggregate(parts, zero, step, lambda acc: acc["size"])
+    return F.when(F.instr(html, opening) > 0, F.substring(body, F.lit(1), inside)).otherwise("")

@@ -1,4 +1,8 @@
+import html
 import math
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +11,7 @@ from corpuslab.functions import presets as P
 from corpuslab.functions import stats as A
 from corpuslab.functions import tensor as M
 from corpuslab.functions import text as X
+from corpuslab.sources import pages
 
 
 def one(spark, text, column):
@@ -128,3 +133,38 @@ def test_tokens_are_counted_within_a_text(spark):
     rows = [("abca",), ("",), (None,), ("aa\U0001f600",)]
     got = vocabulary(spark.createDataFrame(rows, "t string"), "t", 10).where("token_id > 2").collect()
     assert [(r["token"], r["n"]) for r in sorted(got, key=lambda r: r["token_id"])] == [("a", 4), ("b", 1), ("c", 1), ("\U0001f600", 1)]
+
+
+def plain_templates(text):
+    """Rounds of replacement until nothing changes."""
+    while (after := re.sub(r"\{\{[^{}]*\}\}", " ", text)) != text:
+        text = after
+    return text
+
+
+def test_templates_go_in_one_pass(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("{{{}}}}ab\n") for _ in range(r.randrange(40))) for _ in range(20_000)]
+    texts += ["", "{{{x}}}", "{{a{b}}}", "{{a{{b}}c}} d", "}}{{", "{{}}", "{ {a} }", "{{{{a}}}}", "{{{a}}b}}"]
+    assert [X.without_templates(t) for t in texts] == [plain_templates(t) for t in texts]
+    deep = "{{" * 100_000 + "x" + "}}" * 100_000
+    began = time.perf_counter()
+    assert X.without_templates(deep) == " " and X.without_templates("}}" * 250_000 + "{{" * 250_000) == "}}" * 250_000 + "{{" * 250_000
+    assert time.perf_counter() - began < 4
+    got = spark.createDataFrame([(1, "a {{b}} c"), (2, None), (3, "{{")], "id int, t string").select("id", X.strip_templates(F.col("t")).alias("t")).collect()
+    assert {x["id"]: x["t"] for x in got} == {1: "a   c", 2: None, 3: "{{"}
+
+
+def test_divisions_and_references(spark):
+    div = '<div class="ad">'
+    cases = {
+        f"x{div}a\x01b</div>c": "a\x01b", f"{div}a<div>b</div>c</div>d</div>": "a<div>b</div>c", f"{div}<DIV>𠀀</DIV>y</Div>z": "<DIV>𠀀</DIV>y", f"{div}open <div>": "open <div>",
+        "none": "", f"{div}</div>{div}second</div>": "", f"{div}<divider>k</div>": "<divider>k", f"{div}": "",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "h string").select("h", pages.balanced_div(F.col("h"), div).alias("d")).collect()
+    assert {x["h"]: x["d"] for x in got} == cases
+    many = f"{div}" + "<div>a</div>" * 20_000 + "</div>tail"
+    assert spark.createDataFrame([(many,)], "h string").select(F.length(pages.balanced_div(F.col("h"), div)).alias("n")).first()["n"] == 12 * 20_000
+    names = [f"a&{n} b" for n in html.entities.html5] + ["&notit;", "&amp", "&AMP;&lt;", "&#x41;&#65;&#0;&#128;", "&unknown;", "no reference", "&"]
+    back = spark.createDataFrame([(n,) for n in names], "n string").select("n", pages.unescape(F.col("n")).alias("u")).collect()
+    assert all(x["u"] == html.unescape(x["n"]) for x in back)

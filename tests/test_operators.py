@@ -226,3 +226,14 @@ def test_segmentation_is_cheapest(spark):
     for r in got:
         want = min(sum(map(price, p)) for p in parts(r["t"]))
         assert "".join(r["pieces"]) == r["t"] and sum(map(price, r["pieces"])) == want
+
+
+def test_candidates_longer_than_the_model(spark):
+    """What lies beyond the window of the model isn't scored."""
+    from corpuslab.operators.reranker import CharTransformer, score_candidates
+
+    model = CharTransformer.random(["<pad>", "<unk>", "<bos>", *"abc"])
+    long = "abc" * 20
+    assert model.score("context", [long, "a"])[0] == pytest.approx(model.score("", [long[:48]])[0]) and model.score("", [long * 9]) == model.score("", [long[:48]])
+    got = score_candidates(spark.createDataFrame([(1, "c", [long, "", "ab"])], "id int, c string, k array<string>"), model, "id", "c", "k").first()["scores"]
+    assert len(got) == 3 and got[1] == float("-inf")
