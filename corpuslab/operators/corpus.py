@@ -64,10 +64,11 @@ def islands(rows: DataFrame, keep: Column, key: str, order: str) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, text: str, size: int, token: Column | None = None) -> DataFrame:
-    """(token_id, token, n): reserved ids, then the most frequent tokens, ties in code-point order."""
+    """(token_id, token, n): reserved ids, then the most frequent tokens (characters, if none are given; an empty one isn't
+    a token), ties in code-point order."""
     # Groups are few, and each task adds up its own before any row is shuffled.
-    one = token if token is not None else X.chars(F.col(text))
-    counts = texts.select(F.explode(one).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    one = token if token is not None else F.split(text, "")
+    counts = texts.select(F.explode(one).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size - len(RESERVED_IDS))
     ranked = top.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + len(RESERVED_IDS) - 1)
     reserved = texts.sparkSession.createDataFrame([(i, t, 0) for i, t in enumerate(RESERVED_IDS)], "token_id int, token string, n long")
