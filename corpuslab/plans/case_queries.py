@@ -9,7 +9,9 @@ from corpuslab.functions import text as X
 from corpuslab.operators import corpus as C
 from corpuslab.operators import ordered as O
 from corpuslab.operators import overlap as V
+from corpuslab.operators import overlap_filter as OF
 from corpuslab.operators import sampling as S
+from corpuslab.operators.prefix_join import beginnings
 from corpuslab.plans.text_functions import LINES
 from corpuslab.registry import query
 from corpuslab.sources import table
@@ -21,13 +23,6 @@ v AS (SELECT item_id, unnest(string_split_regex(text, '[ \\n]')) AS word, unnest
 b8 AS (SELECT item_id, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g, count(*) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM v)"""
 
 
-def _grams8(df, key):
-    """Windows of eight words as 128-bit hashes: 16 bytes travel for each, not the words."""
-    two = lambda g: F.struct(F.xxhash64(F.lit(1), g).alias("h1"), F.xxhash64(F.lit(2), g).alias("h2"))
-    grams = X.let(F.split("text", "[ \\n]"), lambda w: F.transform(X.windows(w, 8, " "), two))
-    return df.select(key, F.explode(grams).alias("g")).select(key, "g.h1", "g.h2")
-
-
 def _lines(spark, sf, name, key):
     return C.lines_of(table(spark, sf, name), key)
 
@@ -82,13 +77,13 @@ def j04_coverage(spark, sf):
 
 @query(f"WITH {WORDS8} SELECT DISTINCT doc_id FROM d8 WHERE n = 8 AND g IN (SELECT g FROM b8 WHERE n = 8)")
 def j05_window_members(spark, sf):
-    probe = _grams8(table(spark, sf, "benchmark"), "item_id")
-    return _grams8(table(spark, sf, "documents"), "doc_id").join(probe.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id").distinct()
+    """Documents that share eight words in a row with the benchmark."""
+    return OF.sharing(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"))
 
 
 @query(LINES + f", {BENCH_LINES} SELECT DISTINCT doc_id FROM l WHERE line IN (SELECT line FROM b)")
 def j05_exact_members(spark, sf):
-    return V.members(table(spark, sf, "documents"), F.split("text", "\n"), _lines(spark, sf, "benchmark", "item_id"), "line", "doc_id")
+    return OF.sharing(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), OF.LINES)
 
 
 @query("SELECT d.doc_id, d.source, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x JOIN labels l USING (doc_id) WHERE l.toxic = 1 AND x.doc_id = d.doc_id AND x.source = d.source AND x.lang = d.lang)")
@@ -110,18 +105,16 @@ h AS (SELECT item_id, 'exact' AS kind, doc_id FROM b JOIN l USING (line) UNION S
 SELECT item_id, kind, count(DISTINCT doc_id) AS docs FROM h GROUP BY 1, 2""")
 def j08_inverted_index(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    exact = _lines(spark, sf, "benchmark", "item_id").join(C.lines_of(d, "doc_id").select("doc_id", "line"), "line").select("item_id", F.lit("exact").alias("kind"), "doc_id")
-    win = _grams8(b, "item_id").distinct().join(_grams8(d, "doc_id"), ["h1", "h2"]).select("item_id", F.lit("window8").alias("kind"), "doc_id")
-    return exact.unionByName(win).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("docs"))
+    found = [OF.hits(d, "doc_id", b, "item_id", k).select("item_id", F.lit(name).alias("kind")) for name, k in (("exact", OF.LINES), ("window8", OF.Windows()))]
+    return found[0].unionByName(found[1]).groupBy("item_id", "kind").agg(F.count("*").alias("docs"))
 
 
 @query(LINES + f""", {BENCH_LINES}, lp AS (SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM l),
 bp AS (SELECT item_id, line, lag(line) OVER (PARTITION BY item_id ORDER BY pos) AS prev FROM b)
 SELECT item_id, count(DISTINCT doc_id) AS docs FROM bp JOIN lp USING (line, prev) GROUP BY item_id""")
 def j09_adjacent_pairs(spark, sf):
-    d = V.with_previous(_lines(spark, sf, "documents", "doc_id"), "doc_id", "pos", "line").where("previous is not null").select("doc_id", "line", "previous")
-    b = V.with_previous(_lines(spark, sf, "benchmark", "item_id"), "item_id", "pos", "line").where("previous is not null").select("item_id", "line", "previous")
-    return b.join(d, ["line", "previous"]).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    """A line and the one before it are a window of two lines."""
+    return OF.hits(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", OF.Windows("\n", 2, "\n")).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
 @query("SELECT p_brand AS reading, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS chars FROM part GROUP BY p_brand")
@@ -133,8 +126,7 @@ def j10_reading_table(spark, sf):
 def j11_prefix_join(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     keys = p.select(F.substring_index("p_name", " ", 1).alias("k")).distinct()
-    pre = p.select("p_partkey", F.explode(X.prefixes(F.col("p_name"))).alias("k"))
-    return pre.join(keys, "k").groupBy("k").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+    return beginnings(p, "p_name", keys, "k").groupBy("k").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
 
 
 @query("SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON c_nationkey = n_nationkey")
@@ -155,10 +147,13 @@ def j13_teacher_scores(spark, sf):
 h AS (SELECT item_id, 'documents' AS corpus FROM b JOIN l USING (line) UNION SELECT item_id, 'conversations' FROM b JOIN c USING (line))
 SELECT item_id, coalesce(seen, '') AS seen_in FROM benchmark LEFT JOIN (SELECT item_id, string_agg(corpus, ',' ORDER BY corpus) AS seen FROM h GROUP BY item_id) USING (item_id)""")
 def j14_seen_in(spark, sf):
-    b = _lines(spark, sf, "benchmark", "item_id")
+    b = table(spark, sf, "benchmark")
+    bits = OF.filter_of(b, "text", OF.LINES)
+    lines = OF.possible(b, "item_id", "text", OF.LINES)
     hits = None
     for name, key in (("documents", "doc_id"), ("conversations", "conv_id")):
-        h = b.join(_lines(spark, sf, name, key).select("line"), "line", "left_semi").select("item_id", F.lit(name).alias("corpus")).distinct()
+        seen = OF.possible(table(spark, sf, name), key, "text", OF.LINES, bits).select("window")
+        h = lines.join(seen, "window", "left_semi").select("item_id", F.lit(name).alias("corpus")).distinct()
         hits = h if hits is None else hits.unionByName(h)
     out = table(spark, sf, "benchmark").select("item_id").join(V.seen_in(hits, "item_id", "corpus"), "item_id", "left")
     return out.select("item_id", F.coalesce("seen_in", F.lit("")).alias("seen_in"))
