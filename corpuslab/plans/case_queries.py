@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
+from corpuslab.operators import contexts as K
 from corpuslab.operators import corpus as C
 from corpuslab.operators import ordered as O
 from corpuslab.operators import overlap as V
@@ -175,8 +176,20 @@ def w06_per_dialogue_cap(spark, sf):
 
 @query("""SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS own FROM conversations""")
 def w07_own_history(spark, sf):
-    w = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "\n").alias("own"))
+    """Cut for each turn out of the one text of its speaker in the conversation."""
+    rows = table(spark, sf, "conversations").select("conv_id", "role", "turn", "text")
+    own = K.whole_contexts(K.offsets(rows, ["conv_id", "role"], ["turn"]), ["conv_id", "role"], ["turn"])
+    return own.select("conv_id", "turn", F.col("before").alias("own"))
+
+
+@query("""WITH p AS (SELECT conv_id, role, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations),
+w AS (SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id, role)
+SELECT conv_id, turn, right(left(whole, greatest(start - 1, 0)), 200) AS own FROM p JOIN w USING (conv_id, role)""")
+def w07_own_tails(spark, sf):
+    """The last 200 characters of what the same speaker said before."""
+    rows = table(spark, sf, "conversations").select("conv_id", "role", "turn", "text")
+    own = K.tails(K.offsets(rows, ["conv_id", "role"], ["turn"]), ["conv_id", "role"], ["turn"], 200)
+    return own.select("conv_id", "turn", F.col("before").alias("own"))
 
 
 @query("""SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,

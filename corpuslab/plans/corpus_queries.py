@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.functions.presets import LATIN
+from corpuslab.operators import contexts as K
 from corpuslab.operators import corpus as C
 from corpuslab.plans.text_functions import LINES
 from corpuslab.registry import query
@@ -150,8 +151,35 @@ def w03_islands(spark, sf):
 
 @query("SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM conversations")
 def w04_text_before(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "\n").alias("before"))
+    """Cut for each turn out of its conversation's one text."""
+    return K.whole_contexts(_placed(spark, sf), ["conv_id"], ["turn"])
+
+
+def _placed(spark, sf):
+    return K.offsets(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn"])
+
+
+PLACED = """WITH p AS (SELECT conv_id, turn, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations),
+w AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id)
+"""
+
+
+@query(PLACED + 'SELECT conv_id, turn, start, start + length(text) AS "end" FROM p')
+def w04_context_offsets(spark, sf):
+    """Where each turn's text lies in its conversation's: what comes before it ends one before its start."""
+    return _placed(spark, sf).select("conv_id", "turn", "start", "end")
+
+
+@query(PLACED + "SELECT conv_id, block, substr(whole, block * 4096 + 1, 4096) AS text FROM (SELECT conv_id, whole, unnest(range(0, CAST(ceil(greatest(length(whole), 1) / 4096) AS BIGINT))) AS block FROM w)")
+def w04_context_blocks(spark, sf):
+    """Texts of conversations, once, in blocks of 4096 characters."""
+    return K.blocks(_placed(spark, sf), ["conv_id"])
+
+
+@query(PLACED + "SELECT conv_id, turn, right(left(whole, greatest(start - 1, 0)), 300) AS before FROM p JOIN w USING (conv_id)")
+def w04_context_tails(spark, sf):
+    """The last 300 characters before each turn, from the blocks they lie in."""
+    return K.tails(_placed(spark, sf), ["conv_id"], ["turn"], 300)
 
 
 @query(LINES + "SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS previous FROM l")
