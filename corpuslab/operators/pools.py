@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import presets as P
+from corpuslab.functions.stats import mcnemar
 
 
 def with_facts(c: Column, leader: Column) -> Column:
@@ -62,3 +63,18 @@ def hybrid_grid(rows: DataFrame, rank_weights: Sequence[float], dict_weights: Se
     s = F.round(F.col(score) - F.col("g.r") * F.col(index) + F.col("g.d") * F.col(is_dict).cast("int"), 9)
     best = flat.groupBy(key, "g").agg(F.max_by(gold, F.struct(s, -F.col(index))).alias("ok"))
     return best.groupBy(F.col("g.r").alias("rank_weight"), F.col("g.d").alias("dict_weight")).agg(F.count("*").alias("n"), F.count_if("ok").alias("hits"))
+
+
+def against_references(hits: DataFrame, references: Sequence[str]) -> DataFrame:
+    """(scorer, and for each reference r: vs_r_ref_only, vs_r_this_only, vs_r_p): in how many cases that both have (columns scorer,
+    id, hit) only one of the two hits, and McNemar's p; null against itself and where they share no case. There are few
+    references, so a case is met by a handful of rows."""
+    refs = hits.where(F.col("scorer").isin(*references)).select("id", F.col("scorer").alias("_ref"), F.col("hit").alias("_hit"))
+    both = hits.select("id", "scorer", "hit").join(refs, "id").where("scorer <> _ref")
+    counts = both.groupBy("scorer").pivot("_ref", list(references)).agg(F.count_if(F.col("_hit") & ~F.col("hit")).alias("ref_only"), F.count_if(F.col("hit") & ~F.col("_hit")).alias("this_only"), F.count("hit").alias("n"))
+    out = hits.select("scorer").distinct().join(counts, "scorer", "left")
+    columns = []
+    for r in references:
+        a, b, run = F.col(f"{r}_ref_only"), F.col(f"{r}_this_only"), F.col(f"{r}_n") > 0
+        columns += [F.when(run, a).alias(f"vs_{r}_ref_only"), F.when(run, b).alias(f"vs_{r}_this_only"), F.when(run, mcnemar(a, b)).alias(f"vs_{r}_p")]
+    return out.select("scorer", *columns)

@@ -180,6 +180,35 @@ def snk04_results_table(spark, sf):
     return out.select("scorer", "label", "group", "inputs", "subset", "hits", "n", F.round(F.col("hits") / F.col("n"), 4).alias("rate"), low.alias("wilson_low"), high.alias("wilson_high"), "timed_n", "decision_ms_p50", "decision_ms_p95", "weights_bytes")
 
 
+REFERENCES = ("engine", "d", "s")
+P_VALUE = """CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2)))
+ FROM unnest(range(least(a_only, b_only) + 1)) u(i))) END"""
+
+
+@query(LONG.rstrip() + f""", h AS (SELECT scorer, count(*) FILTER (WHERE hit)::DOUBLE AS h, count(*)::DOUBLE AS n FROM t GROUP BY 1),
+m AS (SELECT scorer, run, median(CAST((id * (run + 1)) % 97 AS DOUBLE)) AS ms FROM t, range(3) r(run) WHERE scorer <> 'engine' GROUP BY 1, 2),
+q AS (SELECT y.scorer, x.scorer AS ref, count(*) FILTER (WHERE x.hit AND NOT y.hit) AS a_only, count(*) FILTER (WHERE y.hit AND NOT x.hit) AS b_only FROM t x JOIN t y ON x.id = y.id AND x.scorer <> y.scorer GROUP BY 1, 2),
+w AS (SELECT scorer, ref, a_only, b_only, round({P_VALUE}, 6) AS p FROM q)
+SELECT h.scorer AS id, label, "group", inputs, CAST(h AS BIGINT) AS hits, CAST(n AS BIGINT) AS n, round(h / n, 4) AS rate, {WILSON.replace(" AS low", " AS wilson_low").replace(" AS high", " AS wilson_high")}, least_ms AS decision_ms_p50_min, most_ms AS decision_ms_p50_max, weights_bytes,
+ {", ".join(f"CAST({r}.a_only AS DOUBLE) AS vs_{r}_ref_only, CAST({r}.b_only AS DOUBLE) AS vs_{r}_this_only, {r}.p AS vs_{r}_p" for r in REFERENCES)}
+FROM h JOIN (VALUES {", ".join(map(str, SCORERS))}) k(scorer, label, "group", inputs, weights_bytes) ON k.scorer = h.scorer
+ LEFT JOIN (SELECT scorer, round(min(ms), 2) AS least_ms, round(max(ms), 2) AS most_ms FROM m GROUP BY scorer) z ON z.scorer = h.scorer
+ {" ".join(f"LEFT JOIN w {r} ON {r}.scorer = h.scorer AND {r}.ref = '{r}'" for r in REFERENCES)}""")
+def snk04_scorer_table(spark, sf):
+    """A row for each scorer in the 21 columns of a report: hits, the range of medians of repeated runs (of which the engine has
+    none; times are stand-ins from ids), and what it wins and loses against three references; blank where nothing was run."""
+    rows = _long(spark, sf).select("id", "scorer", "hit")
+    h = rows.groupBy("scorer").agg(A.hits(F.col("hit")).alias("hits"), F.count("*").alias("n"))
+    runs = rows.where("scorer <> 'engine'").select("scorer", "id", F.explode(F.array(*map(F.lit, range(3)))).alias("run")).withColumn("ms", (F.col("id") * (F.col("run") + 1)) % 97)
+    middle = O.at_ranks(runs, ["scorer", "run"], "ms", {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.ceil((n + 1) / 2)})
+    medians = middle.select("scorer", ((F.col("low") + F.col("high")) / 2).alias("ms")).groupBy("scorer").agg(F.round(F.min("ms"), 2).alias("decision_ms_p50_min"), F.round(F.max("ms"), 2).alias("decision_ms_p50_max"))
+    low, high = A.wilson(F.col("hits").cast("double"), F.col("n").cast("double"))
+    who = spark.createDataFrame(SCORERS, "scorer string, label string, group string, inputs string, weights_bytes int")
+    out = h.join(F.broadcast(who), "scorer").join(medians, "scorer", "left").join(D.against_references(rows, REFERENCES), "scorer")  # three rows
+    blocks = [F.round(c, 6).alias(c) if c.endswith("_p") else F.col(c).cast("double").alias(c) for r in REFERENCES for c in (f"vs_{r}_ref_only", f"vs_{r}_this_only", f"vs_{r}_p")]
+    return out.select(F.col("scorer").alias("id"), "label", "group", "inputs", "hits", "n", F.round(F.col("hits") / F.col("n"), 4).alias("rate"), low.alias("wilson_low"), high.alias("wilson_high"), "decision_ms_p50_min", "decision_ms_p50_max", "weights_bytes", *blocks)
+
+
 @query("SELECT o_orderpriority AS subset, bool_and(l_orderkey IS NOT NULL) AS run, count(*) AS n FROM (SELECT DISTINCT o_orderkey, o_orderpriority, l_orderkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1")
 def a14_subset_run(spark, sf):
     has = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("pick", F.lit(1))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+import random
+import re
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -66,33 +70,142 @@ def write_batch_once(path: str):
     return write
 
 
-def write_missing_chunks(rows: DataFrame, chunk: str, path: str) -> list:
-    """Writes the chunks (values of a column; null is one) that ``path`` lacks, each a job with a folder of its own, and gives their
-    values in order. A folder counts as done once its job has ended, so what a broken run left half written is written anew."""
+def write_missing_chunks(rows: DataFrame, chunk: str, path: str, work: Callable[[DataFrame], DataFrame] | None = None, tasks: int | None = None) -> int:
+    """Writes the chunks (values of a column; null is one) that ``path`` lacks, in one job, and says how many it wrote.
+
+    A chunk is dealt to one of ``tasks`` tasks (of the session's shuffles), which does ``work`` on it, if any is given (row by row or batch by
+    batch, without a shuffle of its own, and the chunk's column stays), and moves its file into place as a whole when it has
+    ended. So a chunk's folder stands for the chunk, a run that broke off has those that were ready, and the next one
+    works only on the others: they are told by a join with the folders' names. The empty text and null are one chunk, for
+    their folders have one name."""
     spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    values = sorted((r[0] for r in rows.select(chunk).distinct().collect()), key=lambda v: (v is not None, v))
-    written = []
-    for v in values:
-        folder = f"{path}/{chunk}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}"
-        mark = hadoop(f"{folder}/_SUCCESS")
-        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-            rows.where(F.col(chunk).eqNullSafe(F.lit(v))).drop(chunk).write.mode("overwrite").parquet(folder)
-            written.append(v)
-    return written
+    before = _chunks(spark, path, rows, chunk)
+    missing = rows if before is None else rows.join(before, F.col(chunk).eqNullSafe(F.col("_done")), "left_anti")
+    n = 0 if before is None else before.count()
+    dealt = missing.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), chunk)
+    made = work(dealt) if work else dealt
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(chunk).parquet(path)
+    after = _chunks(spark, path, rows, chunk)
+    return (after.count() if after is not None else 0) - n
+
+
+def _chunks(spark: SparkSession, path: str, rows: DataFrame, chunk: str) -> DataFrame | None:
+    """(_done): the chunks that have a folder with a file; None without any."""
+    try:
+        found = spark.read.schema(rows.select(chunk).schema).parquet(path).select(F.col(chunk).alias("_done")).distinct()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found
+
+
+class SharedProgress:
+    """A JSON object that several writers merge into, in a folder that they share.
+
+    Each state is a file of its own with a number. A writer reads the last, adds its keys, and puts the next number's file in
+    place, which must not be there yet; if another writer was first, it reads again. So no key is lost, and a reader sees
+    whole states only. The file is put by a hard link (on local and mounted folders) or, for other stores, by a rename that
+    doesn't replace, as HDFS has it; ``spark`` is needed for these alone. Old states are deleted but for the last ones.
+    """
+
+    KEPT, TRIES = 5, 200
+
+    def __init__(self, path: str, spark: SparkSession | None = None) -> None:
+        self.path, self.spark = path.removeprefix("file://").removeprefix("file:"), spark
+        if "://" in self.path and spark is None:
+            raise ValueError("a store other than a folder is reached through Spark")
+        if spark is None or "://" not in self.path:
+            Path(self.path).mkdir(parents=True, exist_ok=True)
+
+    def _hadoop(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _numbers(self) -> list[int]:
+        if "://" in self.path:
+            fs, p = self._hadoop()
+            names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        else:
+            names = os.listdir(self.path)
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"[0-9]+\.json", n))
+
+    def _text(self, number: int) -> str:
+        if "://" in self.path:
+            fs, p = self._hadoop(f"{number}.json")
+            stream = fs.open(p)
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        return Path(self.path, f"{number}.json").read_text()
+
+    def _put(self, number: int, text: str) -> bool:
+        """False if the number is taken."""
+        tmp = f".{uuid.uuid4().hex}.tmp"
+        if "://" in self.path:
+            fs, p = self._hadoop(tmp)
+            out = fs.create(p, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+            to = self._hadoop(f"{number}.json")[1]
+            done = not fs.exists(to) and fs.rename(p, to)
+            if not done:
+                fs.delete(p, False)
+            return done
+        own = Path(self.path, tmp)
+        own.write_text(text)
+        try:
+            os.link(own, Path(self.path, f"{number}.json"))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            own.unlink()
+
+    def read(self) -> dict[str, object]:
+        """The last state."""
+        return self._last()[1]
+
+    def _last(self) -> tuple[int, dict[str, object]]:
+        for _ in range(self.TRIES):
+            numbers = self._numbers()
+            try:
+                return (numbers[-1], json.loads(self._text(numbers[-1]))) if numbers else (0, {})
+            except FileNotFoundError:  # deleted meanwhile, so there is a later one
+                continue
+        raise OSError(f"{self.path}: states go faster than they can be read")
+
+    def merge(self, values: dict[str, object]) -> int:
+        """Adds keys, replacing those that are there, and gives the number of the state that has them."""
+        for attempt in range(self.TRIES):
+            number, held = self._last()
+            if self._put(number + 1, json.dumps(held | values)):
+                # a writer that was slow may have taken a number whose state was deleted; what counts is the last state
+                last, now = self._last()
+                if last == number + 1 or all(k in now and now[k] == json.loads(json.dumps(v)) for k, v in values.items()):
+                    for old in self._numbers()[: -self.KEPT]:
+                        self._delete(old)
+                    return number + 1
+            time.sleep(random.random() * min(0.5, 0.002 * 2**attempt))
+        raise OSError(f"{self.path}: no state could be put after {self.TRIES} attempts")
+
+    def _delete(self, number: int) -> None:
+        if "://" in self.path:
+            fs, p = self._hadoop(f"{number}.json")
+            fs.delete(p, False)
+        else:
+            Path(self.path, f"{number}.json").unlink(missing_ok=True)
 
 
 class ProgressFile(StreamingQueryListener):
-    """Keeps the last progress of each query in a JSON file, replaced as a whole."""
+    """Keeps the last progress of each query in a :class:`SharedProgress`; queries of several drivers may share one."""
 
-    def __init__(self, path: str) -> None:
-        self.path = Path(path)
+    def __init__(self, path: str, spark: SparkSession | None = None) -> None:
+        self.shared = SharedProgress(path, spark)
 
     def _put(self, key: str, value: object) -> None:
-        held = json.loads(self.path.read_text()) if self.path.exists() else {}
-        tmp = self.path.with_name(self.path.name + ".tmp")
-        tmp.write_text(json.dumps(held | {key: value}))
-        os.replace(tmp, self.path)
+        self.shared.merge({key: value})
 
     def onQueryStarted(self, event) -> None:
         self._put(str(event.id), {"state": "started"})

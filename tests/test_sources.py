@@ -1,14 +1,20 @@
 import bz2
 import gzip
+import html
 import http.server
 import json
+import multiprocessing
+import os
+import shutil
 import threading
+import time
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpuslab.sources import fetch, readers, tensors, writers
+from corpuslab.sources import fetch, multistream, readers, tensors, writers
 
 
 def test_wiki(spark, tmp_path):
@@ -143,11 +149,131 @@ def test_runs_of_text_bodies(spark, tmp_path):
 def test_finished_chunks_are_skipped(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 3 if i else None) for i in range(10)], "id long, chunk long")
     path = str(tmp_path / "out")
-    assert writers.write_missing_chunks(rows, "chunk", path) == [None, 0, 1, 2]
-    (tmp_path / "out" / "chunk=1" / "_SUCCESS").unlink()
-    assert writers.write_missing_chunks(rows, "chunk", path) == [1]
+    assert writers.write_missing_chunks(rows, "chunk", path) == 4
+    shutil.rmtree(tmp_path / "out" / "chunk=1")
+    assert writers.write_missing_chunks(rows, "chunk", path) == 1
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("id", "chunk").collect()) == sorted(tuple(r) for r in rows.collect())
-    assert writers.write_missing_chunks(rows.where("false"), "chunk", path) == []
+    assert writers.write_missing_chunks(rows, "chunk", path) == 0
+    assert writers.write_missing_chunks(rows.where("false"), "chunk", path) == 0
+
+
+def test_a_run_that_broke_off_is_resumed(spark, tmp_path):
+    """Chunks that were ready when another failed are there, whole, and aren't computed again."""
+    path, log = str(tmp_path / "out"), tmp_path / "log"
+    log.mkdir()
+    rows = spark.range(400).select("id", (F.col("id") % 8).cast("string").alias("chunk"))
+
+    def work(fails):
+        def run(batches):
+            for pdf in batches:
+                for c in set(pdf["chunk"]):
+                    if c == fails:
+                        time.sleep(6)
+                        raise ValueError("broken off")
+                    (log / f"{fails}-{c}").touch()
+                yield pdf.assign(twice=2 * pdf["id"])
+
+        return lambda df: df.mapInPandas(run, "id long, chunk string, twice long")
+
+    with pytest.raises(Exception, match="broken off"):
+        writers.write_missing_chunks(rows, "chunk", path, work("5"), 8)
+    ready = {p.name.removeprefix("chunk=") for p in (tmp_path / "out").glob("chunk=*")}
+    assert ready and "5" not in ready
+    missing = 8 - len(ready)
+    assert writers.write_missing_chunks(rows, "chunk", path, work(None), 8) == missing
+    assert {p.name for p in log.glob("None-*")} == {f"None-{c}" for c in "01234567" if c not in ready}
+    got = spark.read.schema("id long, twice long, chunk string").parquet(path).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, 2 * i, str(i % 8)) for i in range(400))
+
+
+def merged(path, own):
+    shared = writers.SharedProgress(path)
+    for i in range(25):
+        shared.merge({f"{own}-{i}": i})
+
+
+def test_progress_of_several_writers(tmp_path):
+    path = str(tmp_path / "progress")
+    workers = [multiprocessing.get_context("spawn").Process(target=merged, args=(path, w)) for w in "abc"]
+    for w in workers:
+        w.start()
+    for w in workers:
+        w.join(120)
+        assert w.exitcode == 0
+    shared = writers.SharedProgress(path)
+    assert shared.read() == {f"{w}-{i}": i for w in "abc" for i in range(25)}
+    assert len(list((tmp_path / "progress").iterdir())) <= shared.KEPT + 3 and shared.merge({"a-0": "new"}) >= 76 and shared.read()["a-0"] == "new"
+
+
+def test_a_slow_writer_loses_nothing(tmp_path, monkeypatch):
+    """It read a state whose successors were put, and deleted, before it put its own."""
+    slow, quick = (writers.SharedProgress(str(tmp_path)) for _ in range(2))
+    quick.merge({"first": 1})
+    real, once = slow._last, []
+
+    def last():
+        out = real()
+        if not once:
+            once.append(1)
+            for i in range(20):
+                quick.merge({"q": i})
+        return out
+
+    monkeypatch.setattr(slow, "_last", last)
+    slow.merge({"s": "mine"})
+    assert quick.read() == {"first": 1, "q": 19, "s": "mine"}
+
+
+def test_progress_in_a_store_behind_spark(spark, tmp_path):
+    with pytest.raises(ValueError):
+        writers.SharedProgress("hdfs://x/y")
+    monkey = writers.SharedProgress(f"file://{tmp_path}/p", spark)
+    monkey.path = f"file://{tmp_path}/p"  # through Hadoop's file system
+    assert monkey.read() == {} and monkey.merge({"a": 1}) == 1 and monkey.merge({"b": [2]}) == 2 and monkey.read() == {"a": 1, "b": [2]}
+
+
+def dump(tmp_path, streams=8, each=5):
+    """A dump of streams, its index, and its pages."""
+    raw, index, pages, at = b"", [], [], 0
+    texts = [bz2.compress(b"<mediawiki>\n<siteinfo/>\n")]
+    for s in range(streams):
+        own = []
+        for i in range(each):
+            n = s * each + i
+            body = f"正文 {n} &lt;b&gt; &amp;amp;" + "x" * (n * 700)
+            text = f"<text bytes='9'>{body}</text>" if n % 7 else "<text bytes='0' />"
+            own.append(f"  <page>\n    <title>T&amp;{n}</title>\n    <ns>{n % 2}</ns>\n    <revision><id>1</id>{text}</revision>\n  </page>\n")
+            pages.append((f"T&{n}", n % 2, html.unescape(body) if n % 7 else ""))
+        texts.append(bz2.compress("".join(own).encode()))
+    texts.append(bz2.compress(b"</mediawiki>"))
+    for k, t in enumerate(texts):
+        if 0 < k <= streams:
+            index += [f"{at}:{k * each + i}:T&amp;{k}:x" for i in range(each)]
+        raw, at = raw + t, at + len(t)
+    (tmp_path / "d.xml.bz2").write_bytes(raw)
+    (tmp_path / "i.txt.bz2").write_bytes(bz2.compress("\n".join(index).encode()))
+    return str(tmp_path / "d.xml.bz2"), str(tmp_path / "i.txt.bz2"), pages
+
+
+def test_dump_of_streams(spark, tmp_path, monkeypatch):
+    path, index, pages = dump(tmp_path)
+    got = multistream.multistream_pages(spark, path, index, None)
+    assert got.rdd.getNumPartitions() == 8 and [tuple(r) for r in got.collect()] == pages
+    by = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sorted(r["count"] for r in by) == [5] * 8
+    assert sorted(map(tuple, multistream.multistream_pages(spark, path, index, streams=3).collect())) == sorted(p for p in pages if p[1] == 0)
+    for size in (1, 10, 300, 1 << 30):  # without an index: streams of the ranges they begin in
+        some = multistream.multistream_pages(spark, path, None, None, range_bytes=max(size, 200))
+        assert sorted(map(tuple, some.collect())) == sorted(pages)
+    monkeypatch.setattr(multistream, "PIECE", 64)  # pages lie across pieces, and signatures too
+    reader = multistream.MultistreamReader({"path": path, "namespace": "1"})
+    assert list(reader.read(multistream.Streams(begin=0, end=1 << 30))) == [p for p in pages if p[1] == 1]
+    with open(path, "rb+") as f:
+        f.truncate(os.path.getsize(path) - 10)
+    with pytest.raises(EOFError):
+        list(reader.read(multistream.Streams(begin=0, end=1 << 30)))
+    (tmp_path / "empty.bz2").write_bytes(b"")
+    assert multistream.multistream_pages(spark, str(tmp_path / "empty.bz2")).collect() == []
 
 
 def test_sqlite_lookups(spark, tmp_path):
