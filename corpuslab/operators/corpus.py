@@ -31,18 +31,13 @@ def clause_rows(docs: DataFrame, key: str, script: Script, strict: bool = False,
 
 
 def keep_first(rows: DataFrame, content: str, order: Sequence[str]) -> DataFrame:
-    """Of rows with the same content the first by ``order``.
+    """Of rows with the same content the first by ``order``, then by their other columns; null is a content too.
 
-    The first order key is found by a map-side minimum, so only contents and order keys are shuffled and a content
-    that very many rows share costs one row for each task.
-    """
-    first = rows.groupBy(content).agg(F.min(F.struct(*order)).alias("_first"))
-    same = F.lit(True)
-    left = rows.alias("l")
-    right = first.alias("r")
-    for k in order:
-        same = same & (F.col(f"l.{k}") == F.col(f"r._first.{k}"))
-    return left.join(right, (F.col(f"l.{content}") == F.col(f"r.{content}")) & same, "left_semi")
+    Rows are read and shuffled once: each task keeps its first row of a content before, so one that very many rows share
+    costs one row for each task."""
+    rest = [c for c in rows.columns if c != content and c not in order]
+    first = rows.groupBy(content).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select(*[F.col(content) if c == content else F.col("_first")[c].alias(c) for c in rows.columns])
 
 
 def survival(before: DataFrame, after: DataFrame, group: str, text: str) -> DataFrame:

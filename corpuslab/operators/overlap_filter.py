@@ -77,15 +77,9 @@ def _hashed(texts: list[str | None], kind: Windows) -> Iterator[tuple[np.ndarray
         yield pieces, owner[begin[whole]] + at - len(parts), begin[whole], hashes[whole]
 
 
-def filter_of(texts: DataFrame, text: str, kind: Windows = Windows()) -> np.ndarray:
-    """The bit array (64 bits a word) of the windows of all texts; its size follows their number up to ``MOST_BITS``."""
-    rows = texts.select(text)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(h) for b in batches for *_, h in _hashed(b.column(0).to_pylist(), kind))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    n = rows.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+def bit_array(hashes: DataFrame, name: str = "h") -> np.ndarray:
+    """The bit array (64 bits a word) of a column of 64-bit hashes; its size follows their number up to ``MOST_BITS``."""
+    n = hashes.count()
     size = 64
     while size < min(MOST_BITS, BITS_EACH * n):
         size *= 2
@@ -93,30 +87,45 @@ def filter_of(texts: DataFrame, text: str, kind: Windows = Windows()) -> np.ndar
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size // 64, np.uint64)
         for b in batches:
-            for *_, hashes in _hashed(b.column(0).to_pylist(), kind):
-                for bit in _bits(hashes, size):
-                    np.bitwise_or.at(own, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+            for bit in _bits(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size):
+                np.bitwise_or.at(own, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
         at = np.flatnonzero(own)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(own[at[i : i + 100_000]].view(np.int64))], names=["word", "bits"])
 
     out = np.zeros(size // 64, np.uint64)
-    for b in rows.mapInArrow(made, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+    for b in hashes.select(name).mapInArrow(made, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
         out[b.column("word").to_numpy()] = b.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a set, by its bit array."""
+    out = np.ones(len(hashes), bool)
+    for bit in _bits(hashes, 64 * len(bits)):
+        out &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return out
+
+
+def filter_of(texts: DataFrame, text: str, kind: Windows = Windows()) -> np.ndarray:
+    """The bit array of the windows of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *_, hashes in _hashed(b.column(0).to_pylist(), kind):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["h"])
+
+    return bit_array(texts.select(text).mapInArrow(run, "h long"))
+
+
 def possible(rows: DataFrame, key: str, text: str, kind: Windows, bits: np.ndarray | None = None) -> DataFrame:
     """(key, window): the windows of each row's text, of a filter's set only those that may be in it. Null texts have none."""
-    size = 0 if bits is None else 64 * len(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pieces, owner, begin, hashes in _hashed(b.column(1).to_pylist(), kind):
                 if bits is not None:
-                    hit = np.ones(len(hashes), bool)
-                    for bit in _bits(hashes, size):
-                        hit &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+                    hit = passes(hashes, bits)
                     owner, begin = owner[hit], begin[hit]
                 for i in range(0, len(begin), 10_000):
                     some = [kind.sep.join(pieces[k : k + kind.width]) for k in begin[i : i + 10_000].tolist()]
