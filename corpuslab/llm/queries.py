@@ -103,6 +103,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_token_counts, op3_decontamination, op4_pii, op5_exact_dedup, op6_bpe, op7_toxicity, op8_language, op9_ngram_join, op10_url_filter, op11_hard_negatives, op12_chat_format, op13_whitening)}
 
 
+#: Words, A-Z as a-z, and distinct shingles (d, g) of five of a table's texts; fewer words are one shingle.
+SHINGLES = r"""{t}w AS (SELECT {id} AS d, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table}),
+{t}s AS MATERIALIZED (SELECT DISTINCT d, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT d, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM {t}w WHERE len(w) > 0)),
+{t}n AS MATERIALIZED (SELECT d, count(*) AS n FROM {t}s GROUP BY d)"""
+
+OP3_SQL = "WITH " + SHINGLES.format(t="d", id="doc_id", table="documents") + ",\n" + SHINGLES.format(t="b", id="item_id", table="benchmark") + """
+SELECT a.d AS doc_id, b.d AS item_id, n AS n_item, count(*) AS n_shared, count(*) / n AS containment
+FROM ds a JOIN bs b ON a.g = b.g JOIN bn ON bn.d = b.d GROUP BY a.d, b.d, n HAVING count(*) >= 0.75 * n
+"""
+
+OP9_SQL = "WITH RECURSIVE " + SHINGLES.format(t="d", id="doc_id", table="documents") + """,
+l AS MATERIALIZED (SELECT x, y FROM (SELECT a.d AS x, b.d AS y, count(*) AS k FROM ds a JOIN ds b ON a.g = b.g AND a.d <> b.d GROUP BY 1, 2) JOIN dn m ON m.d = x JOIN dn o ON o.d = y WHERE 100 * k >= 75 * (m.n + o.n - k)),
+r AS (SELECT x AS d, x AS reached FROM l UNION SELECT r.d, l.y FROM r JOIN l ON l.x = r.reached)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM documents LEFT JOIN dn ON dn.d = doc_id LEFT JOIN (SELECT d, min(reached) AS least_id FROM r GROUP BY d) c ON c.d = doc_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
@@ -153,4 +170,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_ngram_join": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL}

@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, ngram_join, shingles
+from corpuslab.llm import decontamination, ngram_join, queries, shingles
 from corpuslab.llm.components import components, star_components
 from corpuslab.llm.shingles import shingle_strings
 
@@ -153,9 +155,11 @@ def brute_contained(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 300])
-def test_contained_items_as_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,blocks", [(1_000_000, 8), (300, 10**6), (300, 0)])
+def test_contained_items_as_brute_force(spark, monkeypatch, block, blocks):
+    """In one block, in several, and joined."""
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "BLOCKS", blocks)
     r = random.Random(8)
     items = [(i, t) for i, t in enumerate(made_texts(6, 30, 100000)) ] + [(100, "a b c d e"), (101, "short item"), (102, None), (103, ""), (104, "a b c d e")]
     docs = []
@@ -182,12 +186,14 @@ def test_empty_benchmark_or_documents(spark):
     assert decontamination.find_contained(docs.where("false"), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).collect() == []
 
 
-def test_string_ids_long_texts_and_clashing_names(spark, monkeypatch):
-    """op3: items with ids of any type, in blocks; a text of a million words; columns named like outputs."""
+@pytest.mark.parametrize("blocks", [8, 0])
+def test_string_ids_long_texts_and_clashing_names(spark, monkeypatch, blocks):
+    """op3: items with ids of any type, in blocks or joined; a text of a million words; columns named like outputs."""
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(decontamination, "BLOCKS", blocks)
     items = spark.createDataFrame([("x", "a b c d e f g h", 1), ("x", "a b c d e f g h", 2), (None, "q r s t u v", 3), ("y", "k l m n o p", 4)], "item_id string, text string, n_item int").repartition(2)
     long = " ".join(f"v{i}" for i in range(500_000)) + " K L m N o p " + " ".join(f"u{i}" for i in range(500_000))
-    docs = spark.createDataFrame([("d", "0 a b c d e f g h 1", 7), (None, "q r s t u v", 7), ("e", long, 7), ("e", "a b", 7)], "doc_id string, text string, n_shared int")
+    docs = spark.createDataFrame([("d", "0 a b c d e f g h 1", 7), (None, "q r s t u v", 7), ("e", long, 7), ("e", "a b", 7)], "doc_id string, text string, n_shared int").withColumn("_key", F.lit(1)).withColumn("_bad", F.lit(2))
     got = decontamination.find_contained(docs, items)
     assert got.columns == ["doc_id", "item_id", "n_item", "n_shared", "containment"]
     assert sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in got.collect()), key=str) == [("d", "x", 4, 4), ("d", "x", 4, 4), ("e", "y", 2, 2), (None, None, 2, 2)]
@@ -213,10 +219,31 @@ def test_signatures_miss_nothing():
             assert block.held(np.sort(r.choice(item, decontamination.required(n) - 1, replace=False))) == []
 
 
-def test_share_of_hashes_that_is_searched():
-    """op3: for items of the benchmark's sizes, what part of a document's hashes is looked at."""
+@pytest.mark.parametrize("count", [200, 20_000])
+def test_share_of_hashes_that_is_searched(count):
+    """op3: what part of a document's hashes is looked up among items of the benchmark's sizes follows from the sizes, not from
+    how many items there are; those without a cut are few."""
     r = np.random.default_rng(2)
-    items = [np.sort(r.integers(0, 2**63, int(n)).astype(np.uint64) * np.uint64(2)) for n in r.integers(10, 56, 200)]
-    block = decontamination.ItemBlock(list(range(200)), [""] * 200, items)
-    share = {p.least: float(p.highest) / 2**64 for p in block.parts}
-    assert len(share) >= 3 and all(x < 0.85 for x in share.values()) and share[max(share)] < 0.55
+    items = [np.sort(r.integers(0, 2**63, int(n)).astype(np.uint64) * np.uint64(2)) for n in r.integers(10, 56, count)]
+    block = decontamination.ItemBlock(list(range(count)), [""] * count, items)
+    cut = {b: float(decontamination.cut_of(b)) / 2**64 for b in (4, 5, 6)}
+    assert 0.64 > cut[4] > cut[5] > cut[6] and cut[5] < 0.52 and cut[6] < 0.43
+    assert {float(p.highest) / 2**64 for p in block.parts} <= {*cut.values(), 1.0}
+    without = [i for i, x in enumerate(items) if not decontamination.has_cut(x)]
+    assert len(without) < 0.05 * count
+    for i in [*without[:20], *range(0, count, count // 40)]:
+        held = np.sort(r.choice(items[i], decontamination.required(len(items[i])), replace=False))
+        assert i in block.held(np.sort(np.concatenate([held, r.integers(0, 2**63, 500).astype(np.uint64)])))
+
+
+@pytest.mark.parametrize("name", ["op3_decontamination", "op9_ngram_join"])
+def test_query_and_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    got = queries.queries()[name](spark, data).toPandas()
+    want = c.execute(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
