@@ -15,11 +15,11 @@ from corpuslab.operators.ordered import numbered
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: What both turns of the added conversation of the chat query say.
 CONTROLS = "<|im_end|><|im_start|>assistant ok"
-#: Listed canonical URLs of the URL query: sites that are blocked as a whole, under each of the domains, and sections of
-#: sites of which so many pages are listed one by one.
+#: Listed canonical URLs of the URL query: sites that are blocked as a whole, under each of the domains, and one by one the
+#: URLs of the pages whose id is divisible by LISTED_EACH, a list that grows with the table.
 LISTED_SITES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
-LISTED_SECTIONS, LISTED_PAGES = ("www.ththon.example.org/en", "ththan.example.com/fr"), 20_000
+LISTED_EACH = 50
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +60,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(as_table(spark, sf_dir, "documents"))
 
 
-def listed_urls(spark: SparkSession) -> DataFrame:
-    """The list of the URL query, one canonical URL a row."""
-    sites = spark.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(f"{s}.{d}/") for s in LISTED_SITES for d in LISTED_DOMAINS))).alias("url"))
-    pages = spark.range(0, LISTED_PAGES, 1, 1).select(F.explode(F.transform(F.array(*map(F.lit, LISTED_SECTIONS)), lambda s: F.concat_ws("/", s, F.col("id")))).alias("url"))
-    return sites.unionByName(pages)
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list of the URL query, one URL a row."""
+    sites = pages.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(f"{s}.{d}/") for s in LISTED_SITES for d in LISTED_DOMAINS))).alias("url"))
+    return sites.unionByName(pages.where(F.col("page_id") % LISTED_EACH == 0).select("url").where(F.contains("url", F.lit("://"))))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = url_filter.rule_table(spark, URL_RULES).unionByName(url_filter.listed_table(listed_urls(spark)))
-    return url_filter.judge_urls(as_table(spark, sf_dir, "pages"), keys)
+    pages = as_table(spark, sf_dir, "pages")
+    keys = url_filter.rule_table(spark, URL_RULES).unionByName(url_filter.listed_table(listed_urls(pages)))
+    return url_filter.judge_urls(pages, keys)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +136,11 @@ r(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'al
 c AS (SELECT page_id, host, path, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS own_host,
              CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/+', '/', 'g') END AS own_path FROM s),
 l(lh) AS (SELECT a || '.' || d FROM (VALUES ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(a), (VALUES ('example.com'), ('example.net'), ('example.org')) y(d)),
-n(lu) AS (SELECT a || '/' || i FROM (VALUES ('www.ththon.example.org/en'), ('ththan.example.com/fr')) x(a), range(20000) t(i)),
+n AS (SELECT DISTINCT own_host AS nh, own_path AS np FROM c WHERE page_id % 50 = 0 AND own_host <> ''),
 f AS (SELECT page_id, max(struct_pack(n := length(rh || rp), rule := rh || rp, verdict := verdict)) AS best
       FROM s JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-b AS (SELECT DISTINCT page_id FROM c JOIN l ON own_host = lh OR ends_with(own_host, '.' || lh) UNION SELECT page_id FROM c JOIN n ON own_host || own_path = lu)
+b AS (SELECT DISTINCT page_id FROM c JOIN l ON own_host = lh OR ends_with(own_host, '.' || lh) 
+      UNION SELECT page_id FROM c JOIN n ON nh = own_host AND np = own_path UNION SELECT page_id FROM c JOIN n ON ends_with(np, '/') AND (own_host = nh OR ends_with(own_host, '.' || nh)) AND starts_with(own_path, np))
 SELECT s.page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        b.page_id IS NOT NULL AS listed
 FROM s LEFT JOIN f ON f.page_id = s.page_id LEFT JOIN b ON b.page_id = s.page_id
