@@ -20,7 +20,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ADDED = (
     ("private_key", "-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
     ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
-    ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{6,}@")),
+    ("url_login", "://", re.compile(r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@]+:[^\s/:@]{6,}@")),
 )
 BASE = ("assign", "access", "hex")
 KINDS = BASE + tuple(x[0] for x in ADDED)
