@@ -12,6 +12,7 @@ from corpuslab.operators import corpus as C
 from corpuslab.plans.text_functions import LINES
 from corpuslab.registry import query
 from corpuslab.sources import table
+from corpuslab.sources.multistream import pages_in_streams, written_streams
 from corpuslab.sources.pages import balanced_div, paragraphs
 
 BUILD = LINES + r""", p AS (SELECT doc_id, lang, pos, unnest(r) AS run, unnest(range(len(r))) AS k FROM (SELECT doc_id, lang, pos, regexp_extract_all(line, '[\p{L} ,.]+') AS r FROM l)),
@@ -210,6 +211,14 @@ def src02_page_stream(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract(h, "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, 'lang="([a-z]+)"', 1).alias("lang"), F.length(F.regexp_replace(h, "(?s)<[^>]*>", "")).cast("bigint").alias("text_chars"))
 
 
+@query("SELECT url AS title, CAST(page_id % 3 AS INTEGER) AS ns, html AS text FROM pages WHERE page_id % 3 = 0")
+def src02_dump_streams(spark, sf):
+    """Pages written as a dump of compressed streams, and read from it again, those of one namespace."""
+    pages = table(spark, sf, "pages")
+    streams = written_streams(pages, (F.col("url"), F.col("page_id") % 3, F.col("html")), ["page_id", "url", "html"], 20)
+    return pages_in_streams(streams)
+
+
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, string_agg(replace(text, ' ', ''), '|' ORDER BY turn) AS turns_text FROM conversations GROUP BY conv_id")
 def src03_dialogues(spark, sf):
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.replace(x["text"], F.lit(" "), F.lit(""))), "|")

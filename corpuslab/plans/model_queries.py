@@ -75,15 +75,25 @@ def m08_interpolate(spark, sf):
     return _flat(O.same_groups(e, after, ["label", "k"]).select("vec_id", M.interpolate(F.col("embedding"), F.col("c"), 0.25).alias("b")), "b")
 
 
-@query("""SELECT s AS step, round(CASE WHEN s < 100 THEN 3e-4 * (s + 1) / 100 ELSE 3e-4 * (0.1 + 0.45 * (1 + cos(pi() * (s - 100) / 900))) END, 12) AS rate FROM range(1000) t(s)""")
+@query("""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS step, count(*) OVER () AS total FROM documents), w AS (SELECT *, total // 10 AS warm FROM s)
+SELECT doc_id, step, round(CASE WHEN step < warm THEN 3e-4 * (step + 1) / warm ELSE 3e-4 * (0.1 + 0.45 * (1 + cos(pi() * (step - warm) / (total - warm)))) END, 12) AS rate FROM w""")
 def m09_learning_rate(spark, sf):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(A.learning_rate(F.col("id"), 1000, 3e-4, 100), 12).alias("rate"))
+    """The rate at each document, as the step of one pass over the table, a tenth of which is the warm-up."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    total = docs.count()
+    steps = O.numbered(docs, ["doc_id"], "k").select("doc_id", (F.col("k") - 1).alias("step"))
+    return steps.select("doc_id", "step", F.round(A.learning_rate(F.col("step"), total, 3e-4, total // 10), 12).alias("rate"))
 
 
-@query("""SELECT name, v * w + c * w + l * (12 * w * w + 9 * w) + 2 * w AS parameters FROM (VALUES ('keyboard', 8192, 64, 6, 256), ('desktop', 12288, 128, 8, 448), ('published', 8192, 64, 6, 192)) t(name, v, c, l, w)""")
+@query("""WITH c AS (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents), v AS (SELECT lang, count(DISTINCT ch) + 3 AS v FROM c WHERE ch <> '' GROUP BY lang)
+SELECT lang, name, v * w + x * w + l * (12 * w * w + 9 * w) + 2 * w AS parameters FROM v, (VALUES ('keyboard', 64, 6, 256), ('desktop', 128, 8, 448), ('published', 64, 6, 192)) t(name, x, l, w)""")
 def m10_parameters(spark, sf):
-    shapes = spark.createDataFrame([("keyboard", 8192, 64, 6, 256), ("desktop", 12288, 128, 8, 448), ("published", 8192, 64, 6, 192)], "name string, v int, c int, l int, w int")
-    return shapes.select("name", A.transformer_parameters(F.col("v"), F.col("c"), F.col("l"), F.col("w")).alias("parameters"))
+    """Parameters of three shapes over the characters of each language and three reserved words."""
+    ch = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    sizes = ch.groupBy("lang").agg((F.countDistinct("ch") + 3).alias("v"))
+    shapes = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("c"), F.lit(l).alias("l"), F.lit(w).alias("w")) for n, c, l, w in (("keyboard", 64, 6, 256), ("desktop", 128, 8, 448), ("published", 64, 6, 192))])
+    each = sizes.select("lang", "v", F.explode(shapes).alias("s"))
+    return each.select("lang", "s.name", A.transformer_parameters(F.col("v"), F.col("s.c"), F.col("s.l"), F.col("s.w")).alias("parameters"))
 
 
 @query(E + "SELECT vec_id, round(list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a))))), 6) AS z FROM e")

@@ -10,14 +10,19 @@ from __future__ import annotations
 
 import bz2
 import html
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpuslab.operators.ordered import numbered
+
 #: Bytes that are read and decompressed at a time, and of a range without an index.
 PIECE, RANGE = 1 << 20, 64 << 20
 #: How a stream begins, by its format: "BZh", a digit, the mark of a block.
@@ -126,6 +131,34 @@ def _kept(pieces: Iterator[bytes], end: list[int]) -> Iterator[bytes]:
     end.append((yield from pieces))
 
 
+def written_streams(pages: DataFrame, of: Sequence[Column], order: Sequence[str], each: int = 50) -> DataFrame:
+    """(stream, raw): pages as compressed streams of ``each`` pages, numbered from 0 in ``order``; ``of`` are title, namespace and
+    text. Put one after the other they are a dump, and the running sum of their sizes its index."""
+    title, ns, text = of
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("  <page>\n    <title>"), escaped(title), F.lit("</title>\n    <ns>"), ns.cast("string"), F.lit("</ns>\n    <revision>\n      <text>"), escaped(text), F.lit("</text>\n    </revision>\n  </page>\n"))
+    rows = numbered(pages.select(*order, page.alias("_page")), order, "_k")
+    groups = rows.groupBy(F.floor((F.col("_k") - 1) / each).alias("stream")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_page"))), lambda x: x["_page"]), "").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bz2.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["stream", "raw"])
+
+    return groups.mapInArrow(run, "stream long, raw binary")
+
+
+def pages_in_streams(streams: DataFrame, raw: str = "raw", namespace: int | None = 0) -> DataFrame:
+    """(title, ns, text) of the pages in compressed streams, one a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream in b.column(0):
+                found = list(pages_of(_stream(io.BytesIO(stream.as_py()), 0), namespace))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["title", "ns", "text"])
+
+    return streams.select(raw).mapInArrow(run, "title string, ns int, text string")
+
+
 class Multistream(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from corpuslab.operators.storage import cut
+
 
 def write_corpus(lines: DataFrame, path: str, lineage: dict[str, object], text: str = "line") -> None:
     """Lines as text and, beside them, one record of where they come from with their numbers of lines and characters."""
@@ -55,6 +57,7 @@ def append_missing(rows: DataFrame, path: str, key: str) -> int:
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
+    rows = cut(rows)  # else they would be computed to be counted, and again to be written
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)

@@ -255,6 +255,19 @@ def dump(tmp_path, streams=8, each=5):
     return str(tmp_path / "d.xml.bz2"), str(tmp_path / "i.txt.bz2"), pages
 
 
+def test_streams_that_are_written(spark, tmp_path):
+    """Put one after the other they are a dump."""
+    rows = [(i, f"T<{i}>&", i % 2, None if i == 3 else f"<text>&amp;{i}</text></page>" * i) for i in range(23)]
+    df = spark.createDataFrame(rows, "id long, t string, n int, b string")
+    streams = multistream.written_streams(df, (F.col("t"), F.col("n"), F.col("b")), ["id"], 5).orderBy("stream").collect()
+    assert [r["stream"] for r in streams] == [0, 1, 2, 3, 4]
+    (tmp_path / "d.bz2").write_bytes(b"".join(bytes(r["raw"]) for r in streams))
+    want = [(t, n, b or "") for _, t, n, b in rows]
+    assert [tuple(r) for r in multistream.multistream_pages(spark, str(tmp_path / "d.bz2"), namespace=None).collect()] == want
+    own = multistream.pages_in_streams(spark.createDataFrame(streams), namespace=1)
+    assert sorted(map(tuple, own.collect())) == sorted(x for x in want if x[1] == 1)
+
+
 def test_dump_of_streams(spark, tmp_path, monkeypatch):
     path, index, pages = dump(tmp_path)
     got = multistream.multistream_pages(spark, path, index, None)
