@@ -266,8 +266,10 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
             gc.disable()  # nothing here makes cycles, and the memories are costly to walk
-            pairs = bpe.encode(b.column("text").to_pylist())
-            gc.enable()
+            try:
+                pairs = bpe.encode(b.column("text").to_pylist())
+            finally:
+                gc.enable()
             more = {}
             if "ids" in keep:
                 ids = pa.array(np.frombuffer(b"".join([x for x, _ in pairs]), "<i4"), pa.int32())

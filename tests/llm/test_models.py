@@ -67,6 +67,15 @@ def test_sample_of_texts_is_bounded(spark, monkeypatch, ids):
     assert {r["lang"]: r["count"] for r in seen[0]} == {"a": language_id.TEXTS_EACH, "b": 100}
 
 
+def test_shares_of_languages_are_broadcast_or_joined(spark, monkeypatch):
+    """op8: the same sample, so the same classifiers."""
+    docs = common.as_table(spark, "/root/testdata/sf0.001", "documents")
+    one = language_id.train(docs)
+    monkeypatch.setattr(language_id, "BROADCAST_LANGS", 0)
+    two = language_id.train(docs)
+    assert one.langs == two.langs and np.allclose(one.weights, two.weights, atol=1e-5)
+
+
 def test_codewords_are_far_apart():
     """op8: rows, and columns neither equal nor opposite."""
     for k, least in ((2, 1), (3, 2), (4, 4), (6, 16), (7, 12), (20, 12), (64, 16)):

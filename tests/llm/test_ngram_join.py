@@ -99,6 +99,9 @@ def test_empty_table_and_clashing_names(spark):
     assert ngram_join.jaccard_components(empty).collect() == []
     odd = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x")], "doc_id long, text string, gid long, n long, fp string")
     assert result(ngram_join.jaccard_components(odd)) == [(1, 2, 1)]
+    named = spark.createDataFrame([(1, "a b c d e f", 9, 9), (2, "a b c d e f", 9, 9)], "doc_id long, text string, n_shingles long, component_id long")
+    assert result(ngram_join.jaccard_components(named)) == [(1, 2, 1), (2, 2, 1)]
+    assert [tuple(r) for r in ngram_join.keep_smallest(named).collect()] == [(1, "a b c d e f", 9, 9)]
 
 
 def test_shingle_hashes_as_tuples():
