@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,6 +40,34 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+@lru_cache(1)
+def _blas_threads() -> tuple[Callable[[], int], Callable[[int], None]] | None:
+    """How many threads numpy's OpenBLAS uses, told and set; None if it can't be found."""
+    with contextlib.suppress(OSError):
+        for path in {line.split()[-1] for line in Path("/proc/self/maps").read_text().splitlines() if "openblas" in line}:
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads"):
+                if hasattr(lib, name.format("set")):
+                    return getattr(lib, name.format("get")), getattr(lib, name.format("set"))
+    return None
+
+
+@contextlib.contextmanager
+def one_thread() -> Iterator[None]:
+    """Linear algebra on one thread. The driver forks to start Spark, and the pool of threads that a library made before
+    may never answer after that: an inverse of 125 rows was seen to wait for ever."""
+    threads = _blas_threads()
+    if threads is None:
+        yield
+        return
+    before = threads[0]()
+    threads[1](1)
+    try:
+        yield
+    finally:
+        threads[1](before)
+
+
 def release() -> None:
     """Gives what is freed back to the system: Python workers outlive their tasks, and several wait beside those at work."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, cut, map_batches, release
+from corpuslab.llm.common import batch, cut, map_batches, one_thread, release
 from corpuslab.llm.vectors import integer_rows, pack, unpack
 
 #: Rows that centroids are fitted on, at most twice as many; centroids; rounds of k-means.
@@ -324,6 +324,7 @@ def _chunk(shards: DataFrame, count: int, own: Queries, c: np.ndarray, positives
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
+@one_thread()
 def mine(df: DataFrame, anchor: Column, label: Column | None = None, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: for each row for which ``anchor`` holds and each
     of its ``positives`` best other rows of its label the ``negatives`` best rows of other labels whose score lies between

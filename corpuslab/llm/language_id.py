@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, cut, held_out, id_and_text, keep_rows, map_batches
+from corpuslab.llm.common import batch, cut, held_out, id_and_text, keep_rows, map_batches, one_thread
 
 #: Buckets of hashed byte n-grams, n = 1, 2, 3, as bits.
 BITS_OF_BUCKETS = 12
@@ -143,6 +143,7 @@ def trusts(code: np.ndarray, of: np.ndarray, left_out: np.ndarray) -> np.ndarray
     return (mean / mean.sum(1, keepdims=True)).astype(np.float32)
 
 
+@one_thread()
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageCode:
     """Fits the code on labelled texts with a letter, ids of the held-out third left out.
 

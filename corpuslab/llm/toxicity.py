@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, cut, held_out, id_and_text, map_batches
+from corpuslab.llm.common import batch, cut, held_out, id_and_text, map_batches, one_thread
 
 #: Lengths of n-grams in characters (code points), and bits of their hashes.
 LENGTHS = (4, 5, 6)
@@ -117,6 +117,7 @@ def presence_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return total[1], total[0], n_pos, n_neg
 
 
+@one_thread()
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on labelled texts of ``df``, ids of the held-out third left out: of each class TEXTS_EACH rows at most, those
     with the smallest hashes of their ids, and of more rows by repeated ids those with the smallest hashes of id and text.

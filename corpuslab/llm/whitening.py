@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import batch, cut, map_batches, release
+from corpuslab.llm.common import batch, cut, map_batches, one_thread, release
 from corpuslab.llm.vectors import integer_rows, pack, unpack
 
 #: Primes are below this; sums of BLOCK products of residues between -PRIMES / 2 and PRIMES / 2 are exact in doubles.
@@ -120,6 +120,7 @@ class Whitening:
         return [v if v < LONG else None for v in (n * n * a - 2 * n * b + whole for a, b in zip(squares, products, strict=True))]
 
 
+@one_thread()
 def fit(vectors: DataFrame, components: int = 4) -> Whitening | None:
     """The whitening of the packed, distinct vectors of column x; None without vectors. Components whose eigenvalue is zero,
     up to the rounding of doubles, have no direction and are left out."""
