@@ -1,6 +1,9 @@
 """A training corpus from documents: language, exact copies, near copies, benchmark passages, tokens.
 
-Each stage takes what the one before it kept; all but the last return the columns of ``documents``.
+Each stage takes what the one before it kept; all but the last return the columns of ``documents``, whatever they are called
+and whatever other columns there are. A null text counts as an empty one; it has no letters, so the first stage drops it. Null
+and repeated ids are rows like others: a group of equal texts keeps its longest text, then its smallest id; a group of near
+copies its smallest id, of rows that share it all; null is the largest id. An empty table stays empty. Texts may be of any length.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # threads of linear algebra that were made before Spark's start may never answer
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
@@ -18,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
