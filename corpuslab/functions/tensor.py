@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a column is computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
@@ -24,9 +31,15 @@ def matrix_vector(rows: Column, x: Column) -> Column:
 
 
 def layer_norm(a: Column, weight: float = 1.0, bias: float = 0.0, eps: float = 1e-5) -> Column:
-    mean = _sum(doubles(a)) / F.size(a)
-    var = _sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / F.size(a)
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + eps) * weight + bias)
+    """Mean and deviation are taken once a vector, so that the work grows with its length and not with a power of it.
+    A null entry stays null and adds nothing to either; the length counts it."""
+    n = F.greatest(F.size(a), F.lit(1))
+
+    def scaled(mean: Column) -> Column:
+        var = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce((x - mean) * (x - mean), F.lit(0.0))) / n
+        return _once(F.sqrt(var + eps), lambda dev: F.transform(a, lambda x: (x - mean) / dev * weight + bias))
+
+    return _once(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0))) / n, scaled)
 
 
 def erf(x: Column) -> Column:

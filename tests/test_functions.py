@@ -115,6 +115,25 @@ def test_tensors(spark):
     assert one(spark, "abc", lambda t: F.sha2(t, 256)) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 
 
+def test_layer_norm_takes_mean_and_deviation_once(spark):
+    def plain(a):
+        some = [x for x in a if x is not None]
+        mean = sum(some) / len(a)
+        dev = math.sqrt(sum((x - mean) ** 2 for x in some) / len(a) + 1e-5)
+        return [None if x is None else (x - mean) / dev for x in a]
+
+    long = [float(i * i % 97) for i in range(768)]
+    rows = [(0, long), (1, [1.0, None, 4.0]), (2, [3.5]), (3, []), (4, None), (5, [None, None])]
+    df = spark.createDataFrame(rows, "id int, a array<float>").select("id", M.layer_norm(F.col("a")).alias("b"))
+    df.where("id = 2").collect()
+    began = time.perf_counter()
+    got = {r["id"]: r["b"] for r in df.collect()}
+    assert time.perf_counter() - began < 4
+    for i, a in rows:
+        want = a and [x if x is None else pytest.approx(x) for x in plain(a)]
+        assert got[i] == want
+
+
 def test_license_policy(spark):
     assert one(spark, "MIT", X.is_permissive) and not one(spark, "GPL-3.0", X.is_permissive)
     assert one(spark, "uses Wikipedia text", X.is_share_alike) and not one(spark, "own text", X.is_share_alike)
